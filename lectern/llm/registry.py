@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from lectern.llm import line_dedup
+from lectern.llm import decontaminate, line_dedup, quality_rules, warc
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": line_dedup.query}
+    return {
+        "op1_warc": warc.query,
+        "op2_benchmark_decontamination": decontaminate.query,
+        "op7_line_dedup": line_dedup.query,
+        "op9_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {
+        "op1_warc": warc.SQL,
+        "op2_benchmark_decontamination": decontaminate.SQL,
+        "op7_line_dedup": line_dedup.SQL,
+    }
