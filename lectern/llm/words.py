@@ -70,7 +70,7 @@ def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(out)
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def slices(column: pa.Array, size: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, row after the last, texts joined by \\n, start of each text and the end): nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -82,7 +82,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
     i, n = 0, len(raw)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         joined = b"\n".join(data[offsets[k] : offsets[k + 1]] for k in range(i, j))
         at = offsets[i : j + 1] - offsets[i] + np.arange(j - i + 1)
         yield i, j, joined, at
