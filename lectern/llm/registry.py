@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, line_dedup, quality_rules, warc
+from lectern.llm import decontaminate, language_id, line_dedup, quality_classifier, quality_rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
         "op2_benchmark_decontamination": decontaminate.query,
+        "op3_language_id": language_id.query,
+        "op6_quality_classifier": quality_classifier.query,
         "op7_line_dedup": line_dedup.query,
         "op9_quality_rules": quality_rules.query,
     }
