@@ -88,59 +88,71 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+#: Outcomes of a rule, and what each is expected to be before any data: P(outcome | good), P(outcome | bad).
+BAD, GOOD, ABSTAIN = 0, 1, 2
+EXPECTED = ((0.02, 0.49, 0.49), (0.3, 0.35, 0.35))
+
+
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, 0 bad, null abstains. Each rule speaks only where its evidence is clear."""
+    """The outcome of each rule. A rule votes where its evidence is clear; that a defect is absent is no vote for good."""
     n, share = F.greatest(F.col("n_words"), F.lit(1)), lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    mean_length = F.col("word_chars") / n
+    symbols, dups, repeats, upper, mean_length = F.col("n_symbols") / n, share("n_dup_lines", "n_lines"), F.col("n_repeat_words") / n, share("n_upper", "n_letters"), F.col("word_chars") / n
 
-    def vote(value: Column, good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit(0)).when(good, F.lit(1))
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        found = F.when(bad, F.lit(BAD))
+        return (found if good is None else found.when(good, F.lit(GOOD))).otherwise(F.lit(ABSTAIN))
 
-    symbols, dups, repeats, upper = F.col("n_symbols") / n, share("n_dup_lines", "n_lines"), F.col("n_repeat_words") / n, share("n_upper", "n_letters")
     return {
-        "length": vote(n, F.col("n_words") >= 80, F.col("n_words") < 50),
-        "word_length": vote(mean_length, mean_length.between(3.0, 10.0), (mean_length < 2.0) | (mean_length > 14.0)),
-        "symbols": vote(symbols, symbols < 0.05, symbols > 0.3),
-        "duplicate_lines": vote(dups, dups < 0.1, dups > 0.3),
-        "repetition": vote(repeats, repeats < 0.15, repeats > 0.4),
-        "upper_case": vote(upper, upper < 0.2, upper > 0.5),
+        "length": vote(F.lit(False), F.col("n_words") >= 80),  # too few words is base_failed's business
+        "word_length": vote((mean_length < 2.0) | (mean_length > 14.0), mean_length.between(3.0, 10.0)),
+        "symbols": vote(symbols > 0.2),
+        "duplicate_lines": vote(dups > 0.5),
+        "repetition": vote(repeats > 0.4),
+        "upper_case": vote(upper > 0.4),
     }
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100, prior: float = 0.8, accuracy: float = 0.8) -> tuple[float, list[tuple[float, float]]]:
-    """(P(good), [(P(vote good | good), P(vote bad | bad))]) from counts of vote patterns: two-coin Dawid-Skene with smoothing.
+def posterior(votes: tuple[int, ...], prior: float, chances: list[tuple]) -> float:
+    """P(good | votes), the rules being independent given the class; a rule that abstains says nothing.
 
-    Rules start better than chance, which settles which of the two classes is the good one.
+    Counting silence as evidence would let rules that fire together (repetition, capitals) outvote one that fires alone.
+    """
+    odds = math.log(prior) - math.log1p(-prior) + sum(math.log(good[v] / bad[v]) for v, (good, bad) in zip(votes, chances, strict=True) if v != ABSTAIN)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.85, strength: float = 5.0, precision: float = 0.7) -> tuple[float, list[tuple]]:
+    """(P(good), per rule P(outcome | good) and P(outcome | bad)) from counts of vote patterns: Dawid-Skene by EM.
+
+    The class balance is given, not estimated: with silent rules left out of the posterior the votes alone don't settle it.
+    A vote for bad is taken to be right with at least the given precision, the weak-supervision premise that rules beat
+    chance; EM may find a rule better than that, and good votes may still outweigh it.
+
+    It starts from the verdicts of all-must-pass filtering, softened to 0.9 and 0.1: defects exclude one another more often
+    than they meet, so a start from the rules' joint firing would take one kind of defect for the whole bad class. EXPECTED,
+    worth strength texts of each class, keeps every chance above zero.
     """
     size = len(patterns[0][0]) if patterns else 0
-    coins = [(accuracy, accuracy)] * size
-    for _ in range(rounds):
-        good_mass, total = 1.0, 2.0
-        seen = [[4.0, 5.0, 4.0, 5.0] for _ in range(size)]  # agreeing and all votes, weighted by good and by bad
+    chances: list[tuple] = [EXPECTED] * size
+    for step in range(rounds):
+        seen = [[[strength * x for x in side] for side in EXPECTED] for _ in range(size)]
         for votes, count in patterns:
-            p = posterior(votes, prior, coins)
-            good_mass, total = good_mass + p * count, total + count
-            for k, v in enumerate(votes):
-                if v is not None:
-                    seen[k][0] += p * count * v
-                    seen[k][1] += p * count
-                    seen[k][2] += (1 - p) * count * (1 - v)
-                    seen[k][3] += (1 - p) * count
-        new = [(max(0.5, a / b), max(0.5, c / d)) for a, b, c, d in seen]
-        moved = max([abs(x - y) for p, q in zip(coins, new, strict=True) for x, y in zip(p, q, strict=True)], default=0)
-        prior, coins = min(0.99, max(0.01, good_mass / total)), new
+            p = posterior(votes, prior, chances) if step else (0.1 if BAD in votes else 0.9)
+            for side, weight in ((0, p * count), (1, (1 - p) * count)):
+                for k, v in enumerate(votes):
+                    seen[k][side][v] += weight
+        new = []
+        for both in seen:
+            good, bad = ([x / sum(side) for x in side] for side in both)
+            most = bad[BAD] * (1 - prior) / prior * (1 - precision) / precision
+            if good[BAD] > most:
+                good[ABSTAIN], good[BAD] = good[ABSTAIN] + good[BAD] - most, most
+            new.append((tuple(good), tuple(bad)))
+        moved = max([abs(x - y) for p, q in zip(chances, new, strict=True) for a, b in zip(p, q, strict=True) for x, y in zip(a, b, strict=True)], default=0)
+        chances = new
         if moved < 1e-9:
             break
-    return prior, coins
-
-
-def posterior(votes: tuple[int | None, ...], prior: float, coins: list[tuple[float, float]]) -> float:
-    odds = math.log(prior) - math.log1p(-prior)
-    for v, (good, bad) in zip(votes, coins, strict=True):
-        if v is not None:
-            good, bad = min(good, 0.995), min(bad, 0.995)
-            odds += math.log(good / (1 - bad)) if v else math.log((1 - good) / bad)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+    return prior, chances
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,14 +165,11 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     """
     stats = written(quality_stats(docs, id_col, text_col), "quality-stats")
     named = rules()
-    votes = [c.cast("int").alias(f"__{n}") for n, c in named.items()]
-    counts = stats.select(*votes).groupBy(*[f"__{n}" for n in named]).count().collect()
-    patterns = sorted(((tuple(r)[:-1], r["count"]) for r in counts), key=lambda x: str(x[0]))
-    prior, coins = expectation_maximisation(patterns)
+    counts = stats.groupBy(*[c.alias(f"__{n}") for n, c in named.items()]).count().collect()
+    prior, chances = expectation_maximisation(sorted((tuple(r)[:-1], r["count"]) for r in counts))
     odds = F.lit(math.log(prior) - math.log1p(-prior))
-    for c, (good, bad) in zip(named.values(), coins, strict=True):
-        good, bad = min(good, 0.995), min(bad, 0.995)
-        odds = odds + F.when(c == 1, F.lit(math.log(good / (1 - bad)))).when(c == 0, F.lit(math.log((1 - good) / bad))).otherwise(F.lit(0.0))
+    for outcome, (good, bad) in zip(named.values(), chances, strict=True):
+        odds = odds + F.element_at(F.array(*[F.lit(0.0 if v == ABSTAIN else math.log(good[v] / bad[v])) for v in (BAD, GOOD, ABSTAIN)]), outcome + 1)
     judged = stats.withColumn("base_failed", base_failed()).withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality_posterior") >= threshold))
 
