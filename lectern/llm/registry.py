@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, language_id, line_dedup, quality_classifier, quality_rules, warc
+from lectern.llm import decontaminate, language_id, line_dedup, quality_classifier, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_quality_classifier": quality_classifier.query,
         "op7_line_dedup": line_dedup.query,
         "op9_quality_rules": quality_rules.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
