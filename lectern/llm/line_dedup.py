@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import table
+from lectern.llm.store import table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +29,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_length: int = 10, id_col:
     text is empty. Columns named n_lines or n_dropped are replaced.
 
     Only (hash, id, position) of long lines is shuffled for counting; minima and maxima are combined before the shuffle,
-    so a line that a third of the documents share is no hot group, and the join back on the hash can be split by AQE.
+    so a line that a third of the documents share is no hot group. The shared hashes are written to the shared folder, so that
+    the join back on them reads both sides through exchanges of its own, whose hot partitions AQE can split.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
@@ -46,8 +47,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_length: int = 10, id_col:
     else:
         held = entries.groupBy("__h1", "__h2", "__id").agg(F.lit(1).alias("__one"))
         shared = held.groupBy("__h1", "__h2").agg(F.min("__id").alias("__least"), F.count("*").alias("__docs")).where(F.col("__docs") >= min_docs)
+    shared = written(shared.select("__h1", "__h2", "__least"), "shared-lines")
     gone = (
-        entries.join(shared.select("__h1", "__h2", "__least"), ["__h1", "__h2"])
+        entries.join(shared, ["__h1", "__h2"])
         .where("__id > __least")
         .groupBy("__id", "__version")
         .agg(F.collect_set("__pos").alias("__gone"))
