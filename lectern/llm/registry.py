@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, language_id, line_dedup, quality_classifier, quality_rules, toxicity, warc
+from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.query,
         "op2_benchmark_decontamination": decontaminate.query,
         "op3_language_id": language_id.query,
+        "op4_jaccard_join": jaccard_join.query,
         "op6_quality_classifier": quality_classifier.query,
         "op7_line_dedup": line_dedup.query,
         "op9_quality_rules": quality_rules.query,
