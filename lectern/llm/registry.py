@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, toxicity, warc
+from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, pii, quality_classifier, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_jaccard_join": jaccard_join.query,
         "op6_quality_classifier": quality_classifier.query,
         "op7_line_dedup": line_dedup.query,
+        "op8_pii": pii.query,
         "op9_quality_rules": quality_rules.query,
         "op10_toxicity": toxicity.query,
     }
