@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, pii, quality_classifier, quality_rules, toxicity, warc
+import corpus_pipeline
+from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces, pii, quality_classifier, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,11 +12,13 @@ def queries() -> dict:
         "op2_benchmark_decontamination": decontaminate.query,
         "op3_language_id": language_id.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op5_pieces": pieces.query,
         "op6_quality_classifier": quality_classifier.query,
         "op7_line_dedup": line_dedup.query,
         "op8_pii": pii.query,
         "op9_quality_rules": quality_rules.query,
         "op10_toxicity": toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
