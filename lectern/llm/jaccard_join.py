@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import words as W
 from lectern.llm.components import components
-from lectern.llm.store import table, written
+from lectern.llm.store import broadcast_if_small, table, written
 
 WIDTH, BANDS, PER_BAND = 5, 6, 2
 #: Counters of shingle frequency: a fixed size whatever the corpus; shingles that share one share its count.
@@ -113,14 +113,30 @@ def _whole(width: int):
 def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact intersection; only texts of some pair are hashed and shuffled."""
     pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct()
-    sets = texts.join(wanted, "__id", "left_semi").mapInArrow(_whole(width), "__id long, shingles array<long>").dropDuplicates(["__id"])
+    wanted = written(pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct(), "wanted")
+    sets = texts.join(broadcast_if_small(wanted), "__id", "left_semi").mapInArrow(_whole(width), "__id long, shingles array<long>").dropDuplicates(["__id"])
     of = lambda side: sets.select(F.col("__id").alias(side), F.col("shingles").alias(f"of_{side}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(7 * shared >= 3 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
+def _hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that their prefixes leave room for; what is dropped can't be similar.
+
+    Common shingles up to the last common one of the prefixes are all in both prefixes. Those after it follow it in both
+    sets, and are behind the prefix of at least one of them.
+    """
+    wanted = written(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct(), "wanted")
+    prefixes = prefixes.join(broadcast_if_small(wanted), "rep", "left_semi")
+    of = lambda side: prefixes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"of_{side}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
+    last = F.element_at("common", -1)
+    behind = lambda side: F.col(f"n{side}") - F.array_position(f"of_{side}", last)
+    suffix = F.greatest(F.col("na") - F.size("of_a"), F.col("nb") - F.size("of_b"))
+    return both.where(7 * (F.size("common") + F.least(suffix, behind("a"), behind("b"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _size_class(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
 
@@ -164,17 +180,17 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     for r in texts.mapInArrow(_frequencies(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         counts[r["counter"]] = r["n"]
     level = np.minimum(65535, np.log2(counts + 1) * 32).astype(np.uint16)
-    grouped = kinds.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
-    prefixes = texts.mapInArrow(_prefixes(width, level), "__id long, prefix array<long>").join(grouped, F.col("__id") == F.col("rep")).select("rep", "n", "group", "prefix")
+    grouped = written(kinds.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("group")), "grouped")
+    prefixes = texts.mapInArrow(_prefixes(width, level), "__id long, prefix array<long>").join(broadcast_if_small(grouped), F.col("__id") == F.col("rep")).select("rep", "n", "group", "prefix")
     prefixes = written(prefixes, "prefixes")
     bridges = prefixes.select("group", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("shingle")
-    entries = prefixes.select("rep", "n", "group", F.posexplode("prefix").alias("pos", "shingle")).join(written(bridges, "bridges"), "shingle")
+    entries = prefixes.select("rep", "n", "group", F.posexplode("prefix").alias("pos", "shingle")).join(broadcast_if_small(written(bridges, "bridges")), "shingle")
     entries = written(entries, "entries")
     index = entries.where("7 * pos <= n").select("shingle", _size_class(F.col("n")).alias("c"), F.when(F.col("pos") * 14 <= F.col("n"), 0).otherwise(1).alias("h"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
     probe = entries.select("shingle", F.explode(_probes(F.col("n"))).alias("to"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
     probe = probe.select("shingle", "to.c", "to.h", "a", "na", "pa", "ga")
     across = probe.join(index, ["shingle", "c", "h"]).where("ga <> gb AND (na > nb OR na = nb AND a > b) AND 4 * nb >= 3 * na AND 7 * least(na - pa, nb - pb) >= 3 * (na + nb)")
-    bridged = _linked(across.select("a", "b"), texts, width)
+    bridged = _linked(_hopeful(written(across.select("a", "b").distinct(), "candidates"), prefixes), texts, width)
     of = grouped.select(F.col("rep").alias("__rep"), F.col("group").alias("__group"))
     joined = bridged.join(of, F.col("a") == F.col("__rep")).select("b", F.col("__group").alias("ga")).join(of, F.col("b") == F.col("__rep")).select(F.col("ga").alias("a"), F.col("__group").alias("b"))
     merged = components(joined)

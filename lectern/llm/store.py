@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a key column (8 bytes each, about 100 MB as a hash table) up to which a written table is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has rows rows at most; else as it is, for a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
