@@ -1 +1,5 @@
+"""Registered queries: name -> (query, SQL or None)."""
 
+from lectern.plans import text
+
+QUERIES = {**text.QUERIES}
