@@ -1,5 +1,5 @@
 """Registered queries: name -> (query, SQL or None)."""
 
-from lectern.plans import text
+from lectern.plans import structure, text
 
-QUERIES = {**text.QUERIES}
+QUERIES = {**text.QUERIES, **structure.QUERIES}
