@@ -121,7 +121,7 @@ def posterior(votes: tuple[int, ...], prior: float, chances: list[tuple]) -> flo
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.85, strength: float = 5.0, precision: float = 0.7) -> tuple[float, list[tuple]]:
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], size: int, rounds: int = 200, prior: float = 0.85, strength: float = 5.0, precision: float = 0.7) -> tuple[float, list[tuple]]:
     """(P(good), per rule P(outcome | good) and P(outcome | bad)) from counts of vote patterns: Dawid-Skene by EM.
 
     The class balance is given, not estimated: with silent rules left out of the posterior the votes alone don't settle it.
@@ -132,7 +132,6 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds
     than they meet, so a start from the rules' joint firing would take one kind of defect for the whole bad class. EXPECTED,
     worth strength texts of each class, keeps every chance above zero.
     """
-    size = len(patterns[0][0]) if patterns else 0
     chances: list[tuple] = [EXPECTED] * size
     for step in range(rounds):
         seen = [[[strength * x for x in side] for side in EXPECTED] for _ in range(size)]
@@ -166,7 +165,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     stats = written(quality_stats(docs, id_col, text_col), "quality-stats")
     named = rules()
     counts = stats.groupBy(*[c.alias(f"__{n}") for n, c in named.items()]).count().collect()
-    prior, chances = expectation_maximisation(sorted((tuple(r)[:-1], r["count"]) for r in counts))
+    prior, chances = expectation_maximisation(sorted((tuple(r)[:-1], r["count"]) for r in counts), len(named))
     odds = F.lit(math.log(prior) - math.log1p(-prior))
     for outcome, (good, bad) in zip(named.values(), chances, strict=True):
         odds = odds + F.element_at(F.array(*[F.lit(0.0 if v == ABSTAIN else math.log(good[v] / bad[v])) for v in (BAD, GOOD, ABSTAIN)]), outcome + 1)
