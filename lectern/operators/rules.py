@@ -81,3 +81,43 @@ def joined_signal(parts: DataFrame, key: str, order: str, signal: str, rate: int
     """(key, signal, seconds): parts of a key one after another."""
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, signal))), lambda s: s[signal]))
     return parts.groupBy(key).agg(whole.alias("signal")).withColumn("seconds", F.size("signal") / rate)
+
+
+def registered(uploads: DataFrame) -> DataFrame:
+    """Uploads (id, filename, language, voice) as books: title from the file name or the id, unknown language or voice to null."""
+    code = language_code(F.col("language"))
+    return uploads.select(
+        "id", F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.col("id").cast("string")).alias("title"), F.lit("uploaded").alias("status"),
+        F.when(code.isNotNull(), F.col("language")).alias("language"), F.when(code.isNotNull(), valid_voice(code, F.col("voice"))).alias("voice"),
+    )
+
+
+def money(usd: Column) -> Column:
+    """US$ 1.234,56, or nothing for null."""
+    return F.coalesce(F.concat(F.lit("US$ "), F.translate(F.format_number(usd, 2), ",.", ".,")), F.lit(""))
+
+
+def status_message(status: Column, done: Column, total: Column, estimate: Column, degraded: Column) -> Column:
+    some = done > 0
+    progress = F.when(total.isNull(), F.concat(F.lit("Status: "), F.coalesce(_map(D.STATUS_LABELS)[status], status))).otherwise(F.concat(F.lit("Sintetizando: "), done, F.lit(" de "), total, F.lit(" chunks")))
+    return (
+        F.when(status == "pending_confirmation", F.concat(F.lit("Aguardando confirmação de custo — este livro deve custar "), F.when(estimate > 0, money(estimate)).otherwise("?"), F.lit(".")))
+        .when(status == "paused", F.when(some, "Pausado — tocando o que já foi sintetizado.").otherwise("Pausado."))
+        .when(status == "error", F.when(some, F.concat(F.lit("Erro no processamento — tocando os "), done, F.lit(" trecho(s) já sintetizados."))).otherwise("Erro: processamento falhou."))
+        .when(status == "ready", F.when(~some, "Nenhum áudio disponível.").when(degraded, "Pronto — processado com voz local (custo acima do teto).").otherwise("Pronto."))
+        .otherwise(F.when(some, F.concat(progress, F.lit(" — tocando o que já está pronto"))).otherwise(progress))
+    )
+
+
+def normalized(rows: DataFrame, text_col: str, transforms: list, opt_in: Column, verdict=word_verdict) -> DataFrame:
+    """rows with normalized: the transforms in order, each accepted or undone by the verdict, where the row opts in.
+
+    Each distinct text is transformed once. A transform is a Column function or a pandas UDF; null is a refusal.
+    """
+    chosen = rows.where(opt_in)
+    distinct = chosen.select(F.col(text_col).alias("__text")).distinct().withColumn("normalized", F.col("__text"))
+    for transform in transforms:
+        distinct = distinct.withColumn("__new", transform(F.col("normalized")))
+        distinct = distinct.withColumn("normalized", rewritten(F.col("normalized"), F.col("__new"), verdict(F.col("normalized"), F.col("__new")))).drop("__new")
+    done = chosen.join(distinct, F.col(text_col) == F.col("__text"), "left").drop("__text")
+    return done.unionByName(rows.where(~F.coalesce(opt_in, F.lit(False))).withColumn("normalized", F.col(text_col)))

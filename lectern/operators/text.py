@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +135,47 @@ def pauses(docs: DataFrame) -> DataFrame:
     end = F.substring("text", -1, 1)
     pause = F.when(after.isNull(), 0).when(after != F.col("paragraph"), 800).when(end == "!", 520).when(end == "?", 470).otherwise(420)
     return sentences(docs).select("doc", (F.row_number().over(order) - 1).alias("segment"), "text", pause.alias("pause_ms"))
+
+
+def _halves(text: str, limit: int) -> list[str]:
+    """Pieces of at most limit characters, cut at the mark nearest the middle (punctuation before blanks, left before right); a single word stays whole."""
+    todo, out = [text.strip()], []
+    while todo:
+        t = todo.pop()
+        cut = None
+        if len(t) > limit and any(c.isspace() for c in t):
+            for marks, after in ((",;:", 1), (" \t", 0)):
+                at = min((p for p in range(1, len(t)) if t[p] in marks), key=lambda p: (abs(p - len(t) // 2), p), default=None)
+                if at is not None and at + after < len(t):
+                    cut = at + after
+                    break
+        if cut is None:
+            out.append(t)
+        else:
+            todo += [t[cut:].strip(), t[:cut].strip()]
+    return [t for t in out if t]
+
+
+def split_budget(rows: DataFrame, limit: int, text_col: str = "text") -> DataFrame:
+    """rows with piece_no and piece: clauses packed to at most limit characters; a clause that is longer is halved until it fits.
+
+    Packing is native; only clauses over the limit go through Arrow, where the halving recurs.
+    """
+    def halve(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: None if t is None else _halves(t, limit))
+
+    halved = F.pandas_udf(halve, "array<string>")
+    cut = rows.select("*", F.posexplode(split_clauses(F.col(text_col), limit)).alias("__clause", "__part"))
+    long = F.length("__part") > limit
+    fit = cut.where(~long).withColumn("__parts", F.array("__part")).unionByName(cut.where(long).withColumn("__parts", halved("__part")))
+    fit = fit.select(*rows.columns, "__clause", F.posexplode("__parts").alias("__at", "piece"))
+    order = Window.partitionBy(*[c for c in rows.columns if c != text_col]).orderBy("__clause", "__at")
+    return fit.withColumn("piece_no", F.row_number().over(order) - 1).drop("__clause", "__at")
+
+
+def paginated(docs: DataFrame, lines: int = 40) -> DataFrame:
+    """(doc, page_number, text): each document's lines in pages of so many, from page 1."""
+    rows = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("page_number", F.floor(F.col("line_no") / lines).cast("int") + 1)
+    pieces = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return rows.groupBy("doc", "page_number").agg(F.array_join(F.transform(pieces, lambda s: s.line), "\n").alias("text"))

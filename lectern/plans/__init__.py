@@ -1,5 +1,5 @@
 """Registered queries: name -> (query, SQL or None)."""
 
-from lectern.plans import live, rules, state, structure, text
+from lectern.plans import live, more, rules, state, structure, text
 
-QUERIES = {**text.QUERIES, **structure.QUERIES, **state.QUERIES, **rules.QUERIES, **live.QUERIES}
+QUERIES = {**text.QUERIES, **structure.QUERIES, **state.QUERIES, **rules.QUERIES, **live.QUERIES, **more.QUERIES}

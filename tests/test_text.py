@@ -103,3 +103,33 @@ def test_schema_evolution(spark):
     assert S.add_column(S.add_column(rows, "b", "int", 7), "b", "int", 9).first().b == 7
     with pytest.raises(ValueError):
         S.add_column(rows, "c", "int", None, True)
+
+
+def test_budget_split(spark):
+    texts = ["um, dois, três; quatro cinco seis sete oito nove dez", "palavramuitolonga" * 3, "a b", "x " * 40 + "fim,", "1,5 " * 12]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc int, text string")
+    got = {}
+    for r in T.split_budget(rows, 20).orderBy("doc", "piece_no").collect():
+        got.setdefault(r.doc, []).append(r.piece)
+    for i, t in enumerate(texts):
+        assert "".join(got[i]).replace(" ", "") == t.replace(" ", "") and all(len(p) <= 20 or " " not in p for p in got[i])
+    assert got[0] == ["um, dois, três;", "quatro cinco seis", "sete oito nove dez"]  # cut at the blank nearest the middle
+
+
+def test_dictionary_source(spark, tmp_path):
+    from lectern.sources import dictionary
+
+    (tmp_path / "terms.yaml").write_text('# terms\nGPU: gê pê u\n"SQL": "sequel"\nbroken\n: x\n')
+    assert dictionary.as_map(dictionary.read_terms(spark, str(tmp_path / "terms.yaml"))) == {"GPU": "gê pê u", "SQL": "sequel"}
+    assert dictionary.as_map(dictionary.read_terms(spark, str(tmp_path / "none.yaml"))) == {}
+
+
+def test_sources(spark):
+    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, " "), ("b", 1, "\t")], "doc string, page_number int, text string")
+    other = pages.withColumn("text", F.lit("ocr"))
+    assert sorted((r.doc, r.page_number, r.text) for r in L.with_fallback(pages, other).collect()) == [("a", 1, "x"), ("a", 2, " "), ("b", 1, "ocr")]
+    assert L.page_range(pages, -1, 1).count() == 2 and L.page_range(pages, None, None).count() == 3
+    words = spark.createDataFrame([("a", 1, 1, "ok", 90.0), ("a", 1, 2, "no", -1.0), ("a", 1, 3, " ", 50.0), ("a", 2, 1, "", -1.0)], "doc string, page int, word_no int, text string, conf double")
+    assert {(r.page, r.n_words, r.confidence, r.text) for r in L.confidence(words).collect()} == {(1, 1, 0.9, "ok"), (2, 0, 0.0, "")}
+    merged = S.merged_arrivals(spark.createDataFrame([("b", 1)], "book string, sequence int"), spark.createDataFrame([("b", 1), ("b", 2), ("b", 2)], "book string, sequence int"))
+    assert sorted(r.sequence for r in merged.collect()) == [1, 2]
