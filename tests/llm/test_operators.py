@@ -210,6 +210,17 @@ def test_n_best_by_enumeration():
         assert all((round(s, 6), tuple(ids.tolist())) in {(round(a, 6), b) for a, b in paths[-1]} for s, ids in got)
 
 
+@pytest.mark.parametrize("text", ["".join(random.Random(5).choices("abcdefghij0123456789+/", k=20000)), "=" * 20000, "文字" * 3500 + " in an ordinary document", "ab" * 9000 + " " + "cd" * 9000])
+def test_n_best_of_long_units(text):
+    p, n, unit = pieces.load(), 3, b" " + text.encode()
+    best = [[0.0]] + [[]] * len(unit)
+    for j, at in enumerate(p.arcs(unit)[1:], 1):
+        best[j] = sorted((a + s for i, s, _ in at for a in best[i]), reverse=True)[:n]
+    got = pieces.encode_slice(p, [text.encode()], n)[0][1]
+    assert [s for s, _ in got] == pytest.approx(best[-1]) and len(best[-1]) == n
+    assert len({tuple(ids.tolist()) for _, ids in got}) == n and all(pieces.text_of(p, ids) == text.encode() for _, ids in got)
+
+
 # Quality and toxicity
 
 
