@@ -3,8 +3,10 @@
 The ordinary dictionary is trained on windows of ordinary texts. The toxic one holds the same content and, before it, the
 passages of toxic texts that ordinary texts lack: what is left of the toxic texts when every byte n-gram that is
 about as common in ordinary texts is taken out. So both explain ordinary text equally well, and a window compresses better with the
-toxic dictionary only by what it shares with those passages. Each text's windows are counted by how many bytes they gain, at
-several thresholds, and a logistic curve calibrated on labelled texts turns the counts into a score.
+toxic dictionary only by what it shares with those passages. A third dictionary has also the passages of rarer wording, of which
+a single text is enough; what they are worth is left to the calibration, which sees their gains apart. Each text's windows are
+counted by how many bytes they gain from either, at several thresholds, and a logistic curve calibrated on labelled texts turns
+the counts into a score.
 """
 
 from __future__ import annotations
@@ -48,30 +50,32 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Distance:
-    """The two dictionaries; compressors are made once in each Python process."""
+    """The three dictionaries, each with the content of the one before; compressors are made once in each Python process."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int):
-        self.toxic, self.ordinary, self.level = toxic, ordinary, level
+    def __init__(self, rare: bytes, toxic: bytes, ordinary: bytes, level: int):
+        self.rare, self.toxic, self.ordinary, self.level = rare, toxic, ordinary, level
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "ready"}
 
     def gains(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Bytes that each window of each normalised text gains with the toxic dictionary."""
+        """Bytes that each window of each normalised text gains with the toxic dictionary, and with the rare passages beyond that: two rows."""
         if not hasattr(self, "ready"):
-            self.ready = _compressor(self.ordinary, self.level), _compressor(self.toxic + self.ordinary, self.level)
+            contents = self.ordinary, self.toxic + self.ordinary, self.rare + self.toxic + self.ordinary
+            self.ready = [_compressor(c, self.level) for c in contents]
         parts = [windows(t) for t in texts]
         shift = np.cumsum([0] + [len(t) for t in texts])
         cuts = np.concatenate(parts)
         cuts[:, 0] += np.repeat(shift[:-1], [len(p) for p in parts]).astype(np.uint64)
         whole = zstandard.BufferWithSegments(b"".join(texts), np.ascontiguousarray(cuts).tobytes())
         sizes = [np.fromiter((len(x) for x in c.multi_compress_to_buffer(whole)), np.int64, len(cuts)) for c in self.ready]
-        return np.split(sizes[0] - sizes[1], np.cumsum([len(p) for p in parts])[:-1])
+        return np.split(np.stack([sizes[0] - sizes[1], sizes[1] - sizes[2]]), np.cumsum([len(p) for p in parts])[:-1], axis=1)
 
 
 def gain_features(gain: np.ndarray) -> np.ndarray:
-    hits = np.array([(gain >= g).sum() for g in GAINS], float)
-    return np.concatenate([[1.0], np.log1p(hits), 3 * hits / (len(gain) + 5), [np.log1p(len(gain))]])
+    n = gain.shape[1]
+    hits = np.array([(own >= g).sum() for own in gain for g in GAINS], float)
+    return np.concatenate([[1.0], np.log1p(hits), 3 * hits / (n + 5), [np.log1p(n)]])
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -82,22 +86,54 @@ def _grams(text: bytes) -> np.ndarray:
     return (W.mix(h) >> np.uint64(42)).astype(np.int64)
 
 
-def distinctive(toxic: list[bytes], ordinary: list[bytes], ratio: float = 20.0, least: float = 0.02) -> list[bytes]:
-    """Passages of toxic texts made of n-grams found in that share of them (five at least) and ratio times as often as in ordinary ones; the most common first."""
+def _passages(text: bytes, found: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs that the n-grams marked in found cover."""
+    at = np.flatnonzero(found)
+    covered = np.zeros(len(text) + 2, np.int8)
+    for k in range(GRAM):
+        covered[at + k + 1] = 1
+    turn = np.diff(covered)
+    return [*zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
+
+
+def distinctive(toxic: list[bytes], ordinary: list[bytes], size: int = 64 << 10, ratio: float = 20.0, least: float = 0.02) -> tuple[list[bytes], list[bytes]]:
+    """Passages of toxic texts made of n-grams found ratio times as often as in ordinary ones: common and rare ones, best first.
+
+    Common: made of n-grams of that share of the texts (five at least), and seen three times; the most common first. Rare: any
+    others, whose n-grams are in most toxic texts first, each with an n-gram that none before it has, until they have size bytes.
+    """
     counts = np.zeros((2, BUCKETS), np.int32)
     for side, texts in enumerate((ordinary, toxic)):
         for t in texts:
             counts[side, np.unique(_grams(t))] += 1
-    found = (counts[1] >= max(5, least * len(toxic))) & (counts[1] / max(1, len(toxic)) >= ratio * (counts[0] + 1) / max(1, len(ordinary)))
+    share = counts[1] / max(1, len(toxic))
+    found = (counts[1] >= max(5, least * len(toxic))) & (share >= ratio * (counts[0] + 1) / max(1, len(ordinary)))
     passages: Counter = Counter()
     for t in toxic:
-        at = np.flatnonzero(found[_grams(t)])
-        covered = np.zeros(len(t) + 2, np.int8)
-        for k in range(GRAM):
-            covered[at + k + 1] = 1
-        turn = np.diff(covered)
-        passages.update({t[s:e] for s, e in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)})
-    return [p for p, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])) if n >= 3]
+        passages.update(t[s:e] for s, e in _passages(t, found[_grams(t)]))
+    common = [p for p, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])) if n >= 3]
+
+    seen = np.zeros(BUCKETS, np.bool_)
+    for p in common:
+        seen[_grams(p)] = True
+    found = (counts[1] > 0) & (share >= ratio * counts[0] / max(1, len(ordinary))) & ~seen
+    worth: dict[bytes, float] = {}
+    for t in toxic:
+        grams = _grams(t)
+        for s, e in _passages(t, found[grams]):
+            if (p := t[s:e]) not in worth:
+                own = grams[s : e - GRAM + 1]
+                worth[p] = float(counts[1][own[found[own]]].mean())
+    rare, room = [], size
+    for p in sorted(worth, key=lambda p: (-worth[p], p)):
+        if room <= 0:
+            break
+        grams = _grams(p)
+        if not seen[grams].all():
+            seen[grams] = True
+            rare.append(p)
+            room -= len(p)
+    return common, rare
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -132,12 +168,11 @@ def train(toxic: list[bytes], ordinary: list[bytes], odds: float = 1.0, dictiona
         base = zstandard.train_dictionary(dictionary_bytes, pieces[:: max(1, sum(map(len, pieces)) // (100 * dictionary_bytes))], level=level).as_bytes()
     else:  # too little to choose from
         base = b"".join(pieces)[:dictionary_bytes]
-    passages = distinctive(toxic[::2], ordinary[::2])
-    kept = b"".join(reversed(passages))[-dictionary_bytes:]
-    distance = Distance(kept or b" ", base or b" ", level)
+    rare, common = (b"".join(reversed(p))[-dictionary_bytes:] or b" " for p in reversed(distinctive(toxic[::2], ordinary[::2], dictionary_bytes)))
+    distance = Distance(rare, common, base or b" ", level)
     held = toxic[1::2] + ordinary[1::2]
     if not toxic[1::2] or not ordinary[1::2]:
-        return Model(distance, np.zeros(len(gain_features(np.zeros(1)))))
+        return Model(distance, np.zeros(len(gain_features(np.zeros((2, 1))))))
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
     x = np.stack([gain_features(g) for k in range(0, len(held), 256) for g in distance.gains(held[k : k + 256])])
     return Model(distance, logistic(x, y, np.where(y == 1, 1.0, odds**0.5)))

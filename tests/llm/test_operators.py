@@ -252,6 +252,21 @@ def test_toxicity(spark, docs, empty):
     assert window[0, 0] == 0 and int(window[-1].sum()) == len(toxicity.normalised(b"a b  c\nd " * 9))
 
 
+def test_toxicity_of_rare_kinds():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(300)]
+    kinds = [["".join(rng.choices("qrstuvwxyz", k=9)) for _ in range(3)] for _ in range(100)]
+
+    def text(kind=None):
+        own = rng.choices(words, k=80)
+        for _ in range(4 if kind else 0):
+            own[rng.randrange(80)] = rng.choice(kind)
+        return " ".join(own).encode()
+
+    model = toxicity.train([text(kinds[k // 2 % 100]) for k in range(1200)], [text() for _ in range(1200)])  # each kind in 1 % of the texts
+    assert np.mean(model.score([text(k) for k in kinds]) >= 0.5) > 0.9 > 0.1 > np.mean(model.score([text() for _ in range(400)]) >= 0.5)
+
+
 def test_labelled_sample(spark):
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(100)], "doc_id long, quality int")
     chosen, weight = X.labelled_sample(labels, "quality", 20, "doc_id")
