@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import table, written
+from lectern.llm.store import broadcast_if_small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract, with possessive quantifiers and with starts only where a run of their first characters starts
@@ -162,26 +162,49 @@ def belief(votes: tuple[int | None, ...], prior: float, coins: list[tuple[float,
     return 1 / (1 + math.exp(-odds))
 
 
-def classifier(counts: list) -> dict[str, float]:
-    """Log odds of "kind/shape" and of "kind/context=v": naive Bayes trained on the beliefs of the labelers."""
-    out: dict[str, float] = {}
+def vote_weights(counts: list) -> tuple[dict[str, float], dict[str, tuple[float, float]], dict[str, tuple[float, float]]]:
+    """By "kind|regex|gazetteer|context" the belief and the log odds without the shape, by kind both classes' mass: from counts of votes."""
+    beliefs, odds, masses = {}, {}, {}
     for kind in KINDS:
-        own = [r for r in counts if r["kind"] == kind]
-        patterns: dict = defaultdict(int)
-        for r in own:
-            patterns[(r["regex"], r["gazetteer"], r["context"])] += r["count"]
-        prior, coins = reliabilities(sorted(patterns.items(), key=str))
+        own = [((r["regex"], r["gazetteer"], r["context"]), r["count"]) for r in counts if r["kind"] == kind]
+        own.sort(key=str)
+        prior, coins = reliabilities(own)
         seen: dict = defaultdict(lambda: [0.5, 0.5])
         whole = [1.0, 1.0]
-        for r in own:
-            p = belief((r["regex"], r["gazetteer"], r["context"]), prior, coins)
-            for side, x in enumerate((p * r["count"], (1 - p) * r["count"])):
+        for votes, n in own:
+            p = belief(votes, prior, coins)
+            for side, x in enumerate((p * n, (1 - p) * n)):
                 whole[side] += x
-                for feature in (r["shape"], f"regex={r['regex']}", f"gazetteer={r['gazetteer']}", f"context={r['context']}"):
-                    seen[feature][side] += x
-        out[f"{kind}/"] = math.log(whole[0] / whole[1])
-        out |= {f"{kind}/{f}": math.log(a / whole[0]) - math.log(b / whole[1]) for f, (a, b) in seen.items()}
-    return out
+                for k, v in enumerate(votes):
+                    seen[k, v][side] += x
+            beliefs["|".join(map(str, (kind, *votes)))] = p
+        masses[kind] = (whole[0], whole[1])
+        for votes, _ in own:
+            weights = [math.log(seen[k, v][0] / whole[0]) - math.log(seen[k, v][1] / whole[1]) for k, v in enumerate(votes)]
+            odds["|".join(map(str, (kind, *votes)))] = math.log(whole[0] / whole[1]) + sum(weights)
+    return beliefs, odds, masses
+
+
+def chosen(counts: DataFrame, threshold: float) -> DataFrame:
+    """(kind, votes, shape) of the patterns, other than base spans', whose probability is threshold or more.
+
+    Naive Bayes trained on the beliefs of the labelers. counts: kind, regex, gazetteer, context, shape and count, of which only the
+    sums without shapes, a few dozen, come to the driver; each shape's mass is a sum over its votes.
+    """
+    sums = counts.groupBy("kind", "regex", "gazetteer", "context").agg(F.sum("count").alias("count")).collect()
+    beliefs, odds, masses = vote_weights(sums)
+    of = lambda known, key: F.create_map(*[F.lit(x) for k, v in sorted(known.items() or {"": 0.0}.items()) for x in (k, v)])[key]
+    votes = votes_of(F.col("kind"), F.col("regex"), F.col("gazetteer"), F.col("context"))
+    shapes = counts.select("kind", "shape", F.struct(votes.alias("votes"), "regex", "count", of(beliefs, votes).alias("belief")).alias("v")).groupBy("kind", "shape").agg(F.array_sort(F.collect_list("v")).alias("all"))
+    mass = lambda part: F.aggregate("all", F.lit(0.5), lambda s, v: s + part(v.belief) * v["count"])  # noqa: E731  in order, so the same in each run
+    yes, no = (of({k: m[side] for k, m in masses.items()}, F.col("kind")) for side in (0, 1))
+    weight = F.log(mass(lambda p: p) / yes) - F.log(mass(lambda p: 1 - p) / no)
+    found = shapes.withColumn("weight", weight).select("kind", "shape", "weight", F.explode("all").alias("v")).where(F.col("v.regex") == 0)
+    return found.where(of(odds, F.col("v.votes")) + F.col("weight") >= math.log(threshold / (1 - threshold))).select("kind", F.col("v.votes").alias("votes"), "shape")
+
+
+def votes_of(kind: Column, *votes: Column) -> Column:
+    return F.concat_ws("|", kind, *[F.coalesce(v.cast("string"), F.lit("None")) for v in votes])
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,24 +212,21 @@ def personal_data(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
 
     All base spans are in it, and other candidates that don't overlap one where the classifier's probability is threshold or
     more. Null and empty texts have none; repeated rows are answered each; an empty table trains nothing and gives no
-    rows. Texts are read once and never shuffled; spans are written to the shared folder. What comes to the driver are counts by vote
-    pattern and surface shape, of which there are a few thousand at most, as digits, lengths and punctuation are bounded.
+    rows. Texts are read once and never shuffled; spans and counts of their patterns are written to the shared folder. Only counts of
+    votes come to the driver; the patterns of votes and shape that are chosen are joined to the other candidates.
     """
-    rows = written(spans(docs, id_col, text_col), "spans")
+    rows = written(spans(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id()), "spans")
     by = ["kind", "regex", "gazetteer", "context", "shape"]
-    counts = rows.select(F.explode("spans").alias("s")).select("s.*").groupBy(*by).count().orderBy(F.desc("count"), *by).limit(20000).collect()
-    odds = classifier(counts)
-    weights = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)])
-
-    def log_odds(s: Column) -> Column:
-        of = lambda *p: F.coalesce(F.try_element_at(weights, F.concat(s.kind, F.lit("/"), *p)), F.lit(0.0))
-        vote = lambda name: of(F.lit(f"{name}="), F.coalesce(s[name].cast("string"), F.lit("None")))
-        return of() + of(s["shape"]) + vote("regex") + vote("gazetteer") + vote("context")
-
-    kept = F.filter("spans", lambda s: s.base | (log_odds(s) >= math.log(threshold / (1 - threshold))))
+    counts = written(rows.select(F.explode("spans").alias("s")).select("s.*").groupBy(*by).count(), "patterns")
+    patterns = broadcast_if_small(written(chosen(counts, threshold), "chosen"), 200_000)
+    others = rows.select("__row", F.explode(F.filter("spans", lambda s: ~s.base)).alias("s"))
+    others = others.select("__row", "s.*").withColumn("votes", votes_of(F.col("kind"), *[F.col(c) for c in by[1:4]]))
+    added = others.join(patterns, ["kind", "votes", "shape"], "left_semi").groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end", "base")).alias("added"))
+    base = F.transform(F.filter("spans", lambda s: s.base), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.base.alias("base")))
+    kept = F.when(F.col("added").isNull(), base).otherwise(F.concat(base, "added"))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ordered = F.array_sort(F.transform(kept, lambda s: F.struct(rank[s.kind].alias("rank"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.base.alias("base"))))
-    return rows.select(id_col, F.transform(ordered, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.base.alias("base"))).alias("found"))
+    return rows.join(added, "__row", "left").select(id_col, F.transform(ordered, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.base.alias("base"))).alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

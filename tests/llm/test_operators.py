@@ -329,6 +329,44 @@ def test_pii(spark, docs, empty):
     assert pii.personal_data(docs).count() == len(ROWS) and pii.personal_data(empty).count() == 0
 
 
+def brute_choice(counts, threshold=0.9):
+    """Patterns that naive Bayes chooses, from all counts at once."""
+    out = set()
+    for kind in pii.KINDS:
+        own = {k[1:]: n for k, n in counts.items() if k[0] == kind}
+        votes = defaultdict(int)
+        for k, n in own.items():
+            votes[k[:3]] += n
+        prior, coins = pii.reliabilities(sorted(votes.items(), key=str))
+        whole, seen = [1.0, 1.0], defaultdict(lambda: [0.5, 0.5])
+        for k, n in own.items():
+            p = pii.belief(k[:3], prior, coins)
+            for side, x in enumerate((p * n, (1 - p) * n)):
+                whole[side] += x
+                for f in enumerate(k):
+                    seen[f][side] += x
+        for k in own:
+            odds = np.log(whole[0] / whole[1]) + sum(np.log(seen[f][0] / whole[0]) - np.log(seen[f][1] / whole[1]) for f in enumerate(k))
+            out |= {(kind, *k)} if k[0] == 0 and odds >= np.log(threshold / (1 - threshold)) else set()
+    return out
+
+
+def test_pii_many_shapes(spark):
+    signs = [a + b + c + d for a in "._%+-" for b in "._%+-" for c in "._%+-" for d in "._%+-" if a != b != c != d]
+    emails = [f"{s[0]}{'7' * n}{'a' * m}{s[1]}x{s[2]}x{s[3]}x@b.com" for s in signs for n in range(21) for m in (0, 4, 8, 12)]
+    texts = [" ".join(emails[k : k + 10]) for k in range(0, len(emails), 10)] + ["tel: +1 (555) 555-1234"] * 20 + [f"{w} (076) 555-8046" for w in ("tel:", "phone", "order")]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = pii.written(pii.spans(d), "spans").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    key = lambda r: (r.kind, r.regex, r.gazetteer, r.context, r["shape"])
+    counts = defaultdict(int)
+    for r in rows:
+        counts[key(r)] += 1
+    threshold, kept = next((t, c) for t in (0.9, 0.1, 1e-2, 1e-3, 1e-4, 1e-6) if (c := brute_choice(counts, t)))
+    want = {(r.doc_id, r.kind, r.start, r.end, r.base) for r in rows if r.base or key(r) in kept}
+    got = [(r.doc_id, *s) for r in pii.personal_data(d, threshold).collect() for s in r.found]
+    assert len(counts) > 20000 and any(not w[4] for w in want) and set(got) == want and len(got) == len(want)
+
+
 def test_pii_reliabilities():
     prior, coins = pii.reliabilities([((1, 1, 1), 80), ((0, 0, None), 100), ((1, 0, 1), 5), ((0, 1, 0), 15)])
     assert pii.belief((1, 1, 1), prior, coins) > 0.95 > 0.05 > pii.belief((0, 0, None), prior, coins)
