@@ -90,11 +90,15 @@ def base_failed() -> Column:
 
 #: Outcomes of a rule, and what each is expected to be before any data: P(outcome | good), P(outcome | bad).
 BAD, GOOD, ABSTAIN = 0, 1, 2
-EXPECTED = ((0.02, 0.49, 0.49), (0.3, 0.35, 0.35))
+EXPECTED = ((0.1, 0.6, 0.3), (0.3, 0.4, 0.3))
 
 
 def rules() -> dict[str, Column]:
-    """The outcome of each rule. A rule votes where its evidence is clear; that a defect is absent is no vote for good."""
+    """The outcome of each rule: bad, good, or an abstention where its evidence is unclear.
+
+    Defects have a sensitive rule, which is often wrong about clean texts, and a strict one, which never says good; what a vote is
+    worth is for the estimation to find out.
+    """
     n, share = F.greatest(F.col("n_words"), F.lit(1)), lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     symbols, dups, repeats, upper, mean_length = F.col("n_symbols") / n, share("n_dup_lines", "n_lines"), F.col("n_repeat_words") / n, share("n_upper", "n_letters"), F.col("word_chars") / n
 
@@ -103,64 +107,57 @@ def rules() -> dict[str, Column]:
         return (found if good is None else found.when(good, F.lit(GOOD))).otherwise(F.lit(ABSTAIN))
 
     return {
-        "length": vote(F.lit(False), F.col("n_words") >= 80),  # too few words is base_failed's business
-        "word_length": vote((mean_length < 2.0) | (mean_length > 14.0), mean_length.between(3.0, 10.0)),
-        "symbols": vote(symbols > 0.2),
-        "duplicate_lines": vote(dups > 0.5),
-        "repetition": vote(repeats > 0.4),
-        "upper_case": vote(upper > 0.4),
+        "length": vote(F.col("n_words") < 80, F.col("n_words") >= 120),
+        "word_length": vote((mean_length < 3.5) | (mean_length > 6.3), mean_length.between(4.2, 6.0)),
+        "symbols": vote(symbols > 0.05, symbols <= 0.01),
+        "many_symbols": vote(symbols > 0.2),
+        "duplicate_lines": vote(dups > 0.3, (dups == 0) & (F.col("n_lines") >= 3)),
+        "many_duplicate_lines": vote(dups > 0.5),
+        "repetition": vote(repeats > 0.15, repeats <= 0.05),
+        "much_repetition": vote(repeats > 0.4),
+        "upper_case": vote(upper > 0.1, upper <= 0.06),
+        "much_upper_case": vote(upper > 0.4),
     }
 
 
 def posterior(votes: tuple[int, ...], prior: float, chances: list[tuple]) -> float:
-    """P(good | votes), the rules being independent given the class; a rule that abstains says nothing.
-
-    Counting silence as evidence would let rules that fire together (repetition, capitals) outvote one that fires alone.
-    """
+    """P(good | votes), the rules being independent given the class; a rule that abstains says nothing."""
     odds = math.log(prior) - math.log1p(-prior) + sum(math.log(good[v] / bad[v]) for v, (good, bad) in zip(votes, chances, strict=True) if v != ABSTAIN)
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], size: int, rounds: int = 200, prior: float = 0.85, strength: float = 5.0, precision: float = 0.7) -> tuple[float, list[tuple]]:
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], size: int, rounds: int = 300, prior: float = 0.8, strength: float = 5.0) -> tuple[float, list[tuple]]:
     """(P(good), per rule P(outcome | good) and P(outcome | bad)) from counts of vote patterns: Dawid-Skene by EM.
 
-    The class balance is given, not estimated: with silent rules left out of the posterior the votes alone don't settle it.
-    A vote for bad is taken to be right with at least the given precision, the weak-supervision premise that rules beat
-    chance; EM may find a rule better than that, and good votes may still outweigh it.
-
-    It starts from the verdicts of all-must-pass filtering, softened to 0.9 and 0.1: defects exclude one another more often
-    than they meet, so a start from the rules' joint firing would take one kind of defect for the whole bad class. EXPECTED,
-    worth strength texts of each class, keeps every chance above zero.
+    All rules start alike, as EXPECTED, so the first verdicts are a weighted majority of the votes. The class balance is estimated
+    too; prior is its start, worth ten texts. EXPECTED, worth strength texts of each class, keeps every chance above zero.
+    Without patterns the start is returned.
     """
     chances: list[tuple] = [EXPECTED] * size
-    for step in range(rounds):
+    for _ in range(rounds):
         seen = [[[strength * x for x in side] for side in EXPECTED] for _ in range(size)]
+        mass, total = 10 * prior, 10.0
         for votes, count in patterns:
-            p = posterior(votes, prior, chances) if step else (0.1 if BAD in votes else 0.9)
+            p = posterior(votes, prior, chances)
+            mass, total = mass + p * count, total + count
             for side, weight in ((0, p * count), (1, (1 - p) * count)):
                 for k, v in enumerate(votes):
                     seen[k][side][v] += weight
-        new = []
-        for both in seen:
-            good, bad = ([x / sum(side) for x in side] for side in both)
-            most = bad[BAD] * (1 - prior) / prior * (1 - precision) / precision
-            if good[BAD] > most:
-                good[ABSTAIN], good[BAD] = good[ABSTAIN] + good[BAD] - most, most
-            new.append((tuple(good), tuple(bad)))
+        new = [tuple(tuple(x / sum(side) for x in side) for side in both) for both in seen]
         moved = max([abs(x - y) for p, q in zip(chances, new, strict=True) for a, b in zip(p, q, strict=True) for x, y in zip(a, b, strict=True)], default=0)
-        chances = new
+        chances, prior = new, mass / total
         if moved < 1e-9:
             break
     return prior, chances
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, counts, base_failed, quality_posterior and kept.
+    """Per row: id, counts, base_failed, quality_posterior, kept, and bad_votes, the number of rules that voted bad.
 
-    kept is false where base_failed, else whether the posterior probability of quality is at least the threshold. Nulls and
-    empty texts have no words and so fail; repeated rows are counted and judged as rows; an empty table gives no rows. Texts
-    are read once, the counts are written to the shared folder, and only counts of vote patterns (3 ** rules at most) come
-    to the driver.
+    kept is false where base_failed, else whether the posterior probability of quality is at least the threshold, so a bad vote of
+    a rule found unreliable, or one that the others outweigh, drops nothing. Nulls and empty texts have no words and so fail;
+    repeated rows are counted and judged as rows; an empty table gives no rows. Texts are read once, the counts are
+    written to the shared folder, and only counts of vote patterns (3 ** 6 * 2 ** 4 at most) come to the driver.
     """
     stats = written(quality_stats(docs, id_col, text_col), "quality-stats")
     named = rules()
@@ -169,10 +166,11 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     odds = F.lit(math.log(prior) - math.log1p(-prior))
     for outcome, (good, bad) in zip(named.values(), chances, strict=True):
         odds = odds + F.element_at(F.array(*[F.lit(0.0 if v == ABSTAIN else math.log(good[v] / bad[v])) for v in (BAD, GOOD, ABSTAIN)]), outcome + 1)
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
+    bad_votes = sum(((c == BAD).cast("int") for c in named.values()), F.lit(0))
+    judged = stats.withColumn("base_failed", base_failed()).withColumn("quality_posterior", 1 / (1 + F.exp(-odds))).withColumn("bad_votes", bad_votes)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality_posterior") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_posterior"]
+    kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_posterior", "bad_votes"]
     return quality_rules(table(spark, sf_dir, "documents")).select(*kept)
