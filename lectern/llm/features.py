@@ -92,3 +92,14 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, id_col: str)
     sizes = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     parts = [known.where(F.col("__label") == k).orderBy(F.xxhash64(F.col("__sid")), "__sid").limit(per_class) for k in (0, 1)]
     return parts[0].unionAll(parts[1]), {k: max(1.0, n / per_class) for k, n in sizes.items()}
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, float]]:
+    """(id, label, text) of the sampled ids that docs holds, and the weights of labelled_sample.
+
+    An id counts once, with its text of least hash, however many rows it has; a null text is empty.
+    """
+    chosen, weight = labelled_sample(labels, label, per_class, id_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__sid")).select(F.col(id_col).cast("string").alias("id"), F.col("__label").alias("label"), text.alias("text"))
+    return rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), weight

@@ -79,14 +79,13 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, rank: int = 32, neighbours: int = 8, power: float = 30.0, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of at most per_class labelled texts of each class (see features.labelled_sample); None without both ids and labels.
+    """A model of at most per_class labelled texts of each class (see features.labelled_texts); None without both ids and labels.
 
     Document frequencies are counted over all texts. Labelled rows whose text is missing teach nothing; votes of a class are
     weighted by its rows per sampled row, so that sampling doesn't change the odds.
     """
     rows, frequency = X.document_frequencies(docs, F.col(text_col), _counts, DIMS)
-    chosen, weight = X.labelled_sample(labels, label, per_class, id_col)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__sid")).select(F.col(id_col).alias("id"), F.col("__label").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts, weight = X.labelled_texts(docs, labels, label, per_class, id_col, text_col)
     got = texts.mapInArrow(_sampled, "id string, label int, counts binary").collect()
     if not got:
         return None

@@ -1,12 +1,12 @@
 """Toxicity by compression distance: Zstandard dictionaries of toxic and of ordinary text, compared window by window.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic one holds the same content and, before it, the
-passages of toxic texts that ordinary texts lack: what is left of the toxic texts when every byte n-gram that is
-about as common in ordinary texts is taken out. So both explain ordinary text equally well, and a window compresses better with the
-toxic dictionary only by what it shares with those passages. A third dictionary has also the passages of rarer wording, of which
-a single text is enough; what they are worth is left to the calibration, which sees their gains apart. Each text's windows are
-counted by how many bytes they gain from either, at several thresholds, and a logistic curve calibrated on labelled texts turns
-the counts into a score.
+The ordinary dictionary is trained on all windows of ordinary texts. The toxic one is trained on what toxic texts have and ordinary
+texts lack: the passages that are left when every byte n-gram that is about as common in ordinary texts is taken out, each
+as often as it occurs. It goes before the ordinary content, so both explain ordinary text equally well, and a window
+compresses better with the toxic dictionary only by what it shares with those passages. A third dictionary has also the passages of rarer
+wording, of which a single text is enough; what they are worth is left to the calibration, which sees their gains apart. Each
+text's windows are counted by how many bytes they gain from either, at several thresholds, and a logistic curve calibrated on
+labelled texts turns the counts into a score.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import features as X
 from lectern.llm import words as W
-from lectern.llm.store import table
+from lectern.llm.store import table, written
 
 WINDOW = 12  # words
-GRAM = 5  # bytes
+GRAM, GRAMS = 5, (5, 9)  # bytes; the longer ones find words made of common syllables
 GAINS = (1, 2, 3, 5, 8)
 BUCKETS = 1 << 22
 
@@ -78,52 +78,64 @@ def gain_features(gain: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], np.log1p(hits), 3 * hits / (n + 5), [np.log1p(n)]])
 
 
-def _grams(text: bytes) -> np.ndarray:
+def _grams(text: bytes, size: int = GRAM) -> np.ndarray:
     a = np.frombuffer(text, np.uint8).astype(np.uint64)
-    h = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
+    h = np.zeros(max(0, len(a) - size + 1), np.uint64)
+    for k in range(size):
         h = h * np.uint64(1000003) + a[k : len(h) + k]
     return (W.mix(h) >> np.uint64(42)).astype(np.int64)
 
 
-def _passages(text: bytes, found: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs that the n-grams marked in found cover."""
-    at = np.flatnonzero(found)
-    covered = np.zeros(len(text) + 2, np.int8)
-    for k in range(GRAM):
-        covered[at + k + 1] = 1
+def _passages(covered: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of marked bytes; covered has a byte more at both ends."""
     turn = np.diff(covered)
     return [*zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
 
 
+def _cover(covered: np.ndarray, found: np.ndarray, size: int) -> None:
+    at = np.flatnonzero(found)
+    for k in range(size):
+        covered[at + k + 1] = 1
+
+
+def _text_counts(texts: list[bytes], size: int) -> np.ndarray:
+    """In how many texts each n-gram is."""
+    out = np.zeros(BUCKETS, np.int32)
+    for t in texts:
+        out[np.unique(_grams(t, size))] += 1
+    return out
+
+
 def distinctive(toxic: list[bytes], ordinary: list[bytes], size: int = 64 << 10, ratio: float = 20.0, least: float = 0.02) -> tuple[list[bytes], list[bytes]]:
-    """Passages of toxic texts made of n-grams found ratio times as often as in ordinary ones: common and rare ones, best first.
+    """Passages of toxic texts made of n-grams found ratio times as often as in ordinary ones: common and rare ones.
 
-    Common: made of n-grams of that share of the texts (five at least), and seen three times; the most common first. Rare: any
-    others, whose n-grams are in most toxic texts first, each with an n-gram that none before it has, until they have size bytes.
+    Common: made of n-grams of that share of the texts (five at least), of either length, and seen three times; each as often as it
+    is seen. Rare: any others, whose n-grams are in most toxic texts first, each with an n-gram that none before it has,
+    until they have size bytes.
     """
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for side, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            counts[side, np.unique(_grams(t))] += 1
-    share = counts[1] / max(1, len(toxic))
-    found = (counts[1] >= max(5, least * len(toxic))) & (share >= ratio * (counts[0] + 1) / max(1, len(ordinary)))
-    passages: Counter = Counter()
-    for t in toxic:
-        passages.update(t[s:e] for s, e in _passages(t, found[_grams(t)]))
-    common = [p for p, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])) if n >= 3]
-
+    covered = [np.zeros(len(t) + 2, np.int8) for t in toxic]
+    for n in GRAMS:
+        ours, theirs = _text_counts(toxic, n), _text_counts(ordinary, n)
+        found = (ours >= max(5, least * len(toxic))) & (ours / max(1, len(toxic)) >= ratio * (theirs + 1) / max(1, len(ordinary)))
+        for t, c in zip(toxic, covered, strict=True):
+            _cover(c, found[_grams(t, n)], n)
+    seen_in = [t[s:e] for t, c in zip(toxic, covered, strict=True) for s, e in _passages(c)]
+    passages = Counter(seen_in)
+    common = [p for p in seen_in if passages[p] >= 3]
+
+    ours, theirs = _text_counts(toxic, GRAM), _text_counts(ordinary, GRAM)
     seen = np.zeros(BUCKETS, np.bool_)
-    for p in common:
+    for p in set(common):
         seen[_grams(p)] = True
-    found = (counts[1] > 0) & (share >= ratio * counts[0] / max(1, len(ordinary))) & ~seen
+    found = (ours > 0) & (ours / max(1, len(toxic)) >= ratio * theirs / max(1, len(ordinary))) & ~seen
     worth: dict[bytes, float] = {}
     for t in toxic:
-        grams = _grams(t)
-        for s, e in _passages(t, found[grams]):
+        grams, own = _grams(t), np.zeros(len(t) + 2, np.int8)
+        _cover(own, found[grams], GRAM)
+        for s, e in _passages(own):
             if (p := t[s:e]) not in worth:
-                own = grams[s : e - GRAM + 1]
-                worth[p] = float(counts[1][own[found[own]]].mean())
+                some = grams[s : e - GRAM + 1]
+                worth[p] = float(ours[some[found[some]]].mean())
     rare, room = [], size
     for p in sorted(worth, key=lambda p: (-worth[p], p)):
         if room <= 0:
@@ -136,6 +148,19 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes], size: int = 64 << 10,
     return common, rare
 
 
+def trained(samples: list[bytes], size: int, level: int, segment: int) -> bytes:
+    """The content of a Zstandard dictionary trained on the samples; a single blank without samples.
+
+    The trainer needs a few samples of eight bytes: what is shorter is padded, and all are repeated until there are enough. That
+    changes no frequencies.
+    """
+    if not samples:
+        return b" "
+    samples = [s.ljust(8) for s in samples]
+    samples *= max(1, -(-64 // len(samples)), -(-(16 << 10) // sum(map(len, samples))))
+    return zstandard.train_dictionary(size, samples, k=segment, d=8, level=level).as_bytes()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weighted ridge logistic regression by Newton's method."""
     w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
@@ -163,13 +188,9 @@ def train(toxic: list[bytes], ordinary: list[bytes], odds: float = 1.0, dictiona
     odds is how many labelled ordinary texts a given one stands for, per toxic one: its root weighs the ordinary class.
     """
     toxic, ordinary = [normalised(t) for t in toxic], [normalised(t) for t in ordinary]
-    pieces = [bytes(t[s : s + n]) for t in ordinary[::2] for s, n in windows(t)[::4].tolist()]
-    if sum(map(len, pieces)) > 16 * dictionary_bytes and len(pieces) > 64:
-        base = zstandard.train_dictionary(dictionary_bytes, pieces[:: max(1, sum(map(len, pieces)) // (100 * dictionary_bytes))], level=level).as_bytes()
-    else:  # too little to choose from
-        base = b"".join(pieces)[:dictionary_bytes]
-    rare, common = (b"".join(reversed(p))[-dictionary_bytes:] or b" " for p in reversed(distinctive(toxic[::2], ordinary[::2], dictionary_bytes)))
-    distance = Distance(rare, common, base or b" ", level)
+    base = trained([bytes(t[s : s + n]) for t in ordinary[::2] for s, n in windows(t).tolist()], dictionary_bytes, level, 64)
+    common, rare = distinctive(toxic[::2], ordinary[::2], dictionary_bytes)
+    distance = Distance(b"".join(reversed(rare)) or b" ", trained(common, dictionary_bytes, level, 24), base, level)
     held = toxic[1::2] + ordinary[1::2]
     if not toxic[1::2] or not ordinary[1::2]:
         return Model(distance, np.zeros(len(gain_features(np.zeros((2, 1))))))
@@ -178,10 +199,17 @@ def train(toxic: list[bytes], ordinary: list[bytes], odds: float = 1.0, dictiona
     return Model(distance, logistic(x, y, np.where(y == 1, 1.0, odds**0.5)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of at most per_class labelled texts of each class (see features.labelled_sample); None without both classes."""
-    chosen, weight = X.labelled_sample(labels, label, per_class, id_col)
-    got = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__sid")).select(F.col(id_col).cast("string").alias("id"), F.col("__label").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).collect()
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, class_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model of a bounded sample of labelled texts; None without both classes.
+
+    Of each class at most per_class ids (see features.labelled_texts), in order of a hash of the id for as long as their texts have
+    class_bytes together; each text is taken whole.
+    """
+    rows, weight = X.labelled_texts(docs, labels, label, per_class, id_col, text_col)
+    rows = written(rows.withColumn("size", F.octet_length("text").cast("long")).withColumn("place", F.xxhash64("id")), "labelled")
+    order = Window.partitionBy("label").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.select("id", "label", F.sum("size").over(order).alias("total")).where(F.col("total") <= class_bytes).select("id", "label")
+    got = rows.join(F.broadcast(fits), ["id", "label"]).select("id", "label", "text").collect()
     got.sort(key=lambda r: (r["id"], r["text"]))
     sides = [[r["text"].encode() for r in got if r["label"] == k] for k in (1, 0)]
     return train(*sides, odds=weight[0] / weight[1]) if all(sides) else None
