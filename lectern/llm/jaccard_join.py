@@ -2,14 +2,17 @@ r"""N-gram Jaccard join: exact connected components of texts whose shingle sets
 
 Set relations save the work that a plain prefix-filter join repeats for sets that are nearly alike.
 
-* Equal sets share one answer: only the least id of each distinct set is joined.
-* A set takes over the answer of a highly similar set: MinHash bands pair each set with the least id of each band, the pair is
-  verified exactly, and linked sets form groups. Inside a group no further pair is ever looked at; a group of
-  thousands costs a pair for each member and not for each two.
+* Equal sets share one answer: each distinct set is joined once, whatever number of rows has it.
+* Similar sets form clusters: MinHash bands pair each set with the first set of each band, the overlap of the pair is computed, and a
+  set goes to the cluster of the first set that it is linked with. Linked clusters form groups; inside a group no
+  pair is looked at again, so thousands of near copies cost a pair for each and not for each two.
 * What is left is links between groups, found by an exact prefix-filter join in which a shingle's index list counts only if it
   holds two groups. The lists are cut into blocks by set size (powers of 4/3) and by the shingle's position in the set's
   order; a set probes the blocks that can hold a partner and skips the others. Shingles are ordered by rising frequency,
-  so that the prefix avoids those that many texts share.
+  so that the prefix avoids those that many texts share. In a list a cluster is one entry, not one for each member.
+* A member's answers are derived from those of its cluster's centre. If A' differs from centre A by add(A') shingles that A lacks and
+  rem(A') that it has lost, |A' & B'| lies between |A & B| - rem(A') - rem(B') and |A & B| + add(A') + add(B'). So the overlap of two
+  centres, computed once, mostly settles all pairs of their members; only pairs that the bounds leave open are compared.
 
 Two sets with n1 >= n2 shingles and 7 * overlap >= 3 * (n1 + n2) share one of the first n1 - ceil(3 * n1 / 4) + 1 shingles of the
 larger set that lies at a position of at most (4 * n2 - 3 * n1) / 7 in the smaller one, so the join loses no link.
@@ -17,7 +20,7 @@ larger set that lies at a position of at most (4 * n2 - 3 * n1) / 7 in the small
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from lectern.llm.components import components
 from lectern.llm.store import broadcast_if_small, table, written
 
 WIDTH, BANDS, PER_BAND = 5, 6, 2
-#: Counters of shingle frequency: a fixed size whatever the corpus; shingles that share one share its count.
-COUNTER_BITS = 17
+#: Counters of shingle frequency: a power of two for so many shingles each, between these bounds; shingles that share one share its count.
+SHINGLES_A_COUNTER, LEAST_BITS, MOST_BITS = 4096, 17, 21
 _odd = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,52 +76,81 @@ def _sketches(width: int):
     return run
 
 
-def _frequencies(width: int):
+def _frequencies(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, sets in _sets(batch, width):
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
 
     return run
 
 
-def _prefixes(width: int, level: np.ndarray):
-    """The prefix of each set: its shingles in order of (frequency level, hash), as far as a partner must share one."""
+def _key(s: np.ndarray) -> int:
+    """The first of the two sums of a set's sketch."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+
+
+def _listed(width: int, chosen: Callable[[np.ndarray], np.ndarray], name: str):
+    """Rows of id, the set's key and size, and a list of shingles chosen from the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                out = []
-                for s in sets:
-                    n = len(s)
-                    order = np.argsort(level[s >> np.uint64(64 - COUNTER_BITS)], kind="stable")
-                    out.append(s[order[: n - (3 * n + 3) // 4 + 1 if n else 0]])
-                yield pa.RecordBatch.from_arrays([ids, _lists(out)], names=["__id", "prefix"])
+                keys, sizes = pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, keys, sizes, _lists([chosen(s) for s in sets])], names=["__id", "s1", "n", name])
 
     return run
 
 
-def _whole(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["__id", "shingles"])
+def _prefix(level: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A set's shingles in order of (frequency level, hash), as far as a partner must share one."""
 
-    return run
+    def first(s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        order = np.argsort(level[s >> np.uint64(64 - bits)], kind="stable")
+        return s[order[: n - (3 * n + 3) // 4 + 1 if n else 0]]
+
+    return first
+
+
+class _Sets:
+    """The distinct sets (sid, rep, s1, s2, n), rep being the least id that has the set, and the texts they come from."""
+
+    def __init__(self, kinds: DataFrame, texts: DataFrame, width: int):
+        self.kinds, self.texts, self.width = kinds, texts, width
 
+    def lists(self, wanted: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+        """wanted (sid, rep, s1, n and more) with a list of shingles of each set; only texts of a wanted rep are hashed."""
+        keys = broadcast_if_small(wanted)
+        texts = self.texts.join(broadcast_if_small(wanted.select(F.col("rep").alias("__id"))), "__id", "left_semi")
+        found = texts.mapInArrow(_listed(self.width, chosen, name), f"__id long, s1 long, n long, {name} array<long>")
+        return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"]).dropDuplicates(["sid"])
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection; only texts of some pair are hashed and shuffled."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct(), "wanted")
-    sets = texts.join(broadcast_if_small(wanted), "__id", "left_semi").mapInArrow(_whole(width), "__id long, shingles array<long>").dropDuplicates(["__id"])
-    of = lambda side: sets.select(F.col("__id").alias(side), F.col("shingles").alias(f"of_{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(7 * shared >= 3 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, shared) for distinct pairs of sids, by exact intersection; only sets of some pair are shuffled."""
+        pairs = written(pairs.distinct(), "pairs")
+        ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
+        wanted = written(self.kinds.join(ids, "sid").select("sid", "rep", "s1", "n"), "wanted")
+        sets = written(self.lists(wanted, lambda s: s, "shingles").select("sid", "n", "shingles"), "sets")
+        both = _with_sets(_with_sets(pairs, sets, "b"), sets, "a")
+        return both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, most: int = 200) -> DataFrame:
+    """pairs with the set and size of one side. A set of very many pairs is copied, so that each task has at most so many of its pairs."""
+    hot = pairs.groupBy(F.col(side).alias("__hot")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1")
+    hot = broadcast_if_small(written(hot, "hot"))
+    salted = pairs.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), "copies")).cast("int")).drop("__hot", "copies")
+    copied = sets.join(hot, F.col("sid") == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    copied = copied.select(F.col("sid").alias(side), "__salt", F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"of_{side}"))
+    return salted.join(copied, [side, "__salt"]).drop("__salt")
+
+
+def _similar(shared: Column, na: Column, nb: Column) -> Column:
+    return 7 * shared >= 3 * (na + nb)
 
 
 def _hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -127,14 +159,68 @@ def _hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     Common shingles up to the last common one of the prefixes are all in both prefixes. Those after it follow it in both
     sets, and are behind the prefix of at least one of them.
     """
-    wanted = written(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct(), "wanted")
-    prefixes = prefixes.join(broadcast_if_small(wanted), "rep", "left_semi")
-    of = lambda side: prefixes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"of_{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
+    wanted = written(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct(), "wanted")
+    own = prefixes.join(broadcast_if_small(wanted), "sid", "left_semi").select("sid", "n", F.col("prefix").alias("shingles"))
+    both = _with_sets(_with_sets(pairs, own, "b"), own, "a").withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
     last = F.element_at("common", -1)
     behind = lambda side: F.col(f"n{side}") - F.array_position(f"of_{side}", last)
     suffix = F.greatest(F.col("na") - F.size("of_a"), F.col("nb") - F.size("of_b"))
-    return both.where(7 * (F.size("common") + F.least(suffix, behind("a"), behind("b"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return both.where(_similar(F.size("common") + F.least(suffix, behind("a"), behind("b")), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _clusters(kinds: DataFrame, stars: DataFrame) -> DataFrame:
+    """(sid, cluster, add, rem, size): the centre of each set's cluster, how it differs from it, and the members of the cluster.
+
+    A set goes to the first set that it is linked with; one that others go to is the centre of its own cluster.
+    """
+    to = stars.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct("a", "na", "nb", "shared")).alias("to"))
+    to = to.select("sid", F.col("to.a").alias("centre"), (F.col("to.nb") - F.col("to.shared")).alias("add"), (F.col("to.na") - F.col("to.shared")).alias("rem"))
+    centres = stars.groupBy(F.col("a").alias("sid")).agg(F.lit(True).alias("is_centre"))
+    found = kinds.select("sid").join(to, "sid", "left").join(centres, "sid", "left")
+    goes = F.col("is_centre").isNull() & F.col("centre").isNotNull()
+    found = written(found.select("sid", F.when(goes, F.col("centre")).otherwise(F.col("sid")).alias("cluster"), *[F.when(goes, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("add", "rem")]), "members")
+    sizes = found.where("sid <> cluster").groupBy("cluster").agg((F.count("*") + 1).alias("size"))
+    return found.join(broadcast_if_small(written(sizes, "sizes")), "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+
+
+def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) of sids between groups: one at least of each two groups that have one."""
+    probes = entries.select("*", F.explode(_probes(F.col("n"))).alias("to")).select("shingle", "to.c", "to.h", "cluster", "group", "size", "n", "pos")
+    index = entries.where("7 * pos <= n").select("shingle", _size_class(F.col("n")).alias("c"), F.when(F.col("pos") * 14 <= F.col("n"), 0).otherwise(1).alias("h"), "cluster", "group", "size", "n", "pos")
+
+    def by_cluster(rows: DataFrame, side: str) -> DataFrame:
+        """A list's entries: sets that are alone, and one for each cluster with the range of its members' sizes and of what can follow."""
+        keys = ["shingle", "c", "h", "cluster", "group"]
+        alone = rows.where("size = 1").select(*keys, F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("room"))
+        many = rows.where("size > 1").groupBy(*keys).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
+        return alone.unionAll(many).select("shingle", "c", "h", F.col("cluster").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("group", "lo", "hi", "room")])
+
+    met = by_cluster(probes, "a").join(by_cluster(index, "b"), ["shingle", "c", "h"])
+    met = met.where("group_a <> group_b AND hi_a >= lo_b AND 4 * hi_b >= 3 * lo_a AND 7 * least(room_a, room_b) >= 3 * (lo_a + lo_b)")
+    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    many = members.where("size > 1").groupBy("cluster").agg(F.min("n").alias("lo"), F.max("add").alias("add"))
+    many = broadcast_if_small(written(many, "clusters"))
+    of = lambda side: many.select(F.col("cluster").alias(f"many_{side}"), F.col("lo").alias(f"lo_{side}"), F.col("add").alias(f"add_{side}"))
+    met = written(met.join(of("a"), F.col("a") == F.col("many_a"), "left").join(of("b"), F.col("b") == F.col("many_b"), "left"), "candidates")
+
+    alone = F.col("many_a").isNull() & F.col("many_b").isNull()
+    ranges = met.where(~alone)
+    checked = written(sets.overlaps(_hopeful(met.where(alone).select("a", "b"), prefixes).unionAll(ranges.select("a", "b"))), "overlaps")
+    linked = checked.where(_similar(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+
+    # Pairs of clusters whose centres aren't linked, but some members might be.
+    lowest = lambda side: F.coalesce(f"lo_{side}", f"n{side}")
+    most = F.col("shared") + F.coalesce("add_a", F.lit(0)) + F.coalesce("add_b", F.lit(0))
+    undecided = ranges.join(checked, ["a", "b"]).where(~_similar(F.col("shared"), F.col("na"), F.col("nb")) & _similar(most, lowest("a"), lowest("b")))
+    undecided = written(undecided.select("a", "b", "shared"), "undecided")
+    ids = written(undecided.select(F.col("a").alias("cluster")).unionAll(undecided.select("b")).distinct(), "wanted")
+    inside = entries.join(broadcast_if_small(ids), "cluster", "left_semi").join(members.select("sid", "add", "rem"), "sid")
+    side = lambda x: inside.select(F.col("cluster").alias(x), "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "add", "rem")])
+    pairs = undecided.join(side("a"), "a").join(side("b"), ["b", "shingle"]).where(_similar(F.col("shared") + F.col("add_a") + F.col("add_b"), F.col("n_a"), F.col("n_b")))
+    sure = _similar(F.col("shared") - F.col("rem_a") - F.col("rem_b"), F.col("n_a"), F.col("n_b"))
+    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), sure.alias("sure")).distinct(), "member-pairs")
+    rest = sets.overlaps(pairs.where("NOT sure").select("a", "b")).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    return linked.unionAll(pairs.where("sure").select("a", "b")).unionAll(rest.select("a", "b"))
 
 
 def _size_class(n: Column) -> Column:
@@ -162,44 +248,52 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     texts differ, that node has the links of all of them. Sets are compared by 64-bit shingle hashes.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    sets = written(texts.mapInArrow(_sketches(width), "__id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
-
-    # Equal sets: one stands for all.
-    kinds = sets.where("n > 0 AND __id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("__id", "bands")).alias("x"))
-    kinds = written(kinds.select("s1", "s2", "n", F.col("x.__id").alias("rep"), F.col("x.bands").alias("bands")), "kinds")
-    texts = texts.where(F.col("__id").isNotNull())
-
-    # Highly similar sets: each with the least id of its bands.
-    banded = kinds.select("rep", "n", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("key"), F.col("head.rep").alias("a"), F.col("head.n").alias("na"))
-    near = banded.join(written(heads, "heads"), F.col("band") == F.col("key")).where("rep <> a AND 4 * least(n, na) >= 3 * greatest(n, na)")
-    groups = written(components(_linked(near.select("a", F.col("rep").alias("b")), texts, width)), "groups")
+    sketches = written(texts.mapInArrow(_sketches(width), "__id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+
+    # Equal sets: one stands for all. Sets have numbers of their own, given once and kept in the written table.
+    kinds = sketches.where("n > 0 AND __id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.any_value("bands").alias("bands"))
+    kinds = written(kinds.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "n", "rep", "bands"), "kinds")
+    sets = _Sets(kinds.drop("bands"), texts.where(F.col("__id").isNotNull()), width)
+    numbered = sketches.select("__id", "n", "s1", "s2").join(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("kn"), F.when(F.lit(True), F.col("sid")).alias("sid")), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("__id").isNotNull(), "left")
+    rows = written(numbered.select("__id", "n", "sid"), "rows")
+
+    # Similar sets: each with the first set of its bands.
+    banded = kinds.select("sid", "n", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("key"), F.col("head.sid").alias("a"), F.col("head.n").alias("na"))
+    near = banded.join(written(heads, "heads"), F.col("band") == F.col("key")).where("sid <> a AND 4 * least(n, na) >= 3 * greatest(n, na)")
+    stars = sets.overlaps(near.select("a", F.col("sid").alias("b"))).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    stars = written(stars, "stars")
+    groups = written(components(stars.select("a", "b")), "groups")
+    members = _clusters(kinds, stars).join(groups, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "add", "rem", "size", F.coalesce("component", "sid").alias("group"))
+    members = written(members.join(kinds.select("sid", "rep", "s1", "n"), "sid"), "members")
 
     # Links between groups.
-    counts = np.zeros(1 << COUNTER_BITS)
-    for r in texts.mapInArrow(_frequencies(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        counts[r["counter"]] = r["n"]
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (total // SHINGLES_A_COUNTER).bit_length()))
+    counted = sets.texts.mapInArrow(_frequencies(width, bits), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits)
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
     level = np.minimum(65535, np.log2(counts + 1) * 32).astype(np.uint16)
-    grouped = written(kinds.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("group")), "grouped")
-    prefixes = texts.mapInArrow(_prefixes(width, level), "__id long, prefix array<long>").join(broadcast_if_small(grouped), F.col("__id") == F.col("rep")).select("rep", "n", "group", "prefix")
-    prefixes = written(prefixes, "prefixes")
+    prefixes = sets.lists(members.select("sid", "rep", "s1", "n", "group", "cluster", "size"), _prefix(level, bits), "prefix")
+    prefixes = written(prefixes.select("sid", "n", "group", "cluster", "size", "prefix"), "prefixes")
     bridges = prefixes.select("group", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("shingle")
-    entries = prefixes.select("rep", "n", "group", F.posexplode("prefix").alias("pos", "shingle")).join(broadcast_if_small(written(bridges, "bridges")), "shingle")
-    entries = written(entries, "entries")
-    index = entries.where("7 * pos <= n").select("shingle", _size_class(F.col("n")).alias("c"), F.when(F.col("pos") * 14 <= F.col("n"), 0).otherwise(1).alias("h"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
-    probe = entries.select("shingle", F.explode(_probes(F.col("n"))).alias("to"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
-    probe = probe.select("shingle", "to.c", "to.h", "a", "na", "pa", "ga")
-    across = probe.join(index, ["shingle", "c", "h"]).where("ga <> gb AND (na > nb OR na = nb AND a > b) AND 4 * nb >= 3 * na AND 7 * least(na - pa, nb - pb) >= 3 * (na + nb)")
-    bridged = _linked(_hopeful(written(across.select("a", "b").distinct(), "candidates"), prefixes), texts, width)
-    of = grouped.select(F.col("rep").alias("__rep"), F.col("group").alias("__group"))
-    joined = bridged.join(of, F.col("a") == F.col("__rep")).select("b", F.col("__group").alias("ga")).join(of, F.col("b") == F.col("__rep")).select(F.col("ga").alias("a"), F.col("__group").alias("b"))
+    entries = prefixes.select("sid", "n", "group", "cluster", "size", F.posexplode("prefix").alias("pos", "shingle")).join(broadcast_if_small(written(bridges, "bridges")), "shingle")
+    linked = written(_across(sets, written(entries, "entries"), prefixes, members), "links")
+
+    # Rows of one id with several sets join these.
+    several = rows.where("__id IS NOT NULL").groupBy(F.col("__id").alias("several")).agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.count("*").alias("all"), F.count("sid").alias("full"))
+    several = written(several.where("first < last OR full > 0 AND full < all").select("several", "first"), "several")
+    same = rows.where("sid IS NOT NULL").join(broadcast_if_small(several), F.col("__id") == F.col("several")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    of = members.select(F.col("sid").alias("__sid"), F.col("group").alias("__group"))
+    joined = linked.unionAll(same).join(of, F.col("a") == F.col("__sid")).select("b", F.col("__group").alias("ga")).join(of, F.col("b") == F.col("__sid")).select(F.col("ga").alias("a"), F.col("__group").alias("b"))
     merged = components(joined)
 
-    classes = grouped.join(merged, F.col("group") == F.col("node"), "left").select(F.col("rep").alias("__rep"), F.coalesce("component", "group").alias("__class"))
-    classes = kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("kn"), "rep").join(classes, F.col("rep") == F.col("__rep")).select("k1", "k2", "kn", "__class")
-    out = sets.select("__id", "n", "s1", "s2").join(written(classes, "classes"), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
-    found = F.when(F.col("__id").isNotNull(), F.coalesce("__class", "__id"))
-    return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    classes = written(members.join(merged, F.col("group") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "group").alias("class")), "classes")
+    least = classes.groupBy("class").agg(F.min("rep").alias("least"))
+    answers = written(classes.join(least, "class").select(F.col("sid").alias("__sid"), "least"), "answers")
+    empty_rows = several.join(answers, F.col("first") == F.col("__sid")).select(F.col("several").alias("__several"), F.col("least").alias("of_others"))
+    out = rows.join(answers, F.col("sid") == F.col("__sid"), "left").join(broadcast_if_small(written(empty_rows, "several")), F.col("__id") == F.col("__several"), "left")
+    return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "of_others", "__id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
