@@ -1,6 +1,7 @@
 """Edge cases and brute force for the dealt operators, on small tables."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -149,6 +150,34 @@ def test_jaccard_components(spark, seed):
     assert {tuple(r) for r in jaccard_join.similar_components(d).collect()} == brute_components(texts)
 
 
+def test_jaccard_clusters(spark):
+    """Families of near copies whose members link with other families at the threshold, while their first sets don't."""
+    rng, texts = random.Random(9), []
+    for family in range(6):
+        base = [f"f{family}x{k}" for k in range(60)]
+        for other in range(3):
+            own = list(base)
+            own[:9] = [f"v{other}y{k}" for k in range(9)]
+            for _ in range(12):
+                own[rng.randrange(60)] = rng.choice([f"z{rng.randrange(50)}", base[0]]) if rng.random() < 0.15 else own[rng.randrange(60)]
+                texts.append(" ".join(own))
+    bridge = [f"f0x{k}" for k in range(9, 60)]
+    texts += [" ".join([*bridge[:-k], *(f"q{j}" for j in range(k))]) for k in range(1, 30)]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in jaccard_join.similar_components(d).collect()} == brute_components(texts)
+
+
+def test_jaccard_many_texts_of_one_id(spark):
+    a, b = ([f"{x}{k}" for k in range(40)] for x in "ab")
+    rows = [(1, a), (1, b), (2, [*a, "x"]), (3, [*b, "x"]), (4, []), (4, ["c", "d"]), (5, ["c", "d"]), (5, []), (6, []), (6, [])]
+    big = (1 << 62) + 5
+    for shift in (0, big, -big):  # sums of such ids overflow
+        d = spark.createDataFrame([(i + shift, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(4)
+        got = sorted(tuple(r) for r in jaccard_join.similar_components(d).collect())
+        want = [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 0, 4), (4, 1, 4), (5, 0, 4), (5, 1, 4), (6, 0, 6), (6, 0, 6)]
+        assert got == sorted((i + shift, n, c + shift) for i, n, c in want)
+
+
 def test_jaccard_edges(docs, empty):
     got = sorted((tuple(r) for r in jaccard_join.similar_components(docs).collect()), key=str)
     assert {r[2] for r in got if r[0] in (6, 7)} == {6} and {r[2] for r in got if r[0] in (9, 10)} == {9}
@@ -400,8 +429,33 @@ def test_quality_rules(spark, docs, empty):
 
 def test_rule_reliabilities():
     silent, bad, good = quality_rules.ABSTAIN, quality_rules.BAD, quality_rules.GOOD
-    prior, chances = quality_rules.expectation_maximisation([((good, silent, silent), 800), ((good, bad, silent), 60), ((good, silent, bad), 60), ((silent, bad, bad), 20)], 3)
-    assert quality_rules.posterior((good, silent, silent), prior, chances) > 0.5 > quality_rules.posterior((good, bad, silent), prior, chances)
+    rng = random.Random(11)
+    counts, truth = defaultdict(int), defaultdict(lambda: [0, 0])
+    right = [0.97, 0.95, 0.9, 0.5]  # the last rule knows nothing
+    for _ in range(20000):
+        fine = rng.random() < 0.8
+        votes = tuple(silent if rng.random() < 0.2 else (good if (rng.random() < r) == fine else bad) for r in right)
+        counts[votes] += 1
+        truth[votes][fine] += 1
+    prior, chances = quality_rules.expectation_maximisation(sorted(counts.items()), len(right))
+    assert abs(prior - 0.8) < 0.02
+    for (fine, poor), r in zip(chances, right, strict=True):
+        assert abs(fine[good] / (fine[good] + fine[bad]) - r) < 0.03 and abs(poor[bad] / (poor[good] + poor[bad]) - r) < 0.05
+    correct = sum(n[int(quality_rules.posterior(v, prior, chances) >= 0.5)] for v, n in truth.items()) / 20000
+    assert correct > 0.95 > 0.65 > sum(n[int(bad not in v)] for v, n in truth.items()) / 20000  # all must pass
+    assert quality_rules.posterior((good, good, good, bad), prior, chances) > 0.9
+    assert quality_rules.expectation_maximisation([], 2)[1] == [quality_rules.EXPECTED] * 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_verdicts_beat_all_must_pass(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").distinct()
+    judged = rows.where("NOT base_failed").join(labels, "doc_id").select("quality", "kept", (F.col("bad_votes") == 0).alias("spotless")).collect()
+    share = lambda quality, name: np.mean([r[name] for r in judged if r.quality == quality])
+    assert share(1, "kept") > 0.985 > 0.95 > share(1, "spotless") and share(0, "kept") < 0.01
+    assert any(r.kept and not r.spotless for r in judged)
 
 
 def test_shingles_are_exact():
