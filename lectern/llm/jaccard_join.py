@@ -141,11 +141,13 @@ class _Sets:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, most: int = 200) -> DataFrame:
     """pairs with the set and size of one side. A set of very many pairs is copied, so that each task has at most so many of its pairs."""
+    own = sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"of_{side}"))
     hot = pairs.groupBy(F.col(side).alias("__hot")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1")
+    if hot.isEmpty():
+        return pairs.join(own, side)
     hot = broadcast_if_small(written(hot, "hot"))
     salted = pairs.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), "copies")).cast("int")).drop("__hot", "copies")
-    copied = sets.join(hot, F.col("sid") == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
-    copied = copied.select(F.col("sid").alias(side), "__salt", F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"of_{side}"))
+    copied = own.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("__hot", "copies")
     return salted.join(copied, [side, "__salt"]).drop("__salt")
 
 
