@@ -10,6 +10,7 @@ reach the bound are verified by comparing the shingles themselves, word for word
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import words as W
-from lectern.llm.store import table
+from lectern.llm.store import table, written
 
 WIDTH = 5
 
@@ -130,19 +131,21 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: Fraction =
     Words are ASCII-lower-cased runs without white space. An item of fewer than width words is one shingle, looked for as a run
     of that many words. Null and empty texts and items, and items with a null id, find nothing; rows with a null id are
     reported under null; repeated rows are reported each. Documents are never shuffled: the index of a block of items goes to
-    every task, its size bounded by block_bytes, and more items mean more blocks over the same documents.
+    every task, its size bounded by block_bytes. More items mean more blocks over the same documents, one after another: what
+    a block finds is written to the shared folder before the next block is read.
     """
     cut = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_kind, item_kind = cut.schema["__id"].dataType, benchmark.schema[item_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = f"__id {id_kind.simpleString()}, __item {item_kind.simpleString()}, n_shingles long, n_shared long"
-    out = None
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        part = cut.mapInArrow(_search(Index(block, threshold, width), to_arrow_type(id_kind), to_arrow_type(item_kind)), schema)
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = cut.sparkSession.createDataFrame([], schema)
+    parts, blocks = [], item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        found = cut.mapInArrow(_search(Index(block, threshold, width), to_arrow_type(id_kind), to_arrow_type(item_kind)), schema)
+        block = next(blocks, None)
+        parts.append(found if block is None and not parts else written(found, "leaks"))
+    out = functools.reduce(DataFrame.unionAll, parts) if parts else cut.sparkSession.createDataFrame([], schema)
     return out.select(F.col("__id").alias(id_col), F.col("__item").alias(item_col), "n_shingles", "n_shared")
 
 
@@ -157,14 +160,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents))
-), b AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark))
-), n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+bw AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM bw))),
+b AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM bw)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, n_shared
-FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
+FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (k, s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
 WHERE 4 * n_shared >= 3 * n_shingles
 """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.llm import words as W
 
 #: Rows and text bytes that are counted at once: bounds the dense count matrix.
-ROWS, BYTES = 256, 1 << 20
+ROWS, BYTES, PART = 256, 1 << 20, 4 << 20
 Counter = Callable[[bytes, np.ndarray], np.ndarray]  # joined texts and their starts: a row of term counts per text
 
 _shape = np.arange(256, dtype=np.uint8)
@@ -27,20 +27,23 @@ def gram_counts(b: np.ndarray, at: np.ndarray, orders: tuple[int, ...], dims: in
     """Counts of each text's byte n-grams, hashed to dims (a power of two); no n-gram spans two texts."""
     n, bits = len(at) - 1, dims.bit_length() - 1
     b = np.append(b, np.uint8(10))
-    doc = np.repeat(np.arange(n, dtype=np.int64) * dims, np.diff(at))
     out = np.zeros(n * dims + 1, np.int64)
-    for k in orders:
-        m = len(b) - k + 1
-        if m <= 0:
-            continue
-        code = np.full(m, k, np.uint32)
-        for i in range(k):
-            code = code * np.uint32(0x01000193) ^ b[i : i + m]
-        code ^= code >> np.uint32(15)
-        key = doc[:m] + ((code * np.uint32(2654435761)) >> np.uint32(32 - bits))
-        cut = ((at[1:] - 1)[:, None] - np.arange(k)).ravel()  # windows that hold a separator
-        key[cut[(cut >= 0) & (cut < m)]] = n * dims
-        out += np.bincount(key, minlength=n * dims + 1)
+    for low in range(0, int(at[-1]), PART):  # so that one very long text needs no more memory than many short ones
+        high = min(low + PART, int(at[-1]))
+        first, last = int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high))
+        doc = np.repeat(np.arange(first, last, dtype=np.int64) * dims, np.diff(np.clip(at[first : last + 1], low, high)))
+        for k in orders:
+            m = min(high, len(b) - k + 1) - low
+            if m <= 0:
+                continue
+            code = np.full(m, k, np.uint32)
+            for i in range(k):
+                code = code * np.uint32(0x01000193) ^ b[low + i : low + i + m]
+            code ^= code >> np.uint32(15)
+            key = doc[:m] + ((code * np.uint32(2654435761)) >> np.uint32(32 - bits))
+            cut = ((at[first + 1 :] - 1)[: last - first + k, None] - np.arange(k)).ravel() - low  # windows that hold a separator
+            key[cut[(cut >= 0) & (cut < m)]] = n * dims
+            out += np.bincount(key, minlength=n * dims + 1)
     return out[:-1].reshape(n, dims)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import features as X
@@ -62,22 +62,22 @@ class Model:
 def fit(docs: DataFrame, learn: Column, clusters: int = 4, per_language: int = 300, reject_quantile: float = 0.005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Centroids of every language found on rows where learn holds; None if there are none.
 
-    Document frequencies are counted over all these rows. The clusters are fitted on a sample of about per_language rows of
-    each language, chosen by a hash of the id. Of a centroid's radius, reject_quantile of the sample lies outside. Rows with
-    a null text or language teach nothing. Over 1000 languages are refused: the centroids go to every task.
+    Document frequencies are counted over all these rows. The clusters are fitted on a sample of per_language rows of each
+    language at most, those of least hash of the id (one row of an id). Of a centroid's radius, reject_quantile of the sample
+    lies outside. Rows with a null text or language teach nothing. Over 1000 languages are refused: the centroids go to every task.
     """
     known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(1001).collect()}
-    if not sizes:
+    langs = known.select("lang").distinct().limit(1001).count()
+    if not langs:
         return None
-    if len(sizes) > 1000:
+    if langs > 1000:
         raise ValueError("more than 1000 languages")
     rows, frequency = X.document_frequencies(known, F.col("text"), _counts, DIMS)
     idf = X.inverse_frequencies(rows, frequency)
-    rates = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_language / n))])
-    chosen = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000)
-    if max(sizes.values()) < 4 * per_language:  # a small table's hash may choose too few
-        chosen = known
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")  # each task keeps its first rows only
+    first = known.select("lang", "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "id").distinct()
+    chosen = known.join(F.broadcast(first), (known["lang"] == first["lang"]) & known["id"].eqNullSafe(first["id"]), "left_semi")
+    chosen = chosen.groupBy("lang", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     vectors = chosen.select("text", "lang").mapInArrow(_vectors(idf), "lang string, vector binary")
     found = vectors.groupBy("lang").applyInPandas(_centroids(clusters, reject_quantile), "lang string, centroid binary, cut double").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))

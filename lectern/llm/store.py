@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where the session has none (tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where a local session has none (tests).
+
+    On a cluster without the setting this raises, for other machines would not see a folder of ours.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-lectern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder, which can be removed when its results have been read."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a key column (8 bytes each, about 100 MB as a hash table) up to which a written table is broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows of up to four longs or so (32 bytes each, about 130 MB as a hash table) up to which a written table is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
