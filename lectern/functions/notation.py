@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +15,30 @@ BLANK = r"[\s\x1c-\x1f]"
 CODE_NOTICE = "trecho de código omitido"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def replaced(c: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
+    """c with each match of the pattern put through said (null leaves it): one pass, so what is put in isn't read again."""
+
+    def put(t: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(said(m), m))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
+
+    return let(c, lambda t: F.when(t.rlike(pattern), put(t)).otherwise(t))
+
+
+def words_of(dictionary: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in dictionary.items() for x in (k, v)])
+
+
+def any_of(words) -> str:
+    """An alternation of the words, longer ones first."""
+    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
@@ -35,26 +61,32 @@ def code_blocks(c: Column) -> Column:
     def finish(acc: Column) -> Column:
         return F.array_join(F.when(acc.fence != "", F.concat(acc.out, F.array(F.lit(CODE_NOTICE)))).otherwise(acc.out), "\n")
 
-    return F.when(c.rlike("```|~~~"), F.aggregate(_lines(c), start, step, finish)).otherwise(c)
+    return let(c, lambda t: F.when(t.rlike("```|~~~"), F.aggregate(_lines(t), start, step, finish)).otherwise(t))
 
 
 def links(c: Column) -> Column:
     """URLs become "link", keeping the punctuation that ends them; then e-mail addresses become a phrase."""
-    c = F.regexp_replace(c, r"""(?iU)https?://(?:([^\s<>'"]*[^\s<>'".,;:!?])([.,;:!?]*)|([.,;:!?]+))""", "link$2$3")
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "endereço de e-mail")
+    urls = lambda t: F.regexp_replace(t, r"""(?iU)https?://(?:([^\s<>'"]*[^\s<>'".,;:!?])([.,;:!?]*)|([.,;:!?]+))""", "link$2$3")
+    mails = lambda t: F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "endereço de e-mail")
+    c = let(c, lambda t: F.when(F.contains(t, F.lit("://")), urls(t)).otherwise(t))
+    return let(c, lambda t: F.when(F.contains(t, F.lit("@")), mails(t)).otherwise(t))
 
 
 def emphasis(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?dU)\*\*(.+?)\*\*|\*([^\s*][^*]*?)\*|`([^`]+?)`", "$1$2$3")
+    plain = lambda t: F.regexp_replace(t, r"(?dU)\*\*(.+?)\*\*|\*([^\s*][^*]*?)\*|`([^`]+?)`", "$1$2$3")
+    return let(c, lambda t: F.when(t.rlike("[*`]"), plain(t)).otherwise(t))
 
 
 def list_numbers(c: Column) -> Column:
     """A line's number goes if the line before or after is a list item too."""
-    lines = _lines(c)
-    numbered, item = r"(?U)^\d{1,3}[.)]\s+(?=\S)", r"(?U)^(?:\d{1,3}[.)]\s+(?=\S)|[-*+]\s+)"
-    near = lambda i: F.coalesce(F.get(lines, i).rlike(item), F.lit(False))
-    one = lambda line, i: F.when(line.rlike(numbered) & (((i > 0) & near(i - 1)) | near(i + 1)), F.regexp_replace(line, numbered, "")).otherwise(line)
-    return F.when(c.rlike(r"(?m)^[0-9]"), F.array_join(F.transform(lines, one), "\n")).otherwise(c)
+    numbered, item = r"(?U)^\d{1,3}[.)]\s+(?=\S)", r"(?U)^(?:\d{1,3}[.)]|[-*+])\s+\S"
+
+    def cut(lines: Column) -> Column:
+        near = lambda i: F.coalesce(F.get(lines, i).rlike(item), F.lit(False))
+        one = lambda line, i: F.when(line.rlike(numbered) & (((i > 0) & near(i - 1)) | near(i + 1)), F.regexp_replace(line, numbered, "")).otherwise(line)
+        return F.array_join(F.transform(lines, one), "\n")
+
+    return let(c, lambda t: F.when(t.rlike(r"(?Um)^\d"), let(_lines(t), cut)).otherwise(t))
 
 
 def line_markers(c: Column) -> Column:
@@ -70,27 +102,26 @@ def table_rows(c: Column) -> Column:
         cells = F.filter(F.transform(F.split(bare, r"\|"), strip), lambda x: x != "")
         return F.when(separator, F.lit(None).cast("string")).when(bare.startswith("|"), F.array_join(cells, ", ")).otherwise(line)
 
-    rows = F.filter(F.transform(_lines(c), row), lambda x: x.isNotNull())
-    return F.when(F.contains(c, F.lit("|")), F.array_join(rows, "\n")).otherwise(c)
+    rows = lambda t: F.array_join(F.filter(F.transform(_lines(t), row), lambda x: x.isNotNull()), "\n")
+    return let(c, lambda t: F.when(F.contains(t, F.lit("|")), rows(t)).otherwise(t))
 
 
 def currency(c: Column) -> Column:
     """The sign's word goes behind the number."""
-    for sign, word in D.CURRENCIES:
-        quoted = "".join("\\" + x if x == "$" else x for x in sign)
-        before = r"(?<![RrUS])" if sign == "$" else ""
-        c = F.regexp_replace(c, rf"(?U){before}{quoted}\s*(\d[\d.,]*\d|\d)", f"$1 {word}")
-    return c
+    signs, number = any_of(sign for sign, _ in D.CURRENCIES), r"\d[\d.,]*\d|\d"
+    words = words_of(dict(D.CURRENCIES))
+    said = lambda m: F.concat(F.regexp_extract(m, rf"(?U)({number})", 1), F.lit(" "), words[F.regexp_extract(m, f"^({signs})", 1)])
+    return replaced(c, rf"(?U)(?:{signs})\s*(?:{number})", said)
 
 
 def symbols(c: Column) -> Column:
-    return reduce(lambda x, s: F.replace(x, F.lit(s), F.lit(D.SYMBOLS[s])), D.SYMBOLS, c)
+    words = words_of(D.SYMBOLS)
+    return replaced(c, f"[{''.join(D.SYMBOLS)}]", lambda m: words[m])
 
 
 def abbreviations(c: Column) -> Column:
-    for short in sorted(D.ABBREVIATIONS, key=len, reverse=True):
-        c = F.regexp_replace(c, rf"(?iuU)(?<!\w){short}\.", D.ABBREVIATIONS[short])
-    return c
+    words = words_of(D.ABBREVIATIONS)
+    return replaced(c, rf"(?iuU)(?<!\w)(?:{any_of(D.ABBREVIATIONS)})\.", lambda m: words[F.lower(F.regexp_replace(m, r"\.$", ""))])
 
 
 def hours(c: Column) -> Column:
@@ -98,9 +129,14 @@ def hours(c: Column) -> Column:
 
 
 def dates(c: Column) -> Column:
-    for k, name in enumerate(D.MONTHS, 1):
-        c = F.regexp_replace(c, rf"(?U)(?<!\w)(\d{{1,2}})/0?{k}/(\d{{2,4}})(?!\w)", f"$1 de {name} de $2")
-    return c
+    """A month that isn't one leaves the date as it is."""
+
+    def said(m: Column) -> Column:
+        parts = F.split(m, "/")
+        name = F.get(F.array(*[F.lit(x) for x in D.MONTHS]), F.get(parts, F.lit(1)).try_cast("int") - 1)
+        return F.coalesce(F.concat(F.get(parts, F.lit(0)), F.lit(" de "), name, F.lit(" de "), F.get(parts, F.lit(2))), m)
+
+    return replaced(c, r"(?U)(?<!\w)\d{1,2}/\d{1,2}/\d{2,4}(?!\w)", said)
 
 
 def ranges(c: Column) -> Column:
@@ -112,11 +148,13 @@ ORDER = (code_blocks, links, emphasis, list_numbers, line_markers, table_rows, c
 
 
 def sanitize(c: Column) -> Column:
-    return reduce(lambda x, f: f(x), ORDER, c)
+    """All of ORDER, each step computed once."""
+    return reduce(lambda x, f: let(x, f), ORDER, c)
 
 
 def substitute_terms(c: Column, terms: dict[str, str]) -> Column:
-    """Whole words replaced through a dictionary, whatever their case, the longest first; an empty dictionary changes nothing."""
-    for term in sorted(terms, key=lambda t: (-len(t), t)):
-        c = F.regexp_replace(c, rf"(?iuU)(?<!\w)\Q{term}\E(?!\w)", terms[term].replace("\\", r"\\").replace("$", r"\$"))
-    return c
+    """Whole words replaced through a dictionary in one pass, whatever their case, the longest first; an empty dictionary changes nothing."""
+    if not terms:
+        return c
+    words = words_of({k.lower(): v for k, v in terms.items()})
+    return replaced(c, rf"(?iuU)(?<!\w)(?:{any_of(terms)})(?!\w)", lambda m: words[F.lower(m)])

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import strip
+from lectern.functions.notation import sanitize, strip
+from lectern.operators import text as T
+from lectern.operators.order import with_sum_before
 
 
 def _map(d: dict) -> Column:
@@ -14,14 +16,14 @@ def _map(d: dict) -> Column:
 
 
 def size_verdict(original: Column, candidate: Column, shrink: float = 0.85, growth: float = 2.0) -> Column:
-    """Why a rewrite is refused, or "accepted"."""
-    ratio = F.length(strip(candidate)) / F.length(original)
-    return F.when(strip(F.coalesce(candidate, F.lit(""))) == "", "blank").when(candidate.rlike(D.PREAMBLE), "preamble").when((ratio < shrink) | (ratio > growth), "size").otherwise("accepted")
+    """Why a rewrite is refused, or "accepted"; "original" where there is nothing to rewrite."""
+    ratio = F.length(strip(candidate)) / F.nullif(F.length(original), F.lit(0))
+    return F.when(strip(F.coalesce(original, F.lit(""))) == "", "original").when(strip(F.coalesce(candidate, F.lit(""))) == "", "blank").when(candidate.rlike(D.PREAMBLE), "preamble").when((ratio < shrink) | (ratio > growth), "size").otherwise("accepted")
 
 
 def word_verdict(original: Column, candidate: Column) -> Column:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.when(strip(F.coalesce(candidate, F.lit(""))) == "", "blank").when(candidate.rlike(D.PREAMBLE), "preamble").when(words(original) != words(candidate), "words").otherwise("accepted")
+    return F.when(strip(F.coalesce(original, F.lit(""))) == "", "original").when(strip(F.coalesce(candidate, F.lit(""))) == "", "blank").when(candidate.rlike(D.PREAMBLE), "preamble").when(words(original) != words(candidate), "words").otherwise("accepted")
 
 
 def rewritten(original: Column, candidate: Column, verdict: Column) -> Column:
@@ -35,6 +37,31 @@ def enrich_once(rows: DataFrame, key: str, enrich) -> DataFrame:
     return rows.join(done, F.col(key) == F.col("__text"), "left").drop("__text").withColumn("enriched", F.coalesce("enriched", key))
 
 
+def chain_rate(*rates: Column) -> Column:
+    """The rate of a chain of steps: the sum of its links' rates, a null link costing nothing."""
+    return sum((F.coalesce(r, F.lit(0.0)) for r in rates), F.lit(0.0))
+
+
+def cost_estimate(text: Column, rate: Column, rewriting: Column | None = None, opt_in: Column | None = None) -> Column:
+    """Characters of the sanitised text times the speech rate, and the rewriting chain's rate where opted in; a null text costs nothing."""
+    more = F.lit(0.0) if rewriting is None else F.when(opt_in, rewriting).otherwise(F.lit(0.0))
+    return F.coalesce(F.length(sanitize(text)), F.lit(0)) * chain_rate(rate, more)
+
+
+def timing_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, repetitions and the means over repetitions of total, sec_per_item and audio_ratio; runs: keys, repetition, seconds, audio_seconds by item."""
+    each = runs.groupBy(*keys, "repetition").agg(F.sum("seconds").alias("total"), F.avg("seconds").alias("per_item"), (F.sum("audio_seconds") / F.nullif(F.sum("seconds"), F.lit(0))).alias("ratio"))
+    return each.groupBy(*keys).agg(F.count("*").alias("repetitions"), F.avg("total").alias("total"), F.avg("per_item").alias("sec_per_item"), F.avg("ratio").alias("audio_ratio"))
+
+
+def routing_cost(text: Column, limit: int = 1000) -> Column:
+    """struct<n_chars, by_chunk, by_sentence>: characters that go to the paid tier if a chunk with an expressive sentence goes whole, or such sentences alone."""
+    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, t: s + F.length(t))
+    paid = lambda a: size(F.filter(a, lambda t: t.rlike("[?!]")))
+    spoken = F.flatten(T.sentence_texts(text))
+    return F.struct(size(spoken).alias("n_chars"), paid(T.chunk_texts(text, limit)).alias("by_chunk"), paid(spoken).alias("by_sentence"))
+
+
 def cost_gate(estimate: Column, cap: Column, confirmed: Column) -> Column:
     """degrade comes before pending_confirmation."""
     return F.when((estimate > 0) & cap.isNotNull() & (estimate > cap), "degrade").when((estimate > 0) & ~confirmed, "pending_confirmation").otherwise("proceed")
@@ -78,9 +105,13 @@ def silence(ms: Column, rate: int = 24000) -> Column:
 
 
 def joined_signal(parts: DataFrame, key: str, order: str, signal: str, rate: int = 24000) -> DataFrame:
-    """(key, signal, seconds): parts of a key one after another."""
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, signal))), lambda s: s[signal]))
-    return parts.groupBy(key).agg(whole.alias("signal")).withColumn("seconds", F.size("signal") / rate)
+    """(key, order, signal, start): the parts of a key with the sample at which each starts when they follow one another.
+
+    Only lengths are summed over a key, so a signal of any length stays a table of parts; write it in order of start.
+    """
+    sizes = parts.select(key, order, F.size(signal).cast("long").alias("__n"))
+    starts = with_sum_before(sizes, key, order, F.col("__n"), "start").drop("__n")
+    return parts.join(starts, [key, order]).select(key, order, signal, "start", (F.col("start") / rate).alias("seconds"))
 
 
 def registered(uploads: DataFrame) -> DataFrame:

@@ -47,10 +47,49 @@ def transitions(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     return jobs.join(updates, "job", "left").withColumn("status", F.coalesce("new_status", "status")).withColumn("error_message", F.when(matched, F.col("message")).otherwise(F.col("error_message"))).drop("new_status", "message")
 
 
-def liveness(beats: DataFrame, as_of: Column, seconds: int = 120) -> DataFrame:
-    """(worker, last_beat, alive): alive if the last beat is at most so many seconds old."""
+def confirmed(books: DataFrame, jobs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books and jobs after the costs of the chosen books are confirmed.
+
+    A chosen book that waits for it becomes uploaded and cost_confirmed, and gets a queued job to process, after all others in
+    insertion order; any other is left as it is. New jobs have a null id until the queue gives one.
+    """
+    waits = chosen.select("book").distinct().withColumn("__chosen", F.lit(True))
+    marked = books.join(waits, "book", "left").withColumn("__now", F.coalesce(F.col("__chosen") & (F.col("status") == "pending_confirmation"), F.lit(False)))
+    after = marked.withColumn("status", F.when(F.col("__now"), "uploaded").otherwise(F.col("status"))).withColumn("cost_confirmed", F.col("__now") | F.col("cost_confirmed"))
+    last = jobs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    new = marked.where("__now").crossJoin(F.broadcast(last)).select("book", F.lit("process").alias("stage"), F.lit("queued").alias("status"), F.lit(0).cast("long").alias("priority"), (F.col("last") + 1).alias("seq"))
+    return after.drop("__now", "__chosen"), jobs.unionByName(new, allowMissingColumns=True)
+
+
+def appended(stored: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, rows refused): a sink keeps the first row of each key, whether stored before or earlier in new (by its order column)."""
+    order = Window.partitionBy(*keys).orderBy("order")
+    ranked = new.withColumn("__at", F.row_number().over(order)).join(stored.select(*keys).distinct().withColumn("__had", F.lit(True)), keys, "left")
+    fresh = F.col("__had").isNull() & (F.col("__at") == 1)
+    return ranked.where(fresh).drop("__at", "__had"), ranked.where(~fresh).drop("__at", "__had")
+
+
+def liveness(beats: DataFrame, as_of: Column | None = None, seconds: int = 120) -> DataFrame:
+    """(worker, last_beat, alive): alive if the last beat is at most so many seconds before as_of, or before the last of all beats."""
     last = beats.groupBy("worker").agg(F.max("ts").alias("last_beat"))
-    return last.withColumn("alive", F.unix_micros(F.to_timestamp(as_of)) - F.unix_micros(F.col("last_beat").cast("timestamp")) <= seconds * 1_000_000)
+    if as_of is None:
+        last, as_of = last.crossJoin(F.broadcast(last.agg(F.max("last_beat").alias("__as_of")))), F.col("__as_of")
+    return last.select("*", ( F.unix_micros(F.to_timestamp(as_of)) - F.unix_micros(F.col("last_beat").cast("timestamp")) <= seconds * 1_000_000).alias("alive")).drop("__as_of")
+
+
+def book_listing(books: DataFrame) -> DataFrame:
+    """(id, title, status, created_at), the last created first."""
+    return books.select("id", "title", "status", "created_at").orderBy(F.desc("created_at"), "id")
+
+
+def chapter_listing(chapters: DataFrame) -> DataFrame:
+    """Chapters without their texts, each book's in order."""
+    return chapters.select("book", "id", "title", "chapter_order", "start_page", "end_page").orderBy("book", "chapter_order")
+
+
+def chunk_listing(chunks: DataFrame) -> DataFrame:
+    """(book, sequence, url) of stored chunks."""
+    return chunks.select("book", "sequence", F.concat(F.lit("/books/"), "book", F.lit("/audio/"), "sequence").alias("url"))
 
 
 def resume_plan(planned: DataFrame, stored: DataFrame) -> DataFrame:
@@ -96,6 +135,8 @@ def status_flags(status: Column) -> list[Column]:
         status.isin("extracting", "processing", "synthesizing").alias("delete_blocked"),
         (status == "pending_confirmation").alias("can_confirm"),
         status.isin("uploaded", "paused").alias("can_prioritize"),
+        status.isin("ready", "error").alias("prioritize_refused"),
+        status.isin("uploaded", "extracting", "processing", "synthesizing").alias("waits_for_worker"),
         F.coalesce(F.create_map(*[F.lit(x) for k, v in D.STATUS_LABELS.items() for x in (k, v)])[status], status).alias("label"),
     ]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.notation import strip
+from lectern.operators.text import clean_pages
 
 
 def page_range(pages: DataFrame, start: int | None, end: int | None) -> DataFrame:
@@ -44,8 +45,8 @@ def cascade(offers: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def body_sizes(spans: DataFrame) -> DataFrame:
-    """(doc, body): the rounded font size with most characters, the one seen first among equals."""
-    sized = spans.groupBy("doc", F.bround("size", 1).alias("body")).agg(F.sum(F.length("text")).alias("n"), F.min("position").alias("first"))
+    """(doc, body): the rounded font size with most characters in spans that aren't blank, the one seen first among equals."""
+    sized = spans.where(strip(F.col("text")) != "").groupBy("doc", F.bround("size", 1).alias("body")).agg(F.sum(F.length("text")).alias("n"), F.min("position").alias("first"))
     return sized.groupBy("doc").agg(F.max_by("body", F.struct("n", (-F.col("first")).alias("first"))).alias("body"))
 
 
@@ -53,18 +54,33 @@ def layout_blocks(spans: DataFrame) -> DataFrame:
     """(doc, page, block, text, role): blocks of spans (doc, page, block, line, position, text, size, y0, page_height).
 
     role is body, heading (1.35 times the body size or more), small (0.85 times or less), header (first on its page, high up,
-    short and no heading) or empty; narration keeps body and heading.
+    short and no heading) or empty; narration keeps body and heading. Blank spans have no size and no part in a header's length; a
+    page without height has no header. A block's y0 is that of its highest span, blank ones included.
     """
-    lines = spans.groupBy("doc", "page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s.text), "").alias("text"), F.max("size").alias("size"), F.min("y0").alias("y0"), F.first("page_height").alias("height"))
-    blocks = lines.groupBy("doc", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s.text), "\n").alias("text"), F.max("size").alias("size"), F.min("y0").alias("y0"), F.first("height").alias("height"))
+    said = strip(F.col("text")) != ""
+    spans = spans.withColumn("size", F.when(said, F.col("size"))).withColumn("words", F.when(said, F.col("text")))
+    lines = spans.groupBy("doc", "page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s.text), "").alias("text"), _in_order("position", "words").alias("words"), F.max("size").alias("size"), F.min("y0").alias("y0"), F.max("page_height").alias("height"))
+    blocks = lines.groupBy("doc", "page", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s.text), "\n").alias("text"), _in_order("line", "words").alias("words"), F.max("size").alias("size"), F.min("y0").alias("y0"), F.max("height").alias("height"))
     order = Window.partitionBy("doc", "page").orderBy("block")
-    sized = blocks.withColumn("at", F.row_number().over(order) - 1).join(body_sizes(spans), "doc", "left").withColumn("body", F.coalesce("body", F.lit(0.0)))
+    sized = blocks.withColumn("at", F.row_number().over(order) - 1).join(body_sizes(spans.where(F.col("size").isNotNull())), "doc", "left").withColumn("body", F.coalesce("body", F.lit(0.0)))
     heading, small = (F.col("body") > 0) & (F.col("size") >= 1.35 * F.col("body")), (F.col("body") > 0) & (F.col("size") <= 0.85 * F.col("body"))
-    header = (F.col("at") == 0) & ~heading & (F.col("y0") <= 0.1 * F.col("height")) & (F.length(strip(F.col("text"))) <= 80)
-    role = F.when(strip(F.col("text")) == "", "empty").when(header, "header").when(small, "small").when(heading, "heading").otherwise("body")
+    header = (F.col("at") == 0) & ~heading & (F.col("height") > 0) & (F.col("y0") <= 0.1 * F.col("height")) & (F.length(strip(F.col("words"))) <= 80)
+    role = F.when(F.col("size").isNull(), "empty").when(header, "header").when(small, "small").when(heading, "heading").otherwise("body")
     return sized.select("doc", "page", "block", "text", role.alias("role"))
 
 
+def _in_order(order: str, text: str) -> Column:
+    """The texts of a group joined by blanks, without nulls."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), " ")
+
+
+def narratable_pages(blocks: DataFrame) -> DataFrame:
+    """(doc, page, text): the body and heading blocks of each page, an empty line between; a page without them has an empty text."""
+    kept = F.when(F.col("role").isin("body", "heading"), F.struct("block", strip(F.col("text")).alias("text")))
+    whole = F.array_sort(F.collect_list(kept))
+    return blocks.groupBy("doc", "page").agg(F.array_join(F.filter(F.transform(whole, lambda s: s.text), lambda t: t != ""), "\n\n").alias("text"))
+
+
 def descriptive(title: Column) -> Column:
     return ~strip(title).rlike(r"(?iU)^[\dIVXLCDM]+[.)]?$") & (strip(title) != "")
 
@@ -86,13 +102,13 @@ def chosen_levels(toc: DataFrame, totals: DataFrame, share: float = 0.25) -> Dat
 def chapters(toc: DataFrame, totals: DataFrame, block: int = 10, share: float = 0.25) -> DataFrame:
     """(doc, chapter, title, start_page, end_page): intervals that tile the pages 1..total of each document.
 
-    Starts are the chosen level's pages, the first moved to page 1; a page's title is its first descriptive one, else its
-    first. Without an outline, and for intervals longer than max(block, share of the pages), there are numbered parts.
+    Starts are the chosen level's pages, the first moved to page 1; a page's title is its first descriptive one of any level, else
+    its first. Without an outline, and for intervals longer than max(block, share of the pages), there are numbered parts.
     """
     level = chosen_levels(toc, totals, share)
-    own = toc.join(level, ["doc", "level"]).join(totals, "doc").withColumn("start", F.greatest(F.lit(1), F.least("page", "total")))
+    placed = toc.join(totals, "doc").join(level.withColumnRenamed("level", "chosen"), "doc").withColumn("start", F.greatest(F.lit(1), F.least("page", "total")))
     rank = F.struct(F.when(descriptive(F.col("title")), 0).otherwise(1).alias("a"), F.col("entry_no").alias("b"))
-    starts = own.groupBy("doc", "start").agg(F.min_by("title", rank).alias("title"), F.first("total").alias("total"))
+    starts = placed.groupBy("doc", "start").agg(F.min_by("title", rank).alias("title"), F.max("total").alias("total"), F.max((F.col("level") == F.col("chosen")).cast("int")).alias("own")).where("own = 1")
     order = Window.partitionBy("doc").orderBy("start")
     number = F.row_number().over(order)
     closed = starts.select("doc", F.coalesce(F.when(strip(F.col("title")) != "", strip(F.col("title"))), F.concat(F.lit("Capítulo "), number)).alias("title"), F.when(number == 1, 1).otherwise(F.col("start")).alias("start"), (F.coalesce(F.lead("start").over(order), F.col("total") + 1) - 1).alias("end"), "total")
@@ -108,6 +124,12 @@ def chapters(toc: DataFrame, totals: DataFrame, block: int = 10, share: float =
     return cut.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("from")).alias("chapter"), title.alias("title"), F.col("from").alias("start_page"), until.alias("end_page"))
 
 
+def chapter_texts(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, chapter, title, text): each chapter's pages cleaned as one text, so that lines repeat, break and wrap within a chapter only."""
+    own = pages_of_chapters(pages, found).select(F.struct("doc", "chapter", "title").alias("unit"), F.col("page_number").alias("page"), "text")
+    return clean_pages(own).select("unit.*", "text")
+
+
 def pages_of_chapters(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Pages with the chapter whose interval holds them: an equi-join on the document with the interval as its condition."""
     c = found.select(F.col("doc").alias("c_doc"), "chapter", "title", "start_page", "end_page")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import strip
+from lectern.functions.notation import let, strip
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
 
@@ -31,87 +32,117 @@ def drop_repeated(lines: DataFrame) -> DataFrame:
     return lines.join(gone, (F.col("unit") == F.col("gone_unit")) & (strip(F.col("line")) == F.col("bare")), "left_anti")
 
 
-def dehyphenate(lines: DataFrame) -> DataFrame:
-    """(unit, page, line_no, line): a line that ends in a hyphen takes in the next if that starts in lower case; chains."""
-    order = Window.partitionBy("unit", "page").orderBy("line_no")
-    after = F.lead("line").over(order)
+def dehyphenated(lines: Column) -> Column:
+    """array<string>: a line that ends in a hyphen takes in the next if that starts in lower case; chains."""
     tail, head = r"(?U)[\s\x1c-\x1f]+\z", r"(?U)^[\s\x1c-\x1f]+"
-    joins = F.regexp_replace("line", tail, "").endswith("-") & F.coalesce(strip(after).rlike(r"^\p{javaLowerCase}"), F.lit(False))
-    marked = lines.withColumn("joins", joins)
-    marked = marked.withColumn("joined", F.coalesce(F.lag("joins").over(order), F.lit(False)))
-    marked = marked.withColumn("group", F.sum((~F.col("joined")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    part = F.when(F.col("joined"), F.regexp_replace("line", head, "")).otherwise(F.col("line"))
-    part = F.when(F.col("joins"), F.regexp_replace(F.regexp_replace(part, tail, ""), "-$", "")).otherwise(part)
-    grouped = marked.withColumn("part", part).groupBy("unit", "page", "group")
-    pieces = F.array_sort(F.collect_list(F.struct("line_no", "part")))
-    return grouped.agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(pieces, lambda s: s.part), "").alias("line")).drop("group")
-
-
-def unwrap(lines: DataFrame) -> DataFrame:
-    """(unit, page, text): a line joins the one before unless either is blank or that one ends a sentence or quotation."""
-    order = Window.partitionBy("unit", "page").orderBy("line_no")
-    bare = lines.withColumn("bare", strip(F.col("line")))
-    before = F.lag("bare").over(order)
-    starts = F.coalesce((F.col("bare") == "") | (before == "") | before.rlike(NO_JOIN_AFTER), F.lit(True))
-    marked = bare.withColumn("starts", starts)
-    marked = marked.withColumn("group", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = marked.groupBy("unit", "page", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bare"))), lambda s: s.bare), " ").alias("line"))
-    whole = joined.groupBy("unit", "page").agg(F.array_sort(F.collect_list(F.struct("group", "line"))).alias("all"))
-    return whole.select("unit", "page", F.regexp_replace(F.array_join(F.transform("all", lambda s: s.line), "\n"), r"^\n+|\n+\z", "").alias("text"))
+
+    def put(a: Column) -> Column:
+        hyphen = lambda i: F.coalesce(F.regexp_replace(F.get(a, i), tail, "").endswith("-"), F.lit(False))
+        joins = lambda i: (i >= 0) & hyphen(i) & F.coalesce(strip(F.get(a, i + 1)).rlike(r"^\p{javaLowerCase}"), F.lit(False))
+
+        def part(line: Column, i: Column) -> Column:
+            line = F.when(joins(i - 1), F.regexp_replace(line, head, "")).otherwise(line)
+            return F.when(joins(i), F.regexp_replace(F.regexp_replace(line, tail, ""), "-$", "")).otherwise(F.concat(line, F.lit("\n")))
+
+        return F.split(F.regexp_replace(F.array_join(F.transform(a, part), ""), r"\n\z", ""), "\n", -1)
+
+    return let(lines, put)
+
+
+def unwrapped(lines: Column) -> Column:
+    """The lines as one text: a line joins the one before unless either is blank or that one ends a sentence or quotation."""
+
+    def put(bare: Column) -> Column:
+        before = lambda i: F.get(bare, i - 1)
+        starts = lambda line, i: (line == "") | (before(i) == "") | before(i).rlike(NO_JOIN_AFTER)
+        joined = F.transform(bare, lambda line, i: F.when(i == 0, line).otherwise(F.concat(F.when(starts(line, i), "\n").otherwise(" "), line)))
+        return F.regexp_replace(F.array_join(joined, ""), r"^\n+|\n+\z", "")
+
+    return let(F.transform(lines, strip), put)
+
+
+def clean_text(pages: Column) -> Column:
+    """One text of array<string> pages: without lines that repeat on two pages or more, hyphenated and wrapped lines joined across pages.
+
+    Blank pages, an empty array and null pages give an empty text; null gives null.
+    """
+    lines = lambda page: F.split(F.coalesce(page, F.lit("")), "\n", -1)
+    bare = F.array_sort(F.flatten(F.transform(pages, lambda page: F.array_distinct(F.transform(lines(page), strip)))))
+    again = let(bare, lambda a: F.array_distinct(F.filter(a, lambda x, i: (x != "") & (i > 0) & (x == F.get(a, i - 1)))))
+    kept = let(again, lambda gone: F.filter(F.flatten(F.transform(pages, lines)), lambda line: ~F.array_contains(gone, strip(line))))
+    return F.when(pages.isNotNull(), F.coalesce(unwrapped(dehyphenated(kept)), F.lit("")))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """(unit, page, text) without repeated lines, with hyphenated and wrapped lines joined; a page without lines left is absent."""
-    return unwrap(dehyphenate(drop_repeated(lines_of(pages))))
+    """(unit, text) of (unit, page, text): the cleaned text of each unit, its pages in order. A unit is a chapter or a book, whose text is one row."""
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p.text)
+    return pages.groupBy("unit").agg(whole.alias("pages")).select("unit", clean_text(F.col("pages")).alias("text"))
+
+
+#: White space after . ! or ? that ends a sentence: not after an abbreviation's dot or an initial's.
+BOUNDARY = rf"(?iuU)(?<=[.!?])(?<!(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTERS}]|{'|'.join(D.NO_SENTENCE_END)})\.)\s+"
 
 
-def false_boundary(before: Column) -> Column:
-    """The dot that ends before belongs to an abbreviation or an initial."""
-    word = F.regexp_extract(before, r"(?U)(\w+)\.$", 1)
-    return (word != "") & ((F.length(word) == 1) | F.lower(word).isin(*D.NO_SENTENCE_END))
+def paragraph_texts(text: Column) -> Column:
+    """array<string>: text between blank lines, with white space inside collapsed; blank ones are skipped."""
+    flat = lambda p: F.regexp_replace(strip(p), r"(?U)[\s\x1c-\x1f]+", " ")
+    return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n", -1), flat), lambda p: p != "")
+
+
+def sentence_texts(text: Column) -> Column:
+    """array<array<string>>: the sentences of each paragraph."""
+    return F.transform(paragraph_texts(text), lambda p: F.split(p, BOUNDARY, -1))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc, paragraph, text): text between blank lines, with white space inside collapsed; blank ones are skipped."""
-    split = docs.select("doc", F.posexplode(F.split("text", r"(?U)\n\s*\n", -1)).alias("paragraph", "raw"))
-    return split.select("doc", "paragraph", F.regexp_replace(strip(F.col("raw")), r"(?U)[\s\x1c-\x1f]+", " ").alias("text")).where("text <> ''")
+    """(doc, paragraph, text) of (doc, text); null and blank texts have none."""
+    return docs.select("doc", F.posexplode(paragraph_texts(F.col("text"))).alias("paragraph", "text"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc, paragraph, sentence, text): parts after . ! or ?, joined again where that was a false boundary."""
-    parts = paragraphs(docs).select("doc", "paragraph", F.posexplode(F.split("text", r"(?U)(?<=[.!?])\s+", -1)).alias("part", "text")).where("text <> ''")
-    order = Window.partitionBy("doc", "paragraph").orderBy("part")
-    starts = ~F.coalesce(false_boundary(F.lag("text").over(order)), F.lit(False))
-    marked = parts.withColumn("starts", starts).withColumn("sentence", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    pieces = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return marked.groupBy("doc", "paragraph", "sentence").agg(F.array_join(F.transform(pieces, lambda s: s.text), " ").alias("text"))
+    """(doc, paragraph, sentence, text): cut within each row, so nothing is shuffled."""
+    split = docs.select("doc", F.posexplode(sentence_texts(F.col("text"))).alias("paragraph", "own"))
+    return split.select("doc", "paragraph", F.posexplode("own").alias("sentence", "text"))
 
 
-def packed(items: Column, limit: int) -> Column:
+def packed(items: Column, limit: int, block: int = 500) -> Column:
     """Greedy packing of array<struct<text, gap>>: an item joins the current chunk while length + gap + item fits; gap is its separator.
 
-    The fold runs over lengths and keeps, for each item, whether it opens a chunk; the texts are joined once, afterwards.
+    The fold runs over lengths and keeps, for each item, whether it opens a chunk, in blocks so that its work stays near
+    linear; the texts are joined once, afterwards.
     """
-    step = lambda acc, x: F.struct(
-        F.when((acc.size >= 0) & (acc.size + F.length(x.gap) + F.length(x.text) <= limit), acc.size + F.length(x.gap) + F.length(x.text)).otherwise(F.length(x.text)).alias("size"),
-        F.concat(acc.opens, F.array(~((acc.size >= 0) & (acc.size + F.length(x.gap) + F.length(x.text) <= limit)))).alias("opens"),
-    )
-    opens = F.aggregate(items, F.struct(F.lit(-1).alias("size"), F.array().cast("array<boolean>").alias("opens")), step, lambda acc: acc.opens)
-    joined = F.array_join(F.transform(F.arrays_zip(items.alias("item"), opens.alias("opens")), lambda z: F.concat(F.when(z.opens, F.lit("\x00")).otherwise(z.item.gap), z.item.text)), "")
-    return F.filter(F.split(joined, "\x00", -1), lambda c: c != "")
+    none = F.array().cast("array<boolean>")
 
+    def put(all_items: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            more = acc.size + F.length(x.gap) + F.length(x.text)
+            fits = (acc.size >= 0) & (more <= limit)
+            return F.struct(F.when(fits, more).otherwise(F.length(x.text)).alias("size"), F.concat(acc.opens, F.array(~fits)).alias("opens"))
 
-def chunks(docs: DataFrame, limit: int = 1000) -> DataFrame:
-    """(doc, sequence, text): sentences packed into chunks of at most limit characters; a longer sentence is a chunk of its own.
+        def part(acc: Column, first: Column) -> Column:
+            done = F.aggregate(F.slice(all_items, first, F.lit(block)), F.struct(acc.size.alias("size"), none.alias("opens")), step)
+            return let(done, lambda d: F.struct(d.size.alias("size"), F.concat(acc.all, F.array(d.opens)).alias("all")))
+
+        start = F.struct(F.lit(-1).alias("size"), F.array().cast("array<array<boolean>>").alias("all"))
+        opens = F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(all_items), F.lit(block)), start, part, lambda acc: acc.all))
+        joined = F.array_join(F.transform(F.arrays_zip(all_items.alias("item"), opens.alias("opens")), lambda z: F.concat(F.when(z.opens, F.lit("\x00")).otherwise(z.item.gap), z.item.text)), "")
+        return F.when(F.size(all_items) > 0, F.filter(F.split(joined, "\x00", -1), lambda c: c != "")).when(all_items.isNotNull(), F.array().cast("array<string>"))
+
+    return let(items, put)
+
+
+def chunk_texts(text: Column, limit: int = 1000) -> Column:
+    """array<string>: sentences packed into chunks of at most limit characters; a longer sentence is a chunk of its own.
 
     Sentences of one paragraph are joined by a space, paragraphs by an empty line.
     """
-    order = Window.partitionBy("doc").orderBy("paragraph", "sentence")
-    gap = F.when(F.lag("paragraph").over(order) == F.col("paragraph"), " ").otherwise("\n\n")
-    rows = sentences(docs).withColumn("gap", gap)
-    items = F.array_sort(F.collect_list(F.struct("paragraph", "sentence", "text", "gap")))
-    listed = rows.groupBy("doc").agg(F.transform(items, lambda s: F.struct(s.text.alias("text"), s.gap.alias("gap"))).alias("items"))
-    return listed.select("doc", F.posexplode(packed(F.col("items"), limit)).alias("sequence", "text"))
+    item = lambda s, j: F.struct(s.alias("text"), F.when(j == 0, "\n\n").otherwise(" ").alias("gap"))
+    return packed(F.flatten(F.transform(sentence_texts(text), lambda own: F.transform(own, item))), limit)
+
+
+def chunks(docs: DataFrame, limit: int = 1000) -> DataFrame:
+    """(doc, sequence, text) of (doc, text): the chunks of each row, cut within the row."""
+    return docs.select("doc", F.posexplode(chunk_texts(F.col("text"), limit)).alias("sequence", "text"))
 
 
 def split_words(text: Column, limit: int) -> Column:
@@ -128,50 +159,75 @@ def split_clauses(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed(items, limit))
 
 
+def pause_segments(text: Column) -> Column:
+    """array<struct<text, pause_ms>>: sentences with the pause after each; 800 at a paragraph's end, 0 at the text's."""
+    marks = lambda s: F.when(F.substring(s, -1, 1) == "!", 520).when(F.substring(s, -1, 1) == "?", 470).otherwise(420)
+
+    def put(all_own: Column) -> Column:
+        own = lambda p, i: F.transform(p, lambda s, j: F.struct(s.alias("text"), F.when(j < F.size(p) - 1, marks(s)).when(i < F.size(all_own) - 1, 800).otherwise(0).alias("pause_ms")))
+        return F.flatten(F.transform(all_own, own))
+
+    return let(sentence_texts(text), put)
+
+
 def pauses(docs: DataFrame) -> DataFrame:
-    """(doc, segment, text, pause_ms): sentences with the pause after each; 800 at a paragraph's end, 0 at the text's."""
-    order = Window.partitionBy("doc").orderBy("paragraph", "sentence")
-    after = F.lead("paragraph").over(order)
-    end = F.substring("text", -1, 1)
-    pause = F.when(after.isNull(), 0).when(after != F.col("paragraph"), 800).when(end == "!", 520).when(end == "?", 470).otherwise(420)
-    return sentences(docs).select("doc", (F.row_number().over(order) - 1).alias("segment"), "text", pause.alias("pause_ms"))
+    """(doc, segment, text, pause_ms) of (doc, text)."""
+    return docs.select("doc", F.posexplode(pause_segments(F.col("text"))).alias("segment", "own")).select("doc", "segment", "own.text", "own.pause_ms")
+
 
+def _middle(text: str) -> int | None:
+    """Where to cut: after the punctuation nearest the middle, else at the nearest blank; the left one of two as near."""
+    for marks, after in ((",;:", 1), (" \t", 0)):
+        at = min((p for p in range(1, len(text)) if text[p] in marks), key=lambda p: (abs(p - len(text) // 2), p), default=None)
+        if at is not None and at + after < len(text):
+            return at + after
+    return None
 
-def _halves(text: str, limit: int) -> list[str]:
-    """Pieces of at most limit characters, cut at the mark nearest the middle (punctuation before blanks, left before right); a single word stays whole."""
+
+def _budget(text: str, limit: int, measure: Callable[[str], int]) -> list[str]:
+    """Pieces within the limit: clauses packed in order; a piece of one clause is cut at the middle, again and again; a word stays whole."""
     todo, out = [text.strip()], []
     while todo:
         t = todo.pop()
-        cut = None
-        if len(t) > limit and any(c.isspace() for c in t):
-            for marks, after in ((",;:", 1), (" \t", 0)):
-                at = min((p for p in range(1, len(t)) if t[p] in marks), key=lambda p: (abs(p - len(t) // 2), p), default=None)
-                if at is not None and at + after < len(t):
-                    cut = at + after
-                    break
-        if cut is None:
+        if measure(t) <= limit or not re.search(r"\s", t):
             out.append(t)
+            continue
+        clauses = [c.strip() for c in re.split(r"(?<=[,;:])\s+", t) if c.strip()]
+        if len(clauses) > 1:
+            parts = clauses[:1]
+            for c in clauses[1:]:
+                if measure(f"{parts[-1]} {c}") <= limit:
+                    parts[-1] += f" {c}"
+                else:
+                    parts.append(c)
+        else:
+            cut = _middle(t)
+            parts = [t] if cut is None else [t[:cut].strip(), t[cut:].strip()]
+        if len(parts) == 1:
+            out += parts
         else:
-            todo += [t[cut:].strip(), t[:cut].strip()]
-    return [t for t in out if t]
+            todo += reversed([p for p in parts if p])
+    return out
 
 
-def split_budget(rows: DataFrame, limit: int, text_col: str = "text") -> DataFrame:
-    """rows with piece_no and piece: clauses packed to at most limit characters; a clause that is longer is halved until it fits.
+EXEMPT = ("a", "b")
 
-    Packing is native; only clauses over the limit go through Arrow, where the halving recurs.
+
+def split_budget(rows: DataFrame, limit: int, text_col: str = "text", measure: Callable[[str], int] = len, code: Column | None = None) -> DataFrame:
+    """rows with piece_no and piece: clauses packed while the measure of a piece is at most limit; one that is larger is halved until it fits.
+
+    The measure is any function of a text (its length by default). Rows whose language code is exempt (a, b) and texts that fit stay
+    whole. A null text has no piece; repeated rows are cut each. Cutting recurs, so it is an Arrow UDF over single texts.
     """
-    def halve(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda t: None if t is None else _halves(t, limit))
-
-    halved = F.pandas_udf(halve, "array<string>")
-    cut = rows.select("*", F.posexplode(split_clauses(F.col(text_col), limit)).alias("__clause", "__part"))
-    long = F.length("__part") > limit
-    fit = cut.where(~long).withColumn("__parts", F.array("__part")).unionByName(cut.where(long).withColumn("__parts", halved("__part")))
-    fit = fit.select(*rows.columns, "__clause", F.posexplode("__parts").alias("__at", "piece"))
-    order = Window.partitionBy(*[c for c in rows.columns if c != text_col]).orderBy("__clause", "__at")
-    return fit.withColumn("piece_no", F.row_number().over(order) - 1).drop("__clause", "__at")
+            yield part.map(lambda t: None if t is None else _budget(t, limit, measure))
+
+    pieces = F.pandas_udf(cut, "array<string>")(F.col(text_col))
+    if code is not None:
+        pieces = F.when(F.coalesce(code.isin(*EXEMPT), F.lit(False)), F.array(F.col(text_col))).otherwise(pieces)
+    return rows.withColumn("__pieces", pieces).select(*rows.columns, F.posexplode("__pieces").alias("piece_no", "piece"))
 
 
 def paginated(docs: DataFrame, lines: int = 40) -> DataFrame:

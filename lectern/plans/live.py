@@ -20,12 +20,12 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live.kept_updates(live.heartbeat_windows(_events(spark, sf_dir), delay="3650 days"), ["worker", "start"])
+    rows = live.kept_updates(live.heartbeat_windows(_events(spark, sf_dir)), ["worker", "start"])
     return rows.select("worker", F.unix_micros("start").alias("start"), F.unix_micros("last_beat").alias("last_beat"), "n")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live.kept_updates(live.first_arrivals(_events(spark, sf_dir), ["book", "sequence"], "3650 days"), [], "append")
+    rows = live.kept_updates(live.first_arrivals(_events(spark, sf_dir), ["book", "sequence"], "1 hour"), [], "append")
     return rows.select("book", "sequence")
 
 

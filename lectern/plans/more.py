@@ -68,8 +68,11 @@ SELECT doc_id, sha256(CASE WHEN doc_id % 2 <> 0 THEN text WHEN trim(two) <> '' A
 
 
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.sentences(_docs(spark, sf_dir)).select("doc", "paragraph", "sentence", "text")
-    return T.split_budget(rows, 50)
+    """Sentences within 50 characters; English ones are exempt."""
+    langs = F.when(F.col("lang") == "en", "a").otherwise("e")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), langs.alias("code"), "text")
+    rows = T.sentences(rows).join(rows.select("doc", "code"), "doc")
+    return T.split_budget(rows, 50, code=F.col("code"))
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import state as S
 from lectern.plans.text import table
+from lectern.streaming.live import scratch
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +62,13 @@ def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), "ts")
-    end = beats.agg(F.max("ts").alias("as_of"))
-    last = beats.crossJoin(F.broadcast(end)).groupBy("worker").agg(F.max("ts").alias("last_beat"), F.max("as_of").alias("as_of"))
-    return last.select("worker", "last_beat", (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("last_beat").cast("timestamp")) <= 3600 * 1_000_000).alias("alive"))
+    return S.liveness(beats, None, 3600)
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     names = F.array(*[F.lit(s) for s in STATUSES])
-    return d.select(F.col("doc_id").alias("book"), F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("status"), F.when(F.col("doc_id") % 4 != 0, F.size(F.split("text", "\n", -1)) + 1).cast("long").alias("chunk_total"), F.concat(F.lit("e"), "doc_id").alias("error"))
+    return d.select(F.col("doc_id").alias("book"), F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("status"), F.when(F.col("doc_id") % 4 != 0, F.size(F.split("text", "\n", -1)) + 1).cast("long").alias("chunk_total"), F.concat(F.lit("e"), "doc_id").alias("error"), F.when(F.col("doc_id") % 3 != 0, F.round(F.col("n_chars") / 1000, 3)).alias("estimated_cost"), (F.col("doc_id") % 5 == 0).alias("cost_confirmed"), (F.col("doc_id") % 7 == 0).alias("cost_degraded"))
 
 
 STATUSES = ["uploaded", "extracting", "processing", "synthesizing", "ready", "error", "paused", "pending_confirmation", "other"]
@@ -87,7 +86,7 @@ def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _chunks(spark, sf_dir).where("length(text) % 3 <> 0").groupBy("book").agg(F.count("*").alias("n"))
     rows = _books(spark, sf_dir).join(done, "book", "left").withColumn("chunks_done", F.coalesce("n", F.lit(0)))
     shown = F.when(F.col("chunk_total").isNotNull() & ~F.col("status").isin("ready", "paused"), F.least("chunks_done", "chunk_total"))
-    return rows.select("book", "status", "chunks_done", "chunk_total", F.when(F.col("status") == "error", F.col("error")).alias("error_message"), shown.alias("shown"), *S.status_flags(F.col("status")))
+    return rows.select("book", "status", "chunks_done", "chunk_total", "estimated_cost", "cost_confirmed", "cost_degraded", F.when(F.col("status") == "error", F.col("error")).alias("error_message"), shown.alias("shown"), *S.status_flags(F.col("status")))
 
 
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +144,8 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = S.without_keys(_jobs(spark, sf_dir).select("book"), gone, "book").select(F.lit("jobs").alias("t"), "book")
     chunks = S.without_keys(_chunks(spark, sf_dir).select("book"), gone, "book").select(F.lit("chunks").alias("t"), "book")
     books = S.without_keys(_books(spark, sf_dir).select("book"), gone, "book").select(F.lit("books").alias("t"), "book")
-    return jobs.unionAll(chunks).unionAll(books).groupBy("t").agg(F.count("*").alias("n"), F.countDistinct("book").alias("n_books"))
+    progress = S.without_keys(_progress(spark, sf_dir).select("book"), gone, "book").select(F.lit("progress").alias("t"), "book")
+    return jobs.unionAll(chunks).unionAll(progress).unionAll(books).groupBy("t").agg(F.count("*").alias("n"), F.countDistinct("book").alias("n_books"))
 
 
 def chapter_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +159,25 @@ def chunk_sink_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _progress(spark, sf_dir).groupBy("book", "sequence").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def chunk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals written to a sink that holds each (book, sequence) once: what the sink then has."""
+    stored = _stored(spark, sf_dir).select("book", F.col("sequence").cast("long").alias("sequence"))
+    new = _progress(spark, sf_dir).select("book", "sequence", "position", F.col("event_id").alias("order"))
+    fresh, _ = S.appended(stored, new, ["book", "sequence"])
+    folder = scratch(spark)
+    stored.withColumn("position", F.lit(None).cast("double")).write.parquet(folder)
+    fresh.select("book", "sequence", "position").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).groupBy("book").agg(F.count("*").alias("n_chunks"), F.round(F.sum("position"), 2).alias("total"))
+
+
+def confirm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of even books are confirmed: the books that changed, with the jobs they got."""
+    before = _books(spark, sf_dir).select("book", "status", "cost_confirmed")
+    after, jobs = S.confirmed(before, _jobs(spark, sf_dir), before.where("book % 2 = 0"))
+    new = jobs.where("job IS NULL").select("book", F.col("status").alias("job_status"), "stage", "seq")
+    return after.join(new, "book", "left").groupBy("status", "cost_confirmed", "job_status", "stage").agg(F.count("*").alias("n"), F.sum("book").alias("books"), F.max("seq").alias("seq"))
+
+
 def schema_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.add_column(S.add_column(table(spark, sf_dir, "events").drop("props"), "priority", "int", 0, True), "value", "double", 1.0)
     return rows.groupBy("event_type", "priority").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -169,7 +188,21 @@ def enum_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/books/"), F.col("o_custkey"), F.lit("/audio/"), F.col("o_orderkey")).alias("url"), F.col("o_orderstatus").alias("status"))
+    """Chunks with their urls."""
+    return S.chunk_listing(_chunks(spark, sf_dir)).select("book", F.col("sequence").cast("long").alias("sequence"), "url")
+
+
+def book_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books, the last created first."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+    return S.book_listing(rows)
+
+
+def chapter_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of each book in order, without their texts."""
+    rows = _chunks(spark, sf_dir).groupBy("book", "chapter").agg(F.first("text").alias("text"), F.min("sequence").alias("start_page"), F.max("sequence").alias("end_page"))
+    rows = rows.select("book", F.concat(F.lit("c"), "chapter").alias("id"), F.concat(F.lit("Capítulo "), F.col("chapter") + 1).alias("title"), F.col("chapter").cast("long").alias("chapter_order"), F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"), "text")
+    return S.chapter_listing(rows)
 
 
 def engine_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,18 +226,22 @@ QUERIES = {
     "lookup": (lookup, "WITH " + JOBS + ", l AS (SELECT book, max(job) AS job, arg_max(status, seq) AS status FROM jobs GROUP BY book) SELECT c_custkey AS book, c_name, job, status FROM customer LEFT JOIN l ON book = c_custkey"),
     "latest_progress": (latest_progress, "SELECT user_id AS book, event_id % 50 AS sequence, value AS position, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "liveness": (liveness, "SELECT user_id AS worker, max(ts) AS last_beat, (SELECT max(ts) FROM events) - max(ts) <= INTERVAL 3600 SECONDS AS alive FROM events GROUP BY 1"),
-    "status_view": (status_view, _chunks_sql(f", b AS (SELECT doc_id AS book, {_STATUS} AS status, CASE WHEN doc_id % 4 <> 0 THEN len(string_split(text, chr(10))) + 1 END AS chunk_total FROM documents), d AS (SELECT book, count(*) AS n FROM chunks WHERE length(text) % 3 <> 0 GROUP BY book) SELECT book, status, coalesce(n, 0) AS chunks_done, chunk_total, CASE WHEN status = 'error' THEN 'e' || book END AS error_message, CASE WHEN chunk_total IS NOT NULL AND status NOT IN ('ready', 'paused') THEN least(coalesce(n, 0), chunk_total) END AS shown, status IN ('extracting', 'processing', 'synthesizing') AS delete_blocked, status = 'pending_confirmation' AS can_confirm, status IN ('uploaded', 'paused') AS can_prioritize, {_LABEL} AS label FROM b LEFT JOIN d USING (book)")),
+    "status_view": (status_view, _chunks_sql(f", b AS (SELECT doc_id AS book, {_STATUS} AS status, CASE WHEN doc_id % 4 <> 0 THEN len(string_split(text, chr(10))) + 1 END AS chunk_total, CASE WHEN doc_id % 3 <> 0 THEN round(n_chars / 1000, 3) END AS estimated_cost, doc_id % 5 = 0 AS cost_confirmed, doc_id % 7 = 0 AS cost_degraded FROM documents), d AS (SELECT book, count(*) AS n FROM chunks WHERE length(text) % 3 <> 0 GROUP BY book) SELECT book, status, coalesce(n, 0) AS chunks_done, chunk_total, estimated_cost, cost_confirmed, cost_degraded, CASE WHEN status = 'error' THEN 'e' || book END AS error_message, CASE WHEN chunk_total IS NOT NULL AND status NOT IN ('ready', 'paused') THEN least(coalesce(n, 0), chunk_total) END AS shown, status IN ('extracting', 'processing', 'synthesizing') AS delete_blocked, status = 'pending_confirmation' AS can_confirm, status IN ('uploaded', 'paused') AS can_prioritize, status IN ('ready', 'error') AS prioritize_refused, status IN ('uploaded', 'extracting', 'processing', 'synthesizing') AS waits_for_worker, {_LABEL} AS label FROM b LEFT JOIN d USING (book)")),
     "navigation": (navigation, _chunks_sql("SELECT book, sequence, CASE WHEN length(text) % 10 > 3 THEN sequence ELSE greatest(sequence - 1, 0) END AS previous, coalesce(lead(sequence) OVER (PARTITION BY book ORDER BY sequence), sequence) AS next FROM chunks")),
     "position": (position, POSITION_SQL),
     "content_hash_skip": (content_hash_skip, "SELECT min(doc_id) AS doc, sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 1) GROUP BY text"),
     "resume_plan": (resume_plan, _chunks_sql("SELECT book, count(*) AS n_left, min(sequence) AS next FROM chunks WHERE length(text) % 3 <> 0 GROUP BY book")),
     "resume_consistency": (resume_consistency, _chunks_sql("SELECT book, count(*) AS n_planned, count(*) FILTER (WHERE length(text) % 3 = 0) AS n_done, coalesce(max(sequence + CASE WHEN book % 5 = 0 THEN 3 ELSE 0 END) FILTER (WHERE length(text) % 3 = 0) >= count(*), false) AS inconsistent FROM chunks GROUP BY book")),
     "arrivals_merge": (arrivals, _chunks_sql(", k AS (SELECT book, sequence FROM chunks WHERE length(text) % 3 = 0), f AS (SELECT DISTINCT user_id AS book, event_id % 50 AS sequence FROM events) SELECT 'known' AS origin, count(*) AS n, sum(sequence)::BIGINT AS total FROM k UNION ALL SELECT 'fetched', count(*), sum(sequence)::BIGINT FROM f ANTI JOIN k USING (book, sequence)")),
-    "cascade_delete": (cascade_delete, _chunks_sql(f", gone AS (SELECT doc_id AS book FROM documents WHERE doc_id % 4 = 0 AND {_STATUS} NOT IN ('extracting', 'processing', 'synthesizing')), r AS (SELECT 'jobs' AS t, o_custkey AS book FROM orders UNION ALL SELECT 'chunks', book FROM chunks UNION ALL SELECT 'books', doc_id FROM documents) SELECT t, count(*) AS n, count(DISTINCT book) AS n_books FROM r ANTI JOIN gone USING (book) GROUP BY t")),
+    "cascade_delete": (cascade_delete, _chunks_sql(f", gone AS (SELECT doc_id AS book FROM documents WHERE doc_id % 4 = 0 AND {_STATUS} NOT IN ('extracting', 'processing', 'synthesizing')), r AS (SELECT 'jobs' AS t, o_custkey AS book FROM orders UNION ALL SELECT 'chunks', book FROM chunks UNION ALL SELECT 'progress', user_id FROM events UNION ALL SELECT 'books', doc_id FROM documents) SELECT t, count(*) AS n, count(DISTINCT book) AS n_books FROM r ANTI JOIN gone USING (book) GROUP BY t")),
     "chapter_replace": (chapter_replace, _chunks_sql(", c AS (SELECT book, chapter, count(*) AS n FROM chunks GROUP BY 1, 2) SELECT book, count(*) AS n_chapters, CASE WHEN book % 3 = 0 THEN count(*) ELSE sum(n)::BIGINT END AS n, min(chapter) + CASE WHEN book % 3 = 0 THEN 100 ELSE 0 END AS first FROM c GROUP BY book")),
     "chunk_sink_check": (chunk_sink_check, "SELECT user_id AS book, event_id % 50 AS sequence, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1"),
     "schema_evolve": (schema_evolve, "SELECT event_type, 0 AS priority, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
     "enum_split": (enum_split, "SELECT event_type, coalesce(event_type IN ('click', 'view', 'purchase'), false) AS accepted, count(*) AS n FROM events GROUP BY 1"),
-    "listing": (listing, "SELECT o_orderkey AS id, '/books/' || o_custkey || '/audio/' || o_orderkey AS url, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25"),
+    "listing": (listing, _chunks_sql("SELECT book, sequence, '/books/' || book || '/audio/' || sequence AS url FROM chunks")),
+    "book_listing": (book_listing, "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS status, o_orderdate AS created_at FROM orders"),
+    "chapter_listing": (chapter_listing, _chunks_sql("SELECT book, 'c' || chapter AS id, 'Capítulo ' || (chapter + 1) AS title, chapter AS chapter_order, min(sequence) AS start_page, max(sequence) AS end_page FROM chunks GROUP BY book, chapter")),
+    "chunk_sink": (chunk_sink, _chunks_sql(", s AS (SELECT book, sequence FROM chunks WHERE length(text) % 3 = 0), f AS (SELECT user_id AS book, event_id % 50 AS sequence, arg_min(value, event_id) AS position FROM events GROUP BY 1, 2), r AS (SELECT book, sequence, NULL::DOUBLE AS position FROM s UNION ALL SELECT * FROM f ANTI JOIN s USING (book, sequence)) SELECT book, count(*) AS n_chunks, round(sum(position), 2) AS total FROM r GROUP BY book")),
+    "confirm_cost": (confirm_cost, f"WITH b AS (SELECT doc_id AS book, {_STATUS} AS status, doc_id % 5 = 0 AS k FROM documents), c AS (SELECT *, status = 'pending_confirmation' AND book % 2 = 0 AS now FROM b) SELECT CASE WHEN now THEN 'uploaded' ELSE status END AS status, k OR now AS cost_confirmed, CASE WHEN now THEN 'queued' END AS job_status, CASE WHEN now THEN 'process' END AS stage, count(*) AS n, sum(book)::BIGINT AS books, max(CASE WHEN now THEN (SELECT max(o_orderkey) + 1 FROM orders) END) AS seq FROM c GROUP BY 1, 2, 3, 4"),
     "engine_mix": (engine_mix, "SELECT l_suppkey AS book, l_linestatus AS engine, count(*) AS n_chunks, round(sum(l_quantity), 2) AS seconds FROM lineitem GROUP BY 1, 2"),
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import structure as S
+from lectern.operators.order import with_sum_before
 from lectern.plans.text import table
 
 
@@ -17,19 +18,19 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = """
 words AS (SELECT doc, page, i - 1 AS word_no, l[i] AS text, (length(l[i]) * 7 + i - 1) % 102 - 1 AS conf
   FROM (SELECT source AS doc, doc_id AS page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, ' ') AS l FROM documents))),
-ocr AS (SELECT doc, page, count(*) FILTER (WHERE ok) AS n_words, coalesce(avg(conf) FILTER (WHERE ok) / 100, 0.0) AS confidence FROM (SELECT *, trim(text, chr(32)||chr(9)||chr(10)) <> '' AND conf >= 0 AS ok FROM words) GROUP BY doc, page)
+ocr AS (SELECT doc, page, count(*) FILTER (WHERE ok) AS n_words, coalesce(avg(conf) FILTER (WHERE ok) / 100, 0.0) AS confidence, sha256(coalesce(string_agg(text, ' ' ORDER BY word_no) FILTER (WHERE ok), '')) AS sha FROM (SELECT *, trim(text, chr(32)||chr(9)||chr(10)) <> '' AND conf >= 0 AS ok FROM words) GROUP BY doc, page)
 """
 
 
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.confidence(_words(spark, sf_dir)).select("doc", "page", "n_words", F.round("confidence", 6).alias("confidence"))
+    return S.confidence(_words(spark, sf_dir)).select("doc", "page", "n_words", F.round("confidence", 6).alias("confidence"), F.sha2("text", 256).alias("sha"))
 
 
 def _pages(spark: SparkSession, sf_dir: str, name: str, blank: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("source").isin("src1", "src2", "src3"), "  \n").otherwise(F.col("text")) if blank else F.col("text")
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("source").alias("doc"), "doc_id", number.alias("page_number"), text.alias("text"), F.lit(name).alias("origin"))
+    rows = docs.select(F.col("source").alias("doc"), "doc_id", text.alias("text"), F.lit(name).alias("origin"))
+    return with_sum_before(rows, "doc", "doc_id", F.lit(1), "page_number").withColumn("page_number", (F.col("page_number") + 1).cast("int"))
 
 
 def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +58,12 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A span per line of a document: the first is short and high up, sizes follow the line's length."""
-    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("block", "text"))
-    size = F.when(F.length("text") < 20, 20.0).when(F.length("text") % 7 == 0, 8.0).otherwise(9.7)
-    return lines.select("doc", "page", "block", F.lit(0).alias("line"), (F.col("page") * 100000 + F.col("block")).alias("position"), "text", size.alias("size"), (F.col("block") * 20.0 + 10).alias("y0"), F.lit(800.0).alias("page_height"))
+    """A span per line of a document, and a large blank one before it: the first is short and high up, sizes follow the line's length."""
+    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
+    size = F.when(F.length("line") < 20, 20.0).when(F.length("line") % 7 == 0, 8.0).otherwise(9.7)
+    spans = F.posexplode(F.array(F.struct(F.repeat(F.lit(" "), F.length("line")).alias("text"), F.lit(30.0).alias("size")), F.struct(F.col("line").alias("text"), size.alias("size")))).alias("at", "span")
+    rows = lines.select("doc", "page", "block", spans)
+    return rows.select("doc", "page", "block", F.lit(0).alias("line"), (F.col("page") * 100000 + F.col("block") * 2 + F.col("at")).alias("position"), "span.*", (F.col("block") * 20.0 + 10).alias("y0"), F.when(F.col("page") % 11 == 0, 0.0).otherwise(800.0).alias("page_height"))
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +71,19 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc", "role").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 
-LAYOUT_SQL = """
+def narratable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.narratable_pages(S.layout_blocks(_spans(spark, sf_dir)))
+    return rows.select("doc", "page", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+LAYOUT = """
 WITH s AS (SELECT doc, page, i - 1 AS block, l[i] AS text, CASE WHEN length(l[i]) < 20 THEN 20.0 WHEN length(l[i]) % 7 = 0 THEN 8.0 ELSE 9.7 END AS size
   FROM (SELECT source AS doc, doc_id AS page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))),
-m AS (SELECT doc, arg_max(size, n * 1000000000 - first) AS body FROM (SELECT doc, size, sum(length(text))::BIGINT AS n, min(page * 100000 + block) AS first FROM s GROUP BY doc, size) GROUP BY doc),
-r AS (SELECT doc, length(text) AS n, CASE WHEN trim(text) = '' THEN 'empty' WHEN block = 0 AND size < 1.35 * body AND length(trim(text)) <= 80 THEN 'header' WHEN size <= 0.85 * body THEN 'small' WHEN size >= 1.35 * body THEN 'heading' ELSE 'body' END AS role FROM s JOIN m USING (doc))
-SELECT doc, role, count(*) AS n_blocks, sum(n)::BIGINT AS n_chars FROM r GROUP BY doc, role
+m AS (SELECT doc, arg_max(size, n * 1000000000 - first) AS body FROM (SELECT doc, size, sum(length(text))::BIGINT AS n, min(page * 100000 + block) AS first FROM s WHERE trim(text) <> '' GROUP BY doc, size) GROUP BY doc),
+r AS (SELECT doc, page, block, text, 2 * length(text) AS n, CASE WHEN trim(text) = '' THEN 'empty' WHEN block = 0 AND page % 11 <> 0 AND size < 1.35 * body AND length(trim(text)) <= 80 THEN 'header' WHEN size <= 0.85 * body THEN 'small' WHEN size >= 1.35 * body THEN 'heading' ELSE 'body' END AS role FROM s JOIN m USING (doc))
 """
+LAYOUT_SQL = LAYOUT + "SELECT doc, role, count(*) AS n_blocks, sum(n)::BIGINT AS n_chars FROM r GROUP BY doc, role"
+NARRATABLE_SQL = LAYOUT + ", t AS (SELECT doc, page, coalesce(string_agg(trim(text, chr(32)||chr(9)||chr(13)), chr(10) || chr(10) ORDER BY block) FILTER (WHERE role IN ('body', 'heading')), '') AS text FROM r GROUP BY doc, page) SELECT doc, page, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM t"
 
 
 def _outline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +91,9 @@ def _outline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     totals = pages.groupBy("doc").agg(F.count("*").cast("int").alias("total"))
     title = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("T"), F.col("doc_id")))
     keep = (F.col("k") % 5 != 0) & (((F.col("k") % 5 == 1) & (F.col("page_number") % 4 == 2)) | ((F.col("k") % 5 == 2) & (F.col("page_number") < 6)) | (F.col("k") % 5 > 2))
-    return pages.where(keep).select("doc", F.col("page_number").alias("entry_no"), (F.col("doc_id") % 3 + 1).alias("level"), title.alias("title"), F.col("page_number").alias("page")), totals
+    toc = pages.where(keep).select("doc", (F.col("page_number") * 2).alias("entry_no"), (F.col("doc_id") % 3 + 1).alias("level"), title.alias("title"), F.col("page_number").alias("page"))
+    deeper = toc.where("page % 2 = 0").select("doc", (F.col("entry_no") + 1).alias("entry_no"), F.lit(4).cast("long").alias("level"), F.concat(F.lit("D"), "page").alias("title"), "page")
+    return toc.unionByName(deeper), totals
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +104,13 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAPTERS = """
 pg AS (SELECT source AS doc, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CAST(substr(source, 4) AS INT) AS k FROM documents),
 tot AS (SELECT doc, count(*) AS total FROM pg GROUP BY doc),
-toc AS (SELECT doc, page, doc_id % 3 + 1 AS level, CASE WHEN doc_id % 5 = 0 THEN doc_id::VARCHAR ELSE 'T' || doc_id END AS title FROM pg WHERE k % 5 <> 0 AND ((k % 5 = 1 AND page % 4 = 2) OR (k % 5 = 2 AND page < 6) OR k % 5 > 2)),
+toc0 AS (SELECT doc, page, doc_id % 3 + 1 AS level, CASE WHEN doc_id % 5 = 0 THEN doc_id::VARCHAR ELSE 'T' || doc_id END AS title FROM pg WHERE k % 5 <> 0 AND ((k % 5 = 1 AND page % 4 = 2) OR (k % 5 = 2 AND page < 6) OR k % 5 > 2)),
+toc AS (SELECT doc, page, level, title, 0 AS e FROM toc0 UNION ALL SELECT doc, page, 4, 'D' || page, 1 FROM toc0 WHERE page % 2 = 0),
+best AS (SELECT doc, page, arg_min(title, CASE WHEN regexp_matches(title, '^[0-9]+$') THEN 10 ELSE 0 END + e) AS title FROM toc GROUP BY doc, page),
 gaps AS (SELECT doc, level, coalesce(lead(page) OVER (PARTITION BY doc, level ORDER BY page), total + 1) - page AS gap, total FROM toc JOIN tot USING (doc)),
 lev AS (SELECT doc, level, max(gap) / max(total) AS widest FROM gaps GROUP BY doc, level),
 pick AS (SELECT doc, coalesce(min(level) FILTER (WHERE widest <= 0.25), arg_min(level, widest * 1000000 + level)) AS level FROM lev GROUP BY doc),
-own AS (SELECT toc.doc, page AS s, title, total, row_number() OVER (PARTITION BY toc.doc ORDER BY page) AS n, lead(page) OVER (PARTITION BY toc.doc ORDER BY page) AS nxt FROM toc JOIN pick USING (doc, level) JOIN tot USING (doc)),
+own AS (SELECT doc, page AS s, best.title, total, row_number() OVER (PARTITION BY doc ORDER BY page) AS n, lead(page) OVER (PARTITION BY doc ORDER BY page) AS nxt FROM toc JOIN pick USING (doc, level) JOIN tot USING (doc) JOIN best USING (doc, page)),
 iv AS (SELECT doc, title, CASE WHEN n = 1 THEN 1 ELSE s END AS a, coalesce(nxt, total + 1) - 1 AS b, total FROM own
   UNION ALL SELECT doc, 'Parte ' || (k + 1), k * 10 + 1, least(k * 10 + 10, total), total FROM (SELECT doc, total, unnest(range(0, (total + 9) // 10)) AS k FROM tot WHERE doc NOT IN (SELECT doc FROM pick))),
 cut AS (SELECT *, greatest(10, floor(total * 0.25)::INT) AS most FROM iv WHERE b >= a),
@@ -112,12 +125,28 @@ def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc", F.col("chapter").cast("long").alias("chapter")).agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def chapter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned text of each chapter: pages have a common head, and a line with a broken word that tells their document and its length."""
+    found = S.chapters(*_outline(spark, sf_dir))
+    text = F.concat(F.lit("HEAD\np"), "doc_id", F.lit(" n-\n x"), "doc_id", F.lit(" "), F.length("text"), F.lit("."))
+    rows = S.chapter_texts(_pages(spark, sf_dir, "p", False).withColumn("text", text), found)
+    return rows.select("doc", F.col("chapter").cast("long").alias("chapter"), "title", "text")
+
+
+CHAPTER_TEXTS_SQL = "WITH " + CHAPTERS + """
+SELECT doc, chapter, title, CASE WHEN count(*) = 1 THEN 'HEAD ' ELSE '' END || string_agg('p' || doc_id || ' nx' || doc_id || ' ' || length(text) || '.', chr(10) ORDER BY n) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY start_page) AS chapter FROM ch) c
+JOIN (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, text FROM documents) d ON d.source = c.doc AND d.n BETWEEN start_page AND end_page GROUP BY doc, chapter, title
+"""
+
 QUERIES = {
-    "ocr_confidence": (ocr_confidence, "WITH " + WORDS + "SELECT doc, page, n_words, round(confidence, 6) AS confidence FROM ocr"),
+    "ocr_confidence": (ocr_confidence, "WITH " + WORDS + "SELECT doc, page, n_words, round(confidence, 6) AS confidence, sha FROM ocr"),
     "source_choice": (source_choice, "SELECT source AS doc, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'fallback' ELSE 'primary' END AS origin, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ALL"),
     "source_cascade": (source_cascade, CASCADE_SQL),
     "page_slice": (page_slice, "SELECT source AS doc, n AS page_number, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 7"),
     "layout_blocks": (layout_blocks, LAYOUT_SQL),
+    "narratable_pages": (narratable_pages, NARRATABLE_SQL),
+    "chapter_texts": (chapter_texts, CHAPTER_TEXTS_SQL),
     "chapters": (chapters, "WITH " + CHAPTERS + "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY start_page) AS chapter, title, start_page::BIGINT AS start_page, end_page::BIGINT AS end_page FROM ch"),
     "chapter_pages": (chapter_pages, "WITH " + CHAPTERS + "SELECT doc, chapter, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY start_page) AS chapter FROM ch) c JOIN (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, text FROM documents) d ON d.source = c.doc AND d.n BETWEEN start_page AND end_page GROUP BY doc, chapter"),
 }

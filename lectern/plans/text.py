@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dictionaries as D
 from lectern.functions import notation as N
 from lectern.operators import text as T
+from lectern.sources import dictionary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +38,29 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.clean_pages(_broken(table(spark, sf_dir, "documents"))).select("unit", "page", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
-
-
-CLEAN_SQL = "WITH " + LINES + r""",
+    """The cleaned text of each document, with words and sentences cut by the ends of its pages (a line, then three lines each)."""
+    docs = _broken(table(spark, sf_dir, "documents")).select(F.col("page").alias("unit"), F.split("text", "\n", -1).alias("lines"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("lines") + 1) / 3).cast("int"))
+    page = lambda k: F.array_join(F.slice("lines", F.greatest(3 * k - 2, F.lit(0)) + 1, F.when(k == 0, 1).otherwise(3)), "\n")
+    text = T.clean_text(F.transform(numbers, page))
+    return docs.select("unit", text.alias("text")).select("unit", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+CLEAN_SQL = "WITH " + BROKEN.replace("source AS unit, doc_id AS page", "doc_id AS unit") + r""",
+lines AS (SELECT unit, (i + 1) // 3 AS page, i - 1 AS line_no, l[i] AS line, trim(l[i], chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) AS bare
+  FROM (SELECT unit, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT unit, string_split(text, chr(10)) AS l FROM broken))),
+rep AS (SELECT unit, bare FROM lines WHERE bare <> '' GROUP BY unit, bare HAVING count(DISTINCT page) >= 2),
 left_over AS (SELECT * FROM lines WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.unit = lines.unit AND rep.bare = lines.bare)),
-j AS (SELECT *, rtrim(line, chr(32)||chr(9)) LIKE '%-' AND coalesce(regexp_matches(lead(bare) OVER w, '^\p{Ll}'), false) AS joins FROM left_over WINDOW w AS (PARTITION BY unit, page ORDER BY line_no)),
-k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY unit, page ORDER BY line_no), false) AS joined FROM j),
-g AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY unit, page ORDER BY line_no) AS grp FROM k),
-h AS (SELECT unit, page, min(line_no) AS line_no, string_agg(CASE WHEN joins THEN regexp_replace(rtrim(CASE WHEN joined THEN ltrim(line) ELSE line END), '-$', '') WHEN joined THEN ltrim(line) ELSE line END, '' ORDER BY line_no) AS line FROM g GROUP BY unit, page, grp),
-b AS (SELECT unit, page, line_no, trim(line, chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) AS bare FROM h),
-s AS (SELECT *, lag(bare) OVER (PARTITION BY unit, page ORDER BY line_no) AS before FROM b),
-o AS (SELECT *, sum(CASE WHEN before IS NULL OR bare = '' OR before = '' OR regexp_matches(before, '[.!?:;"”»)]$') THEN 1 ELSE 0 END) OVER (PARTITION BY unit, page ORDER BY line_no) AS grp FROM s),
-p AS (SELECT unit, page, grp, string_agg(bare, ' ' ORDER BY line_no) AS line FROM o GROUP BY unit, page, grp),
-f AS (SELECT unit, page, trim(string_agg(line, chr(10) ORDER BY grp), chr(10)) AS text FROM p GROUP BY unit, page)
-SELECT unit, page, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM f
+j AS (SELECT *, rtrim(line, chr(32)||chr(9)) LIKE '%-' AND coalesce(regexp_matches(lead(bare) OVER w, '^\p{Ll}'), false) AS joins FROM left_over WINDOW w AS (PARTITION BY unit ORDER BY line_no)),
+k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY unit ORDER BY line_no), false) AS joined FROM j),
+g AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY line_no) AS grp FROM k),
+h AS (SELECT unit, min(line_no) AS line_no, string_agg(CASE WHEN joins THEN regexp_replace(rtrim(CASE WHEN joined THEN ltrim(line) ELSE line END), '-$', '') WHEN joined THEN ltrim(line) ELSE line END, '' ORDER BY line_no) AS line FROM g GROUP BY unit, grp),
+b AS (SELECT unit, line_no, trim(line, chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) AS bare FROM h),
+s AS (SELECT *, lag(bare) OVER (PARTITION BY unit ORDER BY line_no) AS before FROM b),
+o AS (SELECT *, sum(CASE WHEN before IS NULL OR bare = '' OR before = '' OR regexp_matches(before, '[.!?:;"”»)]$') THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY line_no) AS grp FROM s),
+p AS (SELECT unit, grp, string_agg(bare, ' ' ORDER BY line_no) AS line FROM o GROUP BY unit, grp),
+f AS (SELECT unit, trim(string_agg(line, chr(10) ORDER BY grp), chr(10)) AS text FROM p GROUP BY unit)
+SELECT broken.unit, length(coalesce(f.text, ''))::BIGINT AS n_chars, sha256(coalesce(f.text, '')) AS sha FROM broken LEFT JOIN f USING (unit)
 """
 
 
@@ -69,15 +78,17 @@ paras AS (SELECT doc, i - 1 AS paragraph, trim(regexp_replace(l[i], '\s+', ' ',
   FROM (SELECT doc, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc, string_split_regex(text, '\n\s*\n') AS l FROM docs))),
 parts AS (SELECT doc, paragraph, i AS part, l[i] AS text
   FROM (SELECT doc, paragraph, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc, paragraph, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) AS l FROM paras WHERE text <> '')) WHERE l[i] <> ''),
-words AS (SELECT *, regexp_extract(lag(text) OVER (PARTITION BY doc, paragraph ORDER BY part), '([\p{L}\p{N}_]+)\.$', 1) AS word FROM parts),
+words AS (SELECT *, regexp_extract(lag(text) OVER (PARTITION BY doc, paragraph ORDER BY part), '([A-Za-zÀ-ÿ0-9º°]+)\.$', 1) AS word FROM parts),
 marked AS (SELECT *, sum(CASE WHEN coalesce(word, '') <> '' AND (length(word) = 1 OR lower(word) IN (ABBR)) THEN 0 ELSE 1 END) OVER (PARTITION BY doc, paragraph ORDER BY part) AS sentence FROM words),
 sents AS (SELECT doc, paragraph, sentence - 1 AS sentence, string_agg(text, ' ' ORDER BY part) AS text FROM marked GROUP BY doc, paragraph, sentence)
 """.replace("ABBR", ", ".join(f"'{a}'" for a in D.NO_SENTENCE_END))
 
 
 def sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.sentences(_docs(spark, sf_dir))
-    return rows.groupBy("doc").agg(F.count("*").alias("n_sentences"), F.countDistinct("paragraph").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"), F.max(F.length("text")).cast("long").alias("longest"))
+    rows = _docs(spark, sf_dir).select("doc", T.sentence_texts(F.col("text")).alias("own")).where(F.size("own") > 0)
+    lengths = F.transform(F.flatten("own"), lambda s: F.length(s).cast("long"))
+    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("doc", F.size(lengths).cast("long").alias("n_sentences"), F.size("own").cast("long").alias("n_paragraphs"), total.alias("n_chars"), F.array_max(lengths).alias("longest"))
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +110,48 @@ fold AS (
 """
 
 
+def sanitize_sql(text: str) -> str:
+    """SQL for what sanitising does to ordinary text: code fences and numbered lists, which no document has, aside."""
+    letters, t = r"\p{L}\p{M}\p{N}_", text
+    for pattern, by in (
+        (r"(?i)https?://(?:([^\s<>''\"]*[^\s<>''\".,;:!?])([.,;:!?]*)|([.,;:!?]+))", r"link\2\3"),
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "endereço de e-mail"),
+        (r"\*\*(.+?)\*\*|\*([^\s*][^*]*?)\*|`([^`]+?)`", r"\1\2\3"),
+        (r"(?m)^(?:#{1,6}\s*|>\s?|[-*+]\s+)", ""),
+    ):
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    row = "CASE WHEN trim(x) NOT LIKE '|%' THEN x WHEN regexp_matches(trim(x), '^\\|[|: -]*\\|$') AND x LIKE '%-%' THEN NULL ELSE array_to_string(list_filter(list_transform(string_split(x, '|'), lambda y: trim(y)), lambda y: y <> ''), ', ') END"
+    t = f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: {row}), lambda x: x IS NOT NULL), chr(10))"
+    for sign, word in (("R\\$", "reais"), ("(?:US\\$|\\$)", "dólares"), ("€", "euros"), ("£", "libras")):
+        t = f"regexp_replace({t}, '{sign}\\s*(\\d[\\d.,]*\\d|\\d)', '\\1 {word}', 'g')"
+    for sign, word in D.SYMBOLS.items():
+        t = f"replace({t}, '{sign}', '{word}')"
+    for short, word in D.ABBREVIATIONS.items():
+        t = f"regexp_replace({t}, '(?i)(^|[^{letters}]){short}\\.', '\\1{word}', 'g')"
+    for pattern, by in (
+        (rf"(^|[^{letters}])(\d{{1,2}})h(\d{{2}})($|[^0-9])", r"\1\2 e \3\4"),
+        (rf"(^|[^{letters}])(\d{{1,2}})h($|[^{letters}])", r"\1\2 horas\3"),
+        (r"([0-9])\s*–\s*([0-9])", r"\1 a \2"),
+    ):
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return t
+
+
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
-    return T.chunks(_docs(spark, sf_dir)).join(docs, "doc").groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+    """How many chunks the sanitised text of each document makes, and their characters."""
+    rows = _docs(spark, sf_dir).select("doc", T.chunk_texts(N.sanitize(F.col("text"))).alias("chunks"))
+    return rows.select("doc", F.size("chunks").cast("long").alias("n_chunks"), F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.length(c)).alias("n_chars"))
 
 
-COUNTS_SQL = CHUNKS_SQL.replace("SELECT doc, chunk::BIGINT AS sequence, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM texts", "SELECT lang, count(*) AS n_chunks, sum(length(texts.text))::BIGINT AS n_chars FROM texts JOIN documents ON doc = doc_id GROUP BY lang")
+SANE_DOCS = DOCS.replace("SELECT doc_id AS doc, CASE", "SELECT doc, " + sanitize_sql("raw") + " AS text FROM (SELECT doc_id AS doc, CASE", 1).replace("ELSE t END AS text\n", "ELSE t END AS raw\n", 1).replace("FROM documents)),", "FROM documents))),", 1)
+COUNTS_SQL = CHUNKS_SQL.replace(DOCS, SANE_DOCS).replace("SELECT doc, chunk::BIGINT AS sequence, length(text)::BIGINT AS n_chars, sha256(text) AS sha FROM texts", "SELECT docs.doc, count(texts.text) AS n_chunks, coalesce(sum(length(texts.text)), 0)::BIGINT AS n_chars FROM docs LEFT JOIN texts USING (doc) GROUP BY docs.doc")
 
 
 def pause_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.pauses(_docs(spark, sf_dir))
-    return rows.groupBy("doc").agg(F.count("*").alias("n_segments"), F.sum("pause_ms").alias("pause_ms"), F.sum(F.col("pause_ms") * F.col("segment")).alias("weighted"))
+    rows = _docs(spark, sf_dir).select("doc", T.pause_segments(F.col("text")).alias("own")).where(F.size("own") > 0)
+    sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    pause = F.transform("own", lambda s: s.pause_ms)
+    return rows.select("doc", F.size("own").cast("long").alias("n_segments"), sum_of(pause).alias("pause_ms"), sum_of(F.transform(pause, lambda p, i: p * i)).alias("weighted"))
 
 
 PAUSES_SQL = "WITH " + DOCS + """,
@@ -152,35 +194,47 @@ FROM lineitem WHERE l_shipdate IS NOT NULL
 
 def sanitize_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown is wrapped around each document's first word and sanitised; SQL writes what must come out."""
-    w = F.concat(F.lit("w"), F.col("doc_id"))
+    w = F.concat(F.lit("w"), F.regexp_extract("text", "[A-Za-z]+", 0))
     text = F.concat_ws("\n", F.concat(F.lit("# "), w), F.concat(F.lit("> **"), w, F.lit("** e *"), w, F.lit("* `"), w, F.lit("`")), F.lit("```py"), w, F.lit("~~~"), F.lit("```"), F.concat(F.lit("1. "), w), F.concat(F.lit("2) "), w), F.lit("prosa"), F.concat(F.lit("3. "), w), F.concat(F.lit("| "), w, F.lit(" | b |")), F.lit("|---|:-:|"), F.concat(F.lit("https://x.com/"), w, F.lit(". a@b.com")), F.lit("~~~"), w)
     return table(spark, sf_dir, "documents").select("doc_id", N.sanitize(text).alias("text"))
 
 
 MARKUP_SQL = """
 SELECT doc_id, concat_ws(chr(10), w, w || ' e ' || w || ' ' || w, 'trecho de código omitido', w, w, 'prosa', '3. ' || w, w || ', b', 'link. endereço de e-mail', 'trecho de código omitido') AS text
-FROM (SELECT doc_id, 'w' || doc_id AS w FROM documents)
+FROM (SELECT doc_id, 'w' || regexp_extract(text, '[A-Za-z]+') AS w FROM documents)
 """
 
 
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = N.symbols(N.emphasis(N.links(F.col("text"))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha"))
+    """The whole chain over the whole text of every document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", N.sanitize(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
-_replaced = "e"
-for _s, _w in D.SYMBOLS.items():
-    _replaced = f"replace({_replaced}, '{_s}', '{_w}')"
-DOCUMENTS_SQL = rf"""
-SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, {_replaced} AS t FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', 'endereço de e-mail', 'g'), '\*\*(.+?)\*\*|\*([^\s*][^*]*?)\*|`([^`]+?)`', '\1\2\3', 'g') AS e FROM documents))
-"""
+DOCUMENTS_SQL = f"SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, {sanitize_sql('text')} AS t FROM documents)"
+
+
+def _term_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a dictionary file: every part's first name word with a spelling, some of them comments or broken."""
+    name = F.substring_index("p_name", " ", 1)
+    line = F.when(F.col("n") % 5 == 0, F.concat(F.lit("# "), "word")).when(F.col("n") % 7 == 0, F.col("word")).otherwise(F.concat("word", F.lit(': "'), F.upper("word"), F.lit(' $1"')))
+    return table(spark, sf_dir, "part").select(name.alias("word")).groupBy("word").agg(F.count("*").alias("n")).select(line.alias("value"))
 
 
 def term_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(N.substitute_terms(F.col("text"), {"the": "dhe", "of": "ov", "und": "unt"}), 256).alias("sha"))
+    """Comments of a text with the terms of a dictionary, read as lines, put in by one pass."""
+    terms = dictionary.as_map(dictionary.terms_of(_term_lines(spark, sf_dir)))
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(", ("), F.upper("p_name"), F.lit(")")).alias("text"))
+    return names.select("p_partkey", N.substitute_terms(F.col("text"), terms).alias("text"))
 
 
+TERMS_SQL = """
+WITH w AS (SELECT split_part(p_name, ' ', 1) AS word, count(*) AS n FROM part GROUP BY 1),
+t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS word, substr(p_name, length(split_part(p_name, ' ', 1)) + 1) AS rest FROM part)
+SELECT p_partkey, CASE WHEN n % 5 <> 0 AND n % 7 <> 0 THEN upper(word) || ' $1' ELSE word END || rest || ', (' || upper(word) || CASE WHEN n % 5 <> 0 AND n % 7 <> 0 THEN ' $1' ELSE '' END || upper(rest) || ')' AS text
+FROM t JOIN w USING (word)
+"""
+
 QUERIES = {
     "repeated_lines": (repeated_lines, "WITH " + LINES + "SELECT unit, bare, n_pages FROM rep"),
     "clean_pages": (clean_pages, CLEAN_SQL),
@@ -192,5 +246,5 @@ QUERIES = {
     "sanitize_notation": (sanitize_notation, NOTATION_SQL),
     "sanitize_markup": (sanitize_markup, MARKUP_SQL),
     "sanitize_documents": (sanitize_documents, DOCUMENTS_SQL),
-    "term_substitution": (term_substitution, None),
+    "term_substitution": (term_substitution, TERMS_SQL),
 }

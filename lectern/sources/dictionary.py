@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """(term, spoken) of lines "term: spoken"; comments and lines without both parts are skipped."""
     try:
-        lines = spark.read.text(path)
+        return terms_of(spark.read.text(path))
     except AnalysisException:  # no such file: no terms
         return spark.createDataFrame([], "term string, spoken string")
+
+
+def terms_of(lines: DataFrame) -> DataFrame:
+    """(term, spoken) of a table of lines (value); of a term given twice one spelling stays, the last in order of characters."""
     parts = lines.where(~F.col("value").rlike(r"^\s*#")).select(F.regexp_extract("value", r"^\s*[\"']?([^:\"']+?)[\"']?\s*:", 1).alias("term"), F.regexp_extract("value", r":\s*[\"']?(.+?)[\"']?\s*$", 1).alias("spoken"))
-    return parts.where("term <> '' AND spoken <> ''").dropDuplicates(["term"])
+    return parts.where("term <> '' AND spoken <> ''").groupBy("term").agg(F.max("spoken").alias("spoken"))
 
 
 def as_map(terms: DataFrame, most: int = 1000) -> dict[str, str]:

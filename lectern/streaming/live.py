@@ -13,8 +13,12 @@ from lectern.operators.state import latest
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, or one of our own where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lectern-")
+    """A new folder in spark.checkpoint.dir, or one of our own where a local session has none; on a cluster without it this raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-lectern-")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -26,15 +26,44 @@ def test_notation(spark):
     ]
 
 
+def test_single_passes(spark):
+    cases = {
+        N.currency: [("U$ 5 S$ 7", "U5 dólares S7 dólares"), ("CUSTOS$ 5", "CUSTOS5 dólares"), ("R$ 1.200,00. US$3 € 4 £ 2,5", "1.200,00 reais. 3 dólares 4 euros 2,5 libras"), ("$ x", "$ x")],
+        N.abbreviations: [("vol.ed. 2", "volumeedição 2"), ("Srta. e sr. Prof.", "senhorita e senhor professor"), ("recap. xpp.", "recap. xpp.")],
+        N.list_numbers: [("1. um\n- ", "1. um\n- "), ("1. um\n- dois", "um\n- dois"), ("12) a\n13) b\nc", "a\nb\nc")],
+        N.dates: [("1/02/99, 31/12/2020 e 9/13/2000", "1 de fevereiro de 99, 31 de dezembro de 2020 e 9/13/2000"), ("1/2/3", "1/2/3")],
+        N.symbols: [("a≠b & 5%§", "adiferente deb e 5por centoparágrafo")],
+    }
+    for f, pairs in cases.items():
+        assert said(spark, f, *[a for a, _ in pairs], None, "") == [*[b for _, b in pairs], None, ""]
+
+
 def test_terms(spark):
-    assert said(spark, lambda c: N.substitute_terms(c, {"GPU": "gê pê u", "GPU card": "placa"}), "a gpu card, GPUs gpu") == ["a placa, GPUs gê pê u"]
+    assert said(spark, lambda c: N.substitute_terms(c, {"GPU": "gê pê u", "GPU card": "placa GPU"}), "a gpu card, GPUs gpu") == ["a placa GPU, GPUs gê pê u"]  # what is put in isn't read again
     assert said(spark, lambda c: N.substitute_terms(c, {}), "x") == ["x"]
+    assert said(spark, lambda c: N.substitute_terms(c, {"a.b$": r"\1 $0"}), "xa.b$ a.b$ axb$", None) == [r"xa.b$ \1 $0 axb$", None]
 
 
 def test_cleaning(spark):
-    pages = spark.createDataFrame([(1, 1, "MY BOOK\ndemon-\nstration of\nlines.\nNext"), (1, 2, "MY BOOK\nA-\nB\n\nend"), (2, 1, "MY BOOK"), (2, 2, " \n ")], "unit int, page int, text string")
-    got = {(r.unit, r.page): r.text for r in T.clean_pages(pages).collect()}
-    assert got == {(1, 1): "demonstration of lines.\nNext", (1, 2): "A- B\n\nend", (2, 1): "MY BOOK", (2, 2): ""}
+    rows = [(1, 1, "MY BOOK\ndemon-\nstration of\nlines.\nNext"), (1, 2, "MY BOOK\nA-\nB\n\nend"), (2, 1, "MY BOOK"), (2, 2, " \n "), (3, 2, "tração e mais"), (3, 1, "Fim.\n demons- "), (3, 3, None), (3, 4, "a linha\n\n"), (4, 1, "")]
+    pages = spark.createDataFrame(rows, "unit int, page int, text string")
+    got = {r.unit: r.text for r in T.clean_pages(pages).collect()}
+    assert got == {1: "demonstration of lines.\nNext A- B\n\nend", 2: "MY BOOK", 3: "Fim.\ndemonstração e mais\n\na linha", 4: ""}
+
+
+def test_chapter_texts(spark):
+    pages = spark.createDataFrame([("d", 1, "H\num-"), ("d", 2, "H\ndois."), ("d", 3, "H\nfim")], "doc string, page_number int, text string")
+    found = spark.createDataFrame([("d", 1, "A", 1, 2), ("d", 2, "B", 3, 3)], "doc string, chapter int, title string, start_page int, end_page int")
+    assert sorted((r.chapter, r.title, r.text) for r in L.chapter_texts(pages, found).collect()) == [(1, "A", "umdois."), (2, "B", "H fim")]
+
+
+def test_layout(spark):
+    span = lambda page, block, line, at, text, size, y0=400.0, height=800.0: ("d", page, block, line, at, text, size, y0, height)
+    rows = [span(1, 0, 0, 0, "CAP 1", 9.3, 20.0), span(1, 1, 0, 1, "Título", 20.0), span(1, 2, 0, 2, " " * 50, 30.0), span(1, 2, 0, 3, "corpo do te-", 10.0), span(1, 2, 1, 4, "xto", 10.0), span(1, 3, 0, 5, "nota", 8.0), span(1, 4, 0, 6, "  ", 10.0), span(2, 0, 0, 7, "sem altura", 10.0, 20.0, 0.0)]
+    spans = spark.createDataFrame(rows, "doc string, page int, block int, line int, position int, text string, size double, y0 double, page_height double")
+    assert L.body_sizes(spans).first().body == 10.0
+    assert [r.role for r in L.layout_blocks(spans).orderBy("page", "block").collect()] == ["header", "heading", "body", "small", "empty", "body"]
+    assert {r.page: r.text for r in L.narratable_pages(L.layout_blocks(spans)).collect()} == {1: "Título\n\ncorpo do te-\nxto", 2: "sem altura"}
 
 
 def test_sentences_and_chunks(spark):
@@ -60,9 +89,20 @@ def test_request_split(spark):
 
 
 def test_gates(spark):
-    rows = spark.createDataFrame([("um texto", "um texto!"), ("um texto", "um"), ("um texto", "Aqui está: um texto"), ("um texto", " "), ("um texto", "um textos")], "o string, c string")
-    got = rows.select(R.size_verdict(F.col("o"), F.col("c")).alias("s"), R.word_verdict(F.col("o"), F.col("c")).alias("w")).collect()
-    assert [tuple(r) for r in got] == [("accepted", "accepted"), ("size", "words"), ("preamble", "preamble"), ("blank", "blank"), ("accepted", "words")]
+    rows = spark.createDataFrame([("um texto", "um texto!"), ("um texto", "um"), ("um texto", "Aqui está: um texto"), ("um texto", " "), ("um texto", "um textos"), ("", "x"), (None, "x"), ("um texto", None)], "o string, c string")
+    size, word = R.size_verdict(F.col("o"), F.col("c")), R.word_verdict(F.col("o"), F.col("c"))
+    got = rows.select(size.alias("s"), word.alias("w"), R.rewritten(F.col("o"), F.col("c"), size).alias("r")).collect()
+    assert [tuple(r)[:2] for r in got] == [("accepted", "accepted"), ("size", "words"), ("preamble", "preamble"), ("blank", "blank"), ("accepted", "words"), ("original", "original"), ("original", "original"), ("blank", "blank")]
+    assert [r.r for r in got] == ["um texto!", "um texto", "um texto", "um texto", "um textos", "", None, "um texto"]
+
+
+def test_estimates(spark):
+    rows = spark.createDataFrame([("50%", True), ("50%", False), (None, True)], "t string, k boolean")
+    rate = R.chain_rate(F.lit(0.5), F.lit(None).cast("double"), F.lit(0.25))
+    assert [r[0] for r in rows.select(R.cost_estimate(F.col("t"), F.lit(1.0), rate, F.col("k"))).collect()] == [11 * 1.75, 11.0, 0.0]
+    runs = spark.createDataFrame([("a", 1, 2.0, 8.0), ("a", 1, 4.0, 10.0), ("a", 2, 3.0, 3.0), ("b", 1, 0.0, 1.0)], "k string, repetition int, seconds double, audio_seconds double")
+    assert {tuple(r) for r in R.timing_summary(runs, ["k"]).collect()} == {("a", 2, 4.5, 3.0, 2.0), ("b", 1, 0.0, 0.0, None)}
+    assert [tuple(r[0]) for r in spark.createDataFrame([("Um. Dois? Três.\n\nQuatro!",)], "t string").select(R.routing_cost(F.col("t"), 11)).collect()] == [(20, 16, 12)]
 
 
 def test_cost_gate(spark):
@@ -71,10 +111,10 @@ def test_cost_gate(spark):
 
 
 def test_chapters_tile(spark):
-    toc = spark.createDataFrame([("a", 1, 1, "Capa", 1), ("a", 2, 2, "1", 3), ("a", 3, 2, "Origem", 3), ("a", 4, 2, "Fim", 20), ("a", 5, 2, "Meio", 11)], "doc string, entry_no int, level int, title string, page int")
+    toc = spark.createDataFrame([("a", 1, 1, "Capa", 1), ("a", 2, 2, "1", 3), ("a", 3, 2, "Origem", 3), ("a", 4, 2, "Fim", 20), ("a", 5, 2, "7", 11), ("a", 6, 3, "O que são Design e Arquitetura?", 11)], "doc string, entry_no int, level int, title string, page int")
     totals = spark.createDataFrame([("a", 30), ("b", 25), ("c", 0)], "doc string, total int")
     got = [(r.doc, r.chapter, r.title, r.start_page, r.end_page) for r in L.chapters(toc, totals).orderBy("doc", "chapter").collect()]
-    assert got[:2] == [("a", 1, "Origem", 1, 10), ("a", 2, "Meio", 11, 19)]
+    assert got[:2] == [("a", 1, "Origem", 1, 10), ("a", 2, "O que são Design e Arquitetura?", 11, 19)]
     assert [x[2:] for x in got if x[0] == "b"] == [("Parte 1", 1, 10), ("Parte 2", 11, 20), ("Parte 3", 21, 25)]
     for doc, total in (("a", 30), ("b", 25)):
         pages = [p for x in got if x[0] == doc for p in range(x[3], x[4] + 1)]
@@ -96,6 +136,26 @@ def test_state(spark):
         assert S.liveness(beats, F.lit(end)).first().alive is alive
 
 
+    assert [r.alive for r in S.liveness(beats).collect()] == [True]
+    books = spark.createDataFrame([(1, "pending_confirmation", False), (2, "ready", False), (3, "pending_confirmation", False)], "book int, status string, cost_confirmed boolean")
+    after, queue = S.confirmed(books, jobs.withColumn("book", F.lit(9)), books.where("book < 3"))
+    assert sorted(map(tuple, after.collect())) == [(1, "uploaded", True), (2, "ready", False), (3, "pending_confirmation", False)]
+    assert [(r.book, r.stage, r.status, r.seq) for r in queue.where("job IS NULL").collect()] == [(1, "process", "queued", 4)]
+    new = spark.createDataFrame([(1, 1, 5), (1, 1, 4), (2, 1, 6), (3, 1, 7)], "book int, sequence int, order int")
+    kept, refused = S.appended(spark.createDataFrame([(3, 1)], "book int, sequence int"), new, ["book", "sequence"])
+    assert sorted(r.order for r in kept.collect()) == [4, 6] and sorted(r.order for r in refused.collect()) == [5, 7]
+
+
+def test_order(spark):
+    from lectern.operators.order import with_sum_before
+
+    rows = [(k, o, o % 5) for k in "ab" for o in (*range(-20, 60, 3), 1000)]
+    got = with_sum_before(spark.createDataFrame(rows, "k string, o int, n int"), "k", "o", F.col("n"), "before", 16).collect()
+    assert all(r.before == sum(n for k, o, n in rows if k == r.k and o < r.o) for r in got) and len(got) == len(rows)
+    parts = spark.createDataFrame([("x", 2, [1.0]), ("x", 1, [0.5, 0.5])], "k string, o int, s array<double>")
+    assert sorted((r.o, r.start, r.seconds) for r in R.joined_signal(parts, "k", "o", "s", 2).collect()) == [(1, 0, 0.0), (2, 2, 1.0)]
+
+
 def test_schema_evolution(spark):
     import pytest
 
@@ -114,6 +174,9 @@ def test_budget_split(spark):
     for i, t in enumerate(texts):
         assert "".join(got[i]).replace(" ", "") == t.replace(" ", "") and all(len(p) <= 20 or " " not in p for p in got[i])
     assert got[0] == ["um, dois, três;", "quatro cinco seis", "sete oito nove dez"]  # cut at the blank nearest the middle
+    same = spark.createDataFrame([("x", "um dois três quatro cinco", "e")] * 2 + [("x", "um dois três quatro cinco", "a"), ("y", None, None)], "doc string, text string, code string")
+    rows = T.split_budget(same, 4, measure=lambda t: len(t.split()), code=F.col("code")).orderBy("code", "piece_no").collect()
+    assert [(r.piece_no, r.piece) for r in rows] == [(0, "um dois três quatro cinco"), *[(0, "um dois três")] * 2, *[(1, "quatro cinco")] * 2]
 
 
 def test_dictionary_source(spark, tmp_path):
