@@ -29,7 +29,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "edges")
         first = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(first, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = written(small.unionAll(first.select("u", "m")).distinct(), "edges")

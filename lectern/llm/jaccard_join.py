@@ -123,32 +123,48 @@ class _Sets:
         self.kinds, self.texts, self.width = kinds, texts, width
 
     def lists(self, wanted: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-        """wanted (sid, rep, s1, n and more) with a list of shingles of each set; only texts of a wanted rep are hashed."""
-        keys = broadcast_if_small(wanted)
+        """wanted (sid, rep, s1, n and more) with a list of shingles of each set, once for each row of its rep; only their texts are hashed."""
+        keys = broadcast_if_small(wanted, 500_000)
         texts = self.texts.join(broadcast_if_small(wanted.select(F.col("rep").alias("__id"))), "__id", "left_semi")
         found = texts.mapInArrow(_listed(self.width, chosen, name), f"__id long, s1 long, n long, {name} array<long>")
-        return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"]).dropDuplicates(["sid"])
+        return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"])
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, shared) for distinct pairs of sids, by exact intersection; only sets of some pair are shuffled."""
         pairs = written(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
         wanted = written(self.kinds.join(ids, "sid").select("sid", "rep", "s1", "n"), "wanted")
-        sets = written(self.lists(wanted, lambda s: s, "shingles").select("sid", "n", "shingles"), "sets")
-        both = _with_sets(_with_sets(pairs, sets, "b"), sets, "a")
+        sets = self.lists(wanted, lambda s: s, "shingles").dropDuplicates(["sid"]).select("sid", "n", "shingles")
+        both = _with_sets(pairs, sets)
         return both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, most: int = 200) -> DataFrame:
-    """pairs with the set and size of one side. A set of very many pairs is copied, so that each task has at most so many of its pairs."""
-    own = sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"of_{side}"))
-    hot = pairs.groupBy(F.col(side).alias("__hot")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1")
+def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
+    """Written pairs (a, b) with both sets (of_a, of_b) and their sizes (na, nb).
+
+    Pairs of a set that has very many are joined with copies of it, so that no task has more than so many of its pairs.
+    """
+
+    def joined(some: DataFrame, of: dict[str, DataFrame], salted: bool) -> DataFrame:
+        for side in ("b", "a"):
+            own = of[side].select(F.col("sid").alias(side), *([f"salt_{side}"] if salted else []), F.col("n").alias(f"n{side}"), F.col("shingles").alias(f"of_{side}"))
+            some = some.join(own, [side, f"salt_{side}"] if salted else side)
+        return some.select("a", "b", "na", "nb", "of_a", "of_b")
+
+    per = [pairs.groupBy(F.col(side).alias("sid")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).withColumn("side", F.lit(side)) for side in ("a", "b")]
+    hot = written(per[0].unionAll(per[1]).where("copies > 1"), "hot")
     if hot.isEmpty():
-        return pairs.join(own, side)
-    hot = broadcast_if_small(written(hot, "hot"))
-    salted = pairs.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), "copies")).cast("int")).drop("__hot", "copies")
-    copied = own.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("__hot", "copies")
-    return salted.join(copied, [side, "__salt"]).drop("__salt")
+        return joined(pairs, {"a": sets, "b": sets}, False)
+    of = {side: hot.where(F.col("side") == side).select(F.col("sid").alias("__hot"), F.col("copies").alias(f"copies_{side}")) for side in ("a", "b")}
+    tagged = pairs
+    for side in ("a", "b"):
+        tagged = tagged.join(broadcast_if_small(of[side]), F.col(side) == F.col("__hot"), "left").drop("__hot")
+    calm = F.col("copies_a").isNull() & F.col("copies_b").isNull()
+    salt = lambda other, copies: F.pmod(F.xxhash64(other), F.coalesce(copies, F.lit(1))).cast("int")
+    many = written(tagged.where(~calm).select("a", "b", salt("b", "copies_a").alias("salt_a"), salt("a", "copies_b").alias("salt_b")), "hot-pairs")
+    ids = broadcast_if_small(written(many.select(F.col("a").alias("sid")).unionAll(many.select("b")).distinct(), "hot-ids"))
+    copied = {side: sets.join(ids, "sid", "left_semi").join(broadcast_if_small(of[side]), F.col("sid") == F.col("__hot"), "left").withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"copies_{side}", F.lit(1)) - 1))) for side in ("a", "b")}
+    return joined(tagged.where(calm).select("a", "b"), {"a": sets, "b": sets}, False).unionAll(joined(many, copied, True))
 
 
 def _similar(shared: Column, na: Column, nb: Column) -> Column:
@@ -163,7 +179,7 @@ def _hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """
     wanted = written(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct(), "wanted")
     own = prefixes.join(broadcast_if_small(wanted), "sid", "left_semi").select("sid", "n", F.col("prefix").alias("shingles"))
-    both = _with_sets(_with_sets(pairs, own, "b"), own, "a").withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
+    both = _with_sets(pairs, own).withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
     last = F.element_at("common", -1)
     behind = lambda side: F.col(f"n{side}") - F.array_position(f"of_{side}", last)
     suffix = F.greatest(F.col("na") - F.size("of_a"), F.col("nb") - F.size("of_b"))
@@ -193,12 +209,12 @@ def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataF
     def by_cluster(rows: DataFrame, side: str) -> DataFrame:
         """A list's entries: sets that are alone, and one for each cluster with the range of its members' sizes and of what can follow."""
         keys = ["shingle", "c", "h", "cluster", "group"]
-        alone = rows.where("size = 1").select(*keys, F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("room"))
+        alone = rows.where("size = 1").select(*keys, F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).cast("long").alias("room"))
         many = rows.where("size > 1").groupBy(*keys).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
         return alone.unionAll(many).select("shingle", "c", "h", F.col("cluster").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("group", "lo", "hi", "room")])
 
     met = by_cluster(probes, "a").join(by_cluster(index, "b"), ["shingle", "c", "h"])
-    met = met.where("group_a <> group_b AND hi_a >= lo_b AND 4 * hi_b >= 3 * lo_a AND 7 * least(room_a, room_b) >= 3 * (lo_a + lo_b)")
+    met = met.where("group_a <> group_b AND (hi_a > lo_b OR hi_a = lo_b AND a > b) AND 4 * hi_b >= 3 * lo_a AND 7 * least(room_a, room_b) >= 3 * (lo_a + lo_b)")
     met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     many = members.where("size > 1").groupBy("cluster").agg(F.min("n").alias("lo"), F.max("add").alias("add"))
     many = broadcast_if_small(written(many, "clusters"))
@@ -252,11 +268,12 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     sketches = written(texts.mapInArrow(_sketches(width), "__id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
 
-    # Equal sets: one stands for all. Sets have numbers of their own, given once and kept in the written table.
-    kinds = sketches.where("n > 0 AND __id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.any_value("bands").alias("bands"))
-    kinds = written(kinds.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "n", "rep", "bands"), "kinds")
-    sets = _Sets(kinds.drop("bands"), texts.where(F.col("__id").isNotNull()), width)
-    numbered = sketches.select("__id", "n", "s1", "s2").join(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("kn"), F.when(F.lit(True), F.col("sid")).alias("sid")), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("__id").isNotNull(), "left")
+    # Equal sets: one stands for all. Sets have numbers of their own in order of their least ids (copies tend to be closer to an earlier
+    # text than to each other, so earlier ones make better heads), given once and kept in the written table.
+    kinds = sketches.where("n > 0 AND __id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
+    kinds = written(kinds.orderBy("rep", "s1").select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "n", "rep", "bands", "copies"), "kinds")
+    sets = _Sets(kinds.drop("bands", "copies"), texts.where(F.col("__id").isNotNull()), width)
+    numbered = sketches.select("__id", "n", "s1", "s2").join(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("kn"), F.col("sid")), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("__id").isNotNull(), "left")
     rows = written(numbered.select("__id", "n", "sid"), "rows")
 
     # Similar sets: each with the first set of its bands.
@@ -267,7 +284,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     stars = written(stars, "stars")
     groups = written(components(stars.select("a", "b")), "groups")
     members = _clusters(kinds, stars).join(groups, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "add", "rem", "size", F.coalesce("component", "sid").alias("group"))
-    members = written(members.join(kinds.select("sid", "rep", "s1", "n"), "sid"), "members")
+    members = written(members.join(kinds.select("sid", "rep", "s1", "n", "copies"), "sid"), "members")
 
     # Links between groups.
     total = kinds.agg(F.sum("n")).first()[0] or 0
@@ -276,8 +293,9 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     counts = np.zeros(1 << bits)
     counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
     level = np.minimum(65535, np.log2(counts + 1) * 32).astype(np.uint16)
-    prefixes = sets.lists(members.select("sid", "rep", "s1", "n", "group", "cluster", "size"), _prefix(level, bits), "prefix")
-    prefixes = written(prefixes.select("sid", "n", "group", "cluster", "size", "prefix"), "prefixes")
+    listed = sets.lists(members.select("sid", "rep", "s1", "n", "group", "cluster", "size", "copies"), _prefix(level, bits), "prefix")
+    listed = written(listed.select("sid", "n", "group", "cluster", "size", "prefix", "copies"), "prefixes")
+    prefixes = listed.where("copies = 1").unionAll(listed.where("copies > 1").dropDuplicates(["sid"])).drop("copies")  # a set of one row is there once
     bridges = prefixes.select("group", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("shingle")
     entries = prefixes.select("sid", "n", "group", "cluster", "size", F.posexplode("prefix").alias("pos", "shingle")).join(broadcast_if_small(written(bridges, "bridges")), "shingle")
     linked = written(_across(sets, written(entries, "entries"), prefixes, members), "links")

@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of up to four longs or so (32 bytes each, about 130 MB as a hash table) up to which a written table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two longs (67 MB were measured as a hash table) up to which a written table is broadcast; wider ones take a smaller bound.
+BROADCAST_ROWS = 2_000_000
 
 
 def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
