@@ -232,12 +232,13 @@ def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataF
     undecided = ranges.join(checked, ["a", "b"]).where(~_similar(F.col("shared"), F.col("na"), F.col("nb")) & _similar(most, lowest("a"), lowest("b")))
     undecided = written(undecided.select("a", "b", "shared"), "undecided")
     ids = written(undecided.select(F.col("a").alias("cluster")).unionAll(undecided.select("b")).distinct(), "wanted")
-    inside = entries.join(broadcast_if_small(ids), "cluster", "left_semi").join(members.select("sid", "add", "rem"), "sid")
-    side = lambda x: inside.select(F.col("cluster").alias(x), "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "add", "rem")])
-    pairs = undecided.join(side("a"), "a").join(side("b"), ["b", "shingle"]).where(_similar(F.col("shared") + F.col("add_a") + F.col("add_b"), F.col("n_a"), F.col("n_b")))
+    inside = members.join(broadcast_if_small(ids), "cluster", "left_semi")
+    side = lambda x: inside.select(F.col("cluster").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "add", "rem")])
+    alike = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    pairs = undecided.join(side("a"), "a").join(side("b"), "b").where(alike & _similar(F.col("shared") + F.col("add_a") + F.col("add_b"), F.col("n_a"), F.col("n_b")))
     sure = _similar(F.col("shared") - F.col("rem_a") - F.col("rem_b"), F.col("n_a"), F.col("n_b"))
-    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), sure.alias("sure")).distinct(), "member-pairs")
-    rest = sets.overlaps(pairs.where("NOT sure").select("a", "b")).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), sure.alias("sure")), "member-pairs")
+    rest = sets.overlaps(_hopeful(pairs.where("NOT sure").select("a", "b"), prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
     return linked.unionAll(pairs.where("sure").select("a", "b")).unionAll(rest.select("a", "b"))
 
 
