@@ -20,12 +20,18 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def cut(c: Column, pattern: str) -> Column:
+    """split(c, pattern, -1). Splitting compiles its pattern for every row, replacing does not; so texts are cut at what a match is replaced by."""
+    nul = "\x00"
+    return let(c, lambda t: F.when(F.contains(t, F.lit(nul)), F.split(t, pattern, -1)).otherwise(F.split(F.regexp_replace(t, pattern, nul), nul, -1)))
+
+
 def replaced(c: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
     """c with each match of the pattern put through said (null leaves it): one pass, so what is put in isn't read again."""
 
     def put(t: Column) -> Column:
         words = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(said(m), m))
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
+        return F.array_join(F.zip_with(cut(t, pattern), words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
 
     return let(c, lambda t: F.when(t.rlike(pattern), put(t)).otherwise(t))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import let, strip
+from lectern.functions.notation import cut, let, strip
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
 
@@ -86,12 +86,12 @@ BOUNDARY = rf"(?iuU)(?<=[.!?])(?<!(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTE
 def paragraph_texts(text: Column) -> Column:
     """array<string>: text between blank lines, with white space inside collapsed; blank ones are skipped."""
     flat = lambda p: F.regexp_replace(strip(p), r"(?U)[\s\x1c-\x1f]+", " ")
-    return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n", -1), flat), lambda p: p != "")
+    return F.filter(F.transform(cut(text, r"(?U)\n\s*\n"), flat), lambda p: p != "")
 
 
 def sentence_texts(text: Column) -> Column:
     """array<array<string>>: the sentences of each paragraph."""
-    return F.transform(paragraph_texts(text), lambda p: F.split(p, BOUNDARY, -1))
+    return F.transform(paragraph_texts(text), lambda p: cut(p, BOUNDARY))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -220,11 +220,11 @@ def split_budget(rows: DataFrame, limit: int, text_col: str = "text", measure: C
     whole. A null text has no piece; repeated rows are cut each. Cutting recurs, so it is an Arrow UDF over single texts.
     """
 
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def halve(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda t: None if t is None else _budget(t, limit, measure))
 
-    pieces = F.pandas_udf(cut, "array<string>")(F.col(text_col))
+    pieces = F.pandas_udf(halve, "array<string>")(F.col(text_col))
     if code is not None:
         pieces = F.when(F.coalesce(code.isin(*EXEMPT), F.lit(False)), F.array(F.col(text_col))).otherwise(pieces)
     return rows.withColumn("__pieces", pieces).select(*rows.columns, F.posexplode("__pieces").alias("piece_no", "piece"))
