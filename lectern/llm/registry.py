@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces, pii, quality_classifier, quality_rules, toxicity, warc
+from lectern.llm import decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, line_dedup, pieces, pii, pipeline, quality_classifier, quality_rules, spelling, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,7 +17,10 @@ def queries() -> dict:
         "op8_pii": pii.query,
         "op9_quality_rules": quality_rules.query,
         "op10_toxicity": toxicity.query,
-        "pipeline": corpus_pipeline.run,
+        "op11_spelling_variants": spelling.query,
+        "op12_exact_dedup": exact_dedup.query,
+        "op13_filter_audit": filter_audit.query,
+        "pipeline": pipeline.run,
     }
 
 
@@ -27,4 +29,7 @@ def oracle_sql() -> dict:
         "op1_warc": warc.SQL,
         "op2_benchmark_decontamination": decontaminate.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op11_spelling_variants": spelling.SQL,
+        "op12_exact_dedup": exact_dedup.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lectern.llm import decontaminate, language_id, registry, warc
 from lectern.llm import features as X
+from lectern.llm import pipeline as corpus_pipeline
 
 DATA = "/root/testdata/sf0.1"
 given = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

@@ -4,8 +4,8 @@ import os
 
 import pytest
 
-import corpus_pipeline
 from lectern.llm import decontaminate, pieces, registry
+from lectern.llm import pipeline as corpus_pipeline
 
 from .test_operators import brute_components, brute_lines, brute_stats
 
