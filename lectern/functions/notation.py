@@ -26,14 +26,19 @@ def cut(c: Column, pattern: str) -> Column:
     return let(c, lambda t: F.when(F.contains(t, F.lit(nul)), F.split(t, pattern, -1)).otherwise(F.split(F.regexp_replace(t, pattern, nul), nul, -1)))
 
 
-def replaced(c: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
-    """c with each match of the pattern put through said (null leaves it): one pass, so what is put in isn't read again."""
+def _put(t: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
+    """t with each match put through said. Matches are set between NULs and cut out there; a text that holds a NUL itself is cut by split."""
+    nul = "\x00"
+    told = lambda m: F.coalesce(said(m), m)
+    parts = F.split(F.regexp_replace(t, pattern, f"{nul}$0{nul}"), nul, -1)
+    words = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), told)
+    apart = F.zip_with(F.split(t, pattern, -1), words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+    return F.array_join(F.when(F.contains(t, F.lit(nul)), apart).otherwise(F.transform(parts, lambda m, i: F.when(i % 2 == 1, told(m)).otherwise(m))), "")
 
-    def put(t: Column) -> Column:
-        words = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(said(m), m))
-        return F.array_join(F.zip_with(cut(t, pattern), words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
 
-    return let(c, lambda t: F.when(t.rlike(pattern), put(t)).otherwise(t))
+def replaced(c: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
+    """c with each match of the pattern put through said (null leaves it): one pass, so what is put in isn't read again."""
+    return let(c, lambda t: F.when(t.rlike(pattern), _put(t, pattern, said)).otherwise(t))
 
 
 def words_of(dictionary: dict[str, str]) -> Column:
@@ -45,6 +50,16 @@ def any_of(words) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+def prefixed(words) -> str:
+    """An alternation of the words, longest match first, in which common beginnings stand once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    out = "|".join(re.escape(h) + (f"(?:{prefixed(tails)})" if len(set(tails)) > 1 or "" in tails and any(tails) else prefixed(tails)) for h, tails in sorted(heads.items()))
+    return f"{out}|" if "" in words else out
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
@@ -150,12 +165,65 @@ def ranges(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(?<=\d)\s*–\s*(?=\d)", " a ")
 
 
-ORDER = (code_blocks, links, emphasis, list_numbers, line_markers, table_rows, currency, symbols, abbreviations, hours, dates, ranges)
+MARKUP = (code_blocks, links, emphasis, list_numbers, line_markers, table_rows)
+NOTATION = (currency, symbols, abbreviations, hours, dates, ranges)
+ORDER = (*MARKUP, *NOTATION)
+
+
+def in_order(c: Column, steps: tuple[Callable[[Column], Column], ...] = ORDER) -> Column:
+    """The steps one after another, each computed once: what sanitize() gives, and how texts are done whose tokens touch each other."""
+    return reduce(lambda x, f: let(x, f), steps, c)
+
+
+#: Without one of these a text has no markup.
+MARKED = r"(?mU)^[#>*+\d-]|[*`@|]|://|~~~"
+
+_SIGN, _NUMBER = rf"(?:{any_of(sign for sign, _ in D.CURRENCIES)})", r"(?:\d[\d.,]*\d|\d)"
+_SYMBOL = "".join(D.SYMBOLS)
+_RANGED = [short for short, word in D.ABBREVIATIONS.items() if word in D.RANGE_NOUNS]
+_NO_WORD = rf"(?![\w{_SYMBOL}])"  # a symbol counts as a letter, for its word will stand there
+#: Every token of NOTATION, in the text as it is before any of them is put in words. Plain letters are passed over by the two tests in front.
+TOKEN = (
+    rf"(?U)(?![a-z])(?:(?=[RU$€£]){_SIGN}\s*{_NUMBER}|(?![\x00-\x25\x27-\x7f])[{_SYMBOL}]|[%&]|(?=[\s–])(?<=\d)\s*–\s*(?=\d))"
+    rf"|(?<![a-z])(?<![\w{_SYMBOL}])(?:\d{{1,2}}(?:h(?:\d{{2}}(?!\d)|{_NO_WORD})|/\d{{1,2}}/\d{{2,4}}{_NO_WORD})"
+    rf"|(?iu:(?:{prefixed(_RANGED)})\.\s+\d+-\d+{_NO_WORD}|(?:{prefixed(D.ABBREVIATIONS)})\.|(?:{prefixed(D.RANGE_NOUNS)})\s+\d+-\d+{_NO_WORD}))"
+)
+#: Where what one token becomes could make, or unmake, another: signs behind a letter, digit or dash, dashes behind money, words that
+#: grow together with a symbol's or an abbreviation's, ranges and hours that run into hours and dates.
+TANGLED = (
+    rf"(?U)h\d{{2}}[h/]|(?![a-z])(?:(?=[RU$€£])(?:(?<=[\w/–-]){_SIGN}\s*\d|{_SIGN}\s*{_NUMBER}\s*–)|–\s+{_SIGN}\s*\d"
+    rf"|-\d+[h/]|\.(?:\d{{1,2}}[h/]|\w+\s+\d+-\d)|[%&]\w|(?![\x00-\x7f])[{_SYMBOL}]\w|§\s+\d+-\d)"
+)
+
+
+def _token_words(m: Column) -> Column:
+    """What a token of TOKEN becomes; null leaves it."""
+    short, month = words_of(D.ABBREVIATIONS), F.get(F.array(*[F.lit(x) for x in D.MONTHS]), F.split_part(m, F.lit("/"), F.lit(2)).try_cast("int") - 1)
+    symbol, said = words_of(D.SYMBOLS)[m], lambda name: short[F.lower(name)]
+    pence = F.regexp_extract(m, rf"(?U)^({_SIGN})\s*(.*)$", 2)
+    money = F.concat(pence, F.lit(" "), words_of(dict(D.CURRENCIES))[F.regexp_extract(m, f"^({_SIGN})", 1)])
+    ranged = F.replace(m, F.lit("-"), F.lit(" a "))
+    return (
+        F.when(symbol.isNotNull(), symbol)
+        .when(F.contains(m, F.lit("/")), F.concat(F.split_part(m, F.lit("/"), F.lit(1)), F.lit(" de "), month, F.lit(" de "), F.split_part(m, F.lit("/"), F.lit(3))))
+        .when(F.contains(m, F.lit("–")), F.lit(" a "))
+        .when(m.endswith("."), said(F.substring_index(m, ".", 1)))
+        .when(m.rlike(f"^{_SIGN}"), money)
+        .when(m.endswith("h"), F.concat(F.substring_index(m, "h", 1), F.lit(" horas")))
+        .when(m.rlike(r"(?U)^\d"), F.replace(m, F.lit("h"), F.lit(" e ")))
+        .when(F.contains(m, F.lit(".")), F.concat(said(F.substring_index(m, ".", 1)), F.substring_index(ranged, ".", -1)))
+        .otherwise(ranged)
+    )
+
+
+def notation(c: Column) -> Column:
+    """All of NOTATION in one scan; a text in which tokens touch each other goes through them in order."""
+    return let(c, lambda t: F.when(~t.rlike(TOKEN), t).when(t.rlike(TANGLED), in_order(t, NOTATION)).otherwise(_put(t, TOKEN, _token_words)))
 
 
 def sanitize(c: Column) -> Column:
-    """All of ORDER, each step computed once."""
-    return reduce(lambda x, f: let(x, f), ORDER, c)
+    """All of ORDER: markup, where there is any, in its steps; notation in one scan."""
+    return notation(let(c, lambda t: F.when(t.rlike(MARKED), in_order(t, MARKUP)).otherwise(t)))
 
 
 def substitute_terms(c: Column, terms: dict[str, str]) -> Column:
