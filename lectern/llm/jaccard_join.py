@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import words as W
 from lectern.llm.components import components
-from lectern.llm.store import broadcast_if_small, table, written
+from lectern.llm.store import BROADCAST_ROWS, broadcast_if_small, table, written
 
 WIDTH, BANDS, PER_BAND = 5, 6, 2
 #: Counters of shingle frequency: a power of two for so many shingles each, between these bounds; shingles that share one share its count.
@@ -123,9 +123,14 @@ class _Sets:
         self.kinds, self.texts, self.width = kinds, texts, width
 
     def lists(self, wanted: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-        """wanted (sid, rep, s1, n and more) with a list of shingles of each set, once for each row of its rep; only their texts are hashed."""
+        """wanted (sid, rep, s1, n and more) with a list of shingles of each set, once for each row of its rep.
+
+        Only the texts wanted are hashed where their ids can be broadcast; beyond that all are, so that lists are shuffled and not texts.
+        """
         keys = broadcast_if_small(wanted, 500_000)
-        texts = self.texts.join(broadcast_if_small(wanted.select(F.col("rep").alias("__id"))), "__id", "left_semi")
+        texts = self.texts
+        if wanted.count() <= BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(wanted.select(F.col("rep").alias("__id"))), "__id", "left_semi")
         found = texts.mapInArrow(_listed(self.width, chosen, name), f"__id long, s1 long, n long, {name} array<long>")
         return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"])
 
