@@ -46,22 +46,34 @@ def record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def archive(records: list[bytes], dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 3) -> bytes:
-    """An archive of the records; without a dictionary frame where they are too few to train one.
+def _samples(records: list[bytes], sample_bytes: int, piece: int = 32 << 10) -> list[bytes]:
+    """Pieces of the records for training: whole small ones, windows of large ones, evenly spread over the archive if they are more than sample_bytes."""
+    total = sum(map(len, records))
+    piece = max(8, min(piece, total // 16))  # few or short records are cut into windows, so that there are enough samples
+    cuts = [(k, s) for k, r in enumerate(records) for s in range(0, len(r), piece)]
+    step = max(1.0, total / sample_bytes)
+    return [records[k][s : s + piece] for k, s in (cuts[int(i * step)] for i in range(int(len(cuts) / step)))]
+
+
+def _trained(samples: list[bytes], size: int, level: int) -> zstandard.ZstdCompressionDict:
+    """A dictionary of the samples: trained; from the samples repeated where they are too few or too alike; their own bytes where that fails too."""
+    short = [s.ljust(8) for s in samples] * max(1, -(-64 // len(samples)), -(-(16 << 10) // sum(map(len, samples))))
+    for train in (lambda: zstandard.train_dictionary(size, samples, level=level), lambda: zstandard.train_dictionary(size, short, k=64, d=8, level=level)):
+        try:
+            return train()
+        except zstandard.ZstdError:
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
-    The dictionary is trained on every record, or, beyond sample_bytes, on evenly spaced ones; of a record the first 32 KB
-    count, which is as far as a dictionary of this size reaches.
-    """
-    step = max(1, sum(min(len(r), 32768) for r in records) // sample_bytes)
-    sample = [r[:32768] for r in records[::step]]
-    try:
-        dictionary = zstandard.train_dictionary(dictionary_bytes, sample, level=level) if len(sample) >= 8 else None
-    except zstandard.ZstdError:  # too little or too uniform content
-        dictionary = None
-    packer = zstandard.ZstdCompressor(level=level, dict_data=dictionary) if dictionary else zstandard.ZstdCompressor(level=level)
-    raw = dictionary.as_bytes() if dictionary else b""
-    head = struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw if dictionary else b""
-    return head + b"".join(packer.compress(r) for r in records)
+
+def archive(records: list[bytes], dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 3) -> bytes:
+    """An archive of the records, however few and long they are: a dictionary trained on them all, or, beyond sample_bytes, on windows spread over them."""
+    if not records:
+        return b""
+    dictionary = _trained(_samples(records, sample_bytes), dictionary_bytes, level)
+    raw = dictionary.as_bytes()
+    packer = zstandard.ZstdCompressor(level=level, dict_data=dictionary)
+    return struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw + b"".join(packer.compress(r) for r in records)
 
 
 def _pack(archive_bytes: int, level: int):
