@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,6 @@ from lectern.llm.store import table
 
 DIMS, ORDERS = 4096, (1, 2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _counts(joined: bytes, at: np.ndarray) -> np.ndarray:
@@ -92,7 +90,7 @@ def _predict(model: Model | None):
                 b = np.frombuffer(joined.lower() + b"\n", np.uint8)
                 ascii_letters = np.add.reduceat((b >= 97) & (b <= 122), at[:-1], dtype=np.int64)
                 for d in np.flatnonzero(ascii_letters == 0):
-                    if not _LETTER.search(joined[at[d] : at[d + 1] - 1].decode()):
+                    if not any(map(str.isalpha, joined[at[d] : at[d + 1] - 1].decode())):  # category L; numerals are none
                         langs[d], score[d], far[d] = UNKNOWN, 0.0, True
                 names = [n for n in batch.schema.names if n != "__text"]
                 kept = [batch.column(n).slice(i, j - i) for n in names]
@@ -104,7 +102,8 @@ def _predict(model: Model | None):
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (cosine to the nearest centroid) and rejected (farther than that centroid's radius) for each row.
 
-    A null text, or one without a letter, is "und" with score 0; so is all without a model. The nearest language is given for
+    A null text, or one without a letter (Unicode category L, so numerals such as ½ are none), is "und" with score 0; so is all without a
+    model. Texts of any length are read whole; of equally near centroids the first language in order is given; an empty table gives no rows. The nearest language is given for
     rejected texts too, so that the caller decides. Repeated rows are answered each; other columns are not read.
     """
     cut = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
