@@ -35,7 +35,7 @@ def _counts(joined: bytes, at: np.ndarray) -> np.ndarray:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, _, _, counts in X.counted(batch.column("text"), _counts):
-            raw = [c.tobytes() for c in np.minimum(counts, 65535).astype(np.uint16)]
+            raw = [c.tobytes() for c in counts.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).cast(pa.string()), batch.column("label").slice(i, j - i), pa.array(raw, pa.binary())], names=["id", "label", "counts"])
 
 
@@ -52,6 +52,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest of each row; of equal ones the first."""
+    least = np.partition(cosine, -k, axis=1)[:, -k, None]
+    above, equal = cosine > least, cosine == least
+    chosen = above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+    return np.nonzero(chosen)[1].reshape(len(cosine), k)
+
+
 class Model:
     """The latent basis, the labelled vectors and their votes: at most 2 * per_class of them, so the size is bounded."""
 
@@ -65,13 +73,13 @@ class Model:
         self.prior = float((self.weight * self.labels).sum() / self.weight.sum())
 
     def score(self, counts: np.ndarray, block: int = 128) -> np.ndarray:
-        """Share of label 1 in the similarity-weighted vote of the nearest labelled texts; the prior share without terms."""
+        """Share of label 1 in the similarity-weighted vote of the nearest labelled texts (of equal cosines those of the first ids); the prior share without terms."""
         v = _unit(X.weighted(counts, self.idf) @ self.basis)
         out = np.empty(len(v))
         k = min(self.neighbours, len(self.labels))
         for i in range(0, len(v), block):
             cosine = v[i : i + block] @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
+            near = _nearest(cosine, k)
             vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** self.power * self.weight[near]
             total = vote.sum(axis=1)
             out[i : i + block] = np.where(total > 0, (vote * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-30), self.prior)
@@ -90,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if not got:
         return None
     got.sort(key=lambda r: (r["id"], bytes(r["counts"])))
-    counts = np.stack([np.frombuffer(r["counts"], np.uint16) for r in got])
+    counts = np.stack([np.frombuffer(r["counts"], np.int64) for r in got])
     return Model(counts, np.array([r["label"] for r in got]), X.inverse_frequencies(rows, frequency), weight, rank, neighbours, power)
 
 
@@ -109,7 +117,8 @@ def score_quality(docs: DataFrame, model: Model | None, keep: list[str] | None =
     """The columns in keep (all by default), and score, for each row; a column named score is replaced.
 
     Null and empty texts have no terms and get the prior share of label 1; without a model every score is 0.5. Repeated rows
-    are scored each. The text is read again under another name only for the score.
+    are scored each; texts of any length are read whole; an empty table gives no rows. The text is read again under another name only for
+    the score.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     cut = docs.select(*keep, F.col(text_col).alias("__text"))
