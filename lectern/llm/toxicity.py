@@ -183,32 +183,55 @@ class Model:
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], odds: float = 1.0, dictionary_bytes: int = 64 << 10, level: int = 6) -> Model:
-    """Dictionaries from half of each class's texts, the curve calibrated on the other half.
+    """Dictionaries from half of each class's texts, the curve calibrated on the other half (or on the same text where a class has one).
 
     odds is how many labelled ordinary texts a given one stands for, per toxic one: its root weighs the ordinary class.
     """
     toxic, ordinary = [normalised(t) for t in toxic], [normalised(t) for t in ordinary]
-    base = trained([bytes(t[s : s + n]) for t in ordinary[::2] for s, n in windows(t).tolist()], dictionary_bytes, level, 64)
-    common, rare = distinctive(toxic[::2], ordinary[::2], dictionary_bytes)
+    learn, held_of = [t[::2] for t in (toxic, ordinary)], [t[1::2] or t for t in (toxic, ordinary)]
+    base = trained([bytes(t[s : s + n]) for t in learn[1] for s, n in windows(t).tolist()], dictionary_bytes, level, 64)
+    common, rare = distinctive(*learn, dictionary_bytes)
     distance = Distance(b"".join(reversed(rare)) or b" ", trained(common, dictionary_bytes, level, 24), base, level)
-    held = toxic[1::2] + ordinary[1::2]
-    if not toxic[1::2] or not ordinary[1::2]:
-        return Model(distance, np.zeros(len(gain_features(np.zeros((2, 1))))))
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
+    held = held_of[0] + held_of[1]
+    y = np.array([1.0] * len(held_of[0]) + [0.0] * len(held_of[1]))
     x = np.stack([gain_features(g) for k in range(0, len(held), 256) for g in distance.gains(held[k : k + 256])])
     return Model(distance, logistic(x, y, np.where(y == 1, 1.0, odds**0.5)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, class_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def spread(text: bytes, size: int, piece: int = 4096) -> bytes:
+    """The text if it has size bytes at most; else pieces of it, evenly spread from its start to its end, cut at white space, of so many bytes together."""
+    if len(text) <= size:
+        return text
+    out = []
+    for start in np.linspace(0, len(text) - piece, max(1, size // (piece + 1))).astype(int):
+        own = text[start : start + piece]
+        words = own.split()
+        whole = words[int(start > 0 and len(words) > 1) : len(words) - 1 if start + piece < len(text) and len(words) > 2 else None]
+        out.append(b" ".join(whole).decode(errors="ignore").encode())
+    return b" ".join(out)
+
+
+def _spread(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = spread(batch.column("text")[k].as_py().encode(), size).decode()
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), batch.column("label").slice(k, 1), pa.array([text], pa.string())], names=["id", "label", "text"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, class_bytes: int = 64 << 20, text_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model of a bounded sample of labelled texts; None without both classes.
 
-    Of each class at most per_class ids (see features.labelled_texts), in order of a hash of the id for as long as their texts have
-    class_bytes together; each text is taken whole.
+    Of each class at most per_class ids (see features.labelled_texts), in order of a hash of the id until their texts have
+    class_bytes together, but one at least. Of a text of more than text_bytes, pieces spread evenly over it count.
     """
     rows, weight = X.labelled_texts(docs, labels, label, per_class, id_col, text_col)
+    rows = rows.mapInArrow(_spread(text_bytes), "id string, label int, text string")
     rows = written(rows.withColumn("size", F.octet_length("text").cast("long")).withColumn("place", F.xxhash64("id")), "labelled")
     order = Window.partitionBy("label").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = rows.select("id", "label", F.sum("size").over(order).alias("total")).where(F.col("total") <= class_bytes).select("id", "label")
+    fits = rows.select("id", "label", (F.sum("size").over(order) - F.col("size")).alias("before")).where(F.col("before") < class_bytes).select("id", "label")
     got = rows.join(F.broadcast(fits), ["id", "label"]).select("id", "label", "text").collect()
     got.sort(key=lambda r: (r["id"], r["text"]))
     sides = [[r["text"].encode() for r in got if r["label"] == k] for k in (1, 0)]
@@ -222,15 +245,15 @@ def _score(model: Model | None):
                 texts = [joined[at[d] : at[d + 1] - 1] for d in range(j - i)]
                 names = [n for n in batch.schema.names if n != "__text"]
                 kept = [batch.column(n).slice(i, j - i) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(texts) if model else np.full(j - i, 0.5))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(texts) if model else np.zeros(j - i))], names=[*names, "score"])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score for each row; null and empty texts are one window without words; without a model every score is 0.5.
+    """id and score for each row; null and empty texts are one window without words; without a model every score is 0.
 
-    Repeated rows are scored each; other columns are not read.
+    Repeated rows are scored each; texts of any length are read whole; an empty table gives no rows; other columns are not read.
     """
     cut = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = cut.schema[id_col].dataType.simpleString()
