@@ -156,7 +156,7 @@ def brute_audit(rows, labels):
     for i, t, _ in rows:
         if i is not None:
             first[t or ""] = min(first.get(t or "", i), i)
-    good, toxic = ({i for i, *v in labels if v[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))
     parts = defaultdict(list)
     for i, t, part in rows:
         t = t or ""

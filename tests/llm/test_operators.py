@@ -274,7 +274,7 @@ def test_toxicity(spark, docs, empty):
     assert np.mean(model.score([t.encode() for t in rude[100:]]) >= 0.5) > 0.9 > 0.1 > np.mean(model.score([t.encode() for t in plain[250:]]) >= 0.5)
     got = toxicity.score_toxicity(docs, model).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
-    assert toxicity.score_toxicity(empty, model).count() == 0 and {r.score for r in toxicity.score_toxicity(docs, None).collect()} == {0.5}
+    assert toxicity.score_toxicity(empty, model).count() == 0 and {r.score for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
     assert toxicity.fit(empty, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")) is None
     window = toxicity.windows(toxicity.normalised(b"a b  c\nd " * 9))
     assert window[0, 0] == 0 and int(window[-1].sum()) == len(toxicity.normalised(b"a b  c\nd " * 9))
