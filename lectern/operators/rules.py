@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions.notation import sanitize, strip
+from lectern.operators import order as order_by
 from lectern.operators import text as T
-from lectern.operators.order import with_sum_before
 
 
 def _map(d: dict) -> Column:
@@ -85,9 +85,8 @@ def _map_of_lists(d: dict) -> Column:
 
 
 def carried_forward(rows: DataFrame, unit: str, order: str, code: str, start: str = "a") -> DataFrame:
-    """Undecided rows take the last decided code of their unit."""
-    window = Window.partitionBy(unit).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("carried", F.coalesce(F.last(code, ignorenulls=True).over(window), F.lit(start)))
+    """Undecided rows take the last decided code of their unit, start where there is none. A unit of any number of rows is carried through in ranges."""
+    return order_by.carried(rows, unit, order, F.col(code), "carried").withColumn("carried", F.coalesce("carried", F.lit(start)))
 
 
 def trim_edges(signal: Column, rate: int = 24000, share: float = 0.02, guard_ms: float = 15) -> Column:
@@ -110,7 +109,7 @@ def joined_signal(parts: DataFrame, key: str, order: str, signal: str, rate: int
     Only lengths are summed over a key, so a signal of any length stays a table of parts; write it in order of start.
     """
     sizes = parts.select(key, order, F.size(signal).cast("long").alias("__n"))
-    starts = with_sum_before(sizes, key, order, F.col("__n"), "start").drop("__n")
+    starts = order_by.with_sum_before(sizes, key, order, F.col("__n"), "start").drop("__n")
     return parts.join(starts, [key, order]).select(key, order, signal, "start", (F.col("start") / rate).alias("seconds"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
+from lectern.operators.order import neighbours, with_sum_before
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -143,14 +144,22 @@ def status_flags(status: Column) -> list[Column]:
 
 def navigation(chunks: DataFrame, position: Column) -> DataFrame:
     """chunks with previous and next sequence; beyond three seconds, previous restarts the same chunk; edges stay."""
-    order = Window.partitionBy("book").orderBy("sequence")
     own = F.col("sequence")
-    return chunks.withColumn("previous", F.when(position > 3, own).otherwise(F.coalesce(F.lag(own).over(order), own))).withColumn("next", F.coalesce(F.lead(own).over(order), own))
+    found = neighbours(chunks.withColumn("__position", position), "book", "sequence", own, own, ("previous", "next"))
+    return found.withColumn("previous", F.when(F.col("__position") > 3, own).otherwise(F.coalesce("previous", own))).withColumn("next", F.coalesce("next", own)).drop("__position")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunks (book, chapter, idx) with sequence: global and without gaps over a book's chapters."""
-    return chunks.withColumn("sequence", F.row_number().over(Window.partitionBy("book").orderBy("chapter", "idx")) - 1)
+    """chunks (book, chapter, idx) with sequence: global and without gaps over a book's chapters.
+
+    Chapters are counted and their counts summed; chunks are numbered in their chapter. Only numbers are shuffled for it, but where the
+    chunks come from elsewhere than one row, their texts are for the join.
+    """
+    sizes = chunks.groupBy("book", "chapter").agg(F.count("*").alias("__n"))
+    starts = with_sum_before(sizes, "book", "chapter", F.col("__n"), "__start").select(F.col("book").alias("__book"), F.col("chapter").alias("__chapter"), "__start")
+    inside = with_sum_before(chunks, ["book", "chapter"], "idx", F.lit(1), "__place")
+    found = inside.join(starts, F.col("book").eqNullSafe(F.col("__book")) & F.col("chapter").eqNullSafe(F.col("__chapter")))
+    return found.withColumn("sequence", (F.col("__start") + F.col("__place")).cast("int")).drop("__book", "__chapter", "__start", "__place")
 
 
 def known_content(new: DataFrame, known: DataFrame) -> DataFrame:

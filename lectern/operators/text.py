@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions.notation import cut, let, strip
+from lectern.operators.order import WIDTH, neighbours, with_sum_before
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
 
@@ -29,7 +30,30 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
 def drop_repeated(lines: DataFrame) -> DataFrame:
     """Lines whose stripped form does not repeat in the unit."""
     gone = repeated_lines(lines).select(F.col("unit").alias("gone_unit"), "bare")
-    return lines.join(gone, (F.col("unit") == F.col("gone_unit")) & (strip(F.col("line")) == F.col("bare")), "left_anti")
+    return lines.join(gone, F.col("unit").eqNullSafe(F.col("gone_unit")) & (strip(F.col("line")) == F.col("bare")), "left_anti")
+
+
+def clean_lines(pages: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(unit, line, piece) of (unit, page, text): the pieces of a unit, in order of line, put together are its cleaned text.
+
+    For units of any length: what a line needs from others is what the kept line ahead ends with and what the one behind begins with, which
+    are carried over ranges of width lines. No unit is gathered in one row or window; a joined line of any length stays several
+    pieces. page is a whole number, once in a unit; a null text is a blank line.
+    """
+    split = pages.select("unit", "page", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("own"))
+    starts = with_sum_before(split.select("unit", "page", F.size("own").alias("n")), "unit", "page", F.col("n"), "start", width).select(F.col("unit").alias("u"), F.col("page").alias("p"), "start")
+    lines = split.join(starts, F.col("unit").eqNullSafe(F.col("u")) & (F.col("page") == F.col("p"))).select("unit", "page", "start", F.posexplode("own").alias("no", "line"))
+    lines = drop_repeated(lines.select("unit", "page", (F.col("start") + F.col("no")).alias("at"), "line"))
+    tail = F.regexp_replace("line", r"(?U)[\s\x1c-\x1f]+\z", "")
+    kept = lines.withColumn("bare", strip(F.col("line"))).withColumn("hyphen", tail.endswith("-"))
+    ends = F.struct(F.col("hyphen").alias("hyphen"), ((F.col("bare") == "") | F.col("bare").rlike(NO_JOIN_AFTER)).alias("closed"))
+    near = neighbours(kept, "unit", "at", ends, F.struct(F.col("bare").rlike(r"^\p{javaLowerCase}").alias("lower")), ("ahead", "behind"), width)
+    joined = F.coalesce(F.col("ahead.hyphen"), F.lit(False)) & F.col("bare").rlike(r"^\p{javaLowerCase}")
+    joins = F.col("hyphen") & F.coalesce(F.col("behind.lower"), F.lit(False))
+    full = kept.where("bare <> ''").groupBy("unit").agg(F.min("at").alias("first"), F.max("at").alias("last")).withColumnRenamed("unit", "u")
+    near = near.join(full, F.col("unit").eqNullSafe(F.col("u"))).where("at BETWEEN first AND last")
+    gap = F.when(joined | (F.col("at") == F.col("first")), "").when((F.col("bare") == "") | F.col("ahead.closed"), "\n").otherwise(" ")
+    return near.select("unit", F.col("at").alias("line"), F.concat(gap, F.when(joins, F.regexp_replace("bare", "-$", "")).otherwise(F.col("bare"))).alias("piece"))
 
 
 def dehyphenated(lines: Column) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions import dictionaries as D
 from lectern.functions import notation as N
 from lectern.operators import text as T
+from lectern.operators.order import spread
 from lectern.sources import dictionary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows  # its texts are worked on row by row
 
 
 def _broken(docs: DataFrame) -> DataFrame:
@@ -64,6 +66,22 @@ SELECT broken.unit, length(coalesce(f.text, ''))::BIGINT AS n_chars, sha256(coal
 """
 
 
+def clean_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned pieces of each source, its documents being its pages: units too long for a row."""
+    rows = T.clean_lines(_broken(table(spark, sf_dir, "documents")))
+    return rows.select("unit", F.col("line").cast("long").alias("line"), F.length("piece").cast("long").alias("n_chars"), F.sha2("piece", 256).alias("sha"))
+
+
+UNITS_SQL = "WITH " + LINES + r""",
+numbered AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY page, line_no) - 1 AS pos FROM lines),
+left_over AS (SELECT * FROM numbered WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.unit = numbered.unit AND rep.bare = numbered.bare)),
+j AS (SELECT *, bare LIKE '%-' AND coalesce(regexp_matches(lead(bare) OVER w, '^\p{Ll}'), false) AS joins, lag(bare) OVER w AS ahead FROM left_over WINDOW w AS (PARTITION BY unit ORDER BY pos)),
+k AS (SELECT *, coalesce(lag(joins) OVER w, false) AS joined, min(pos) FILTER (WHERE bare <> '') OVER (PARTITION BY unit) AS first, max(pos) FILTER (WHERE bare <> '') OVER (PARTITION BY unit) AS last FROM j WINDOW w AS (PARTITION BY unit ORDER BY pos)),
+p AS (SELECT unit, pos, CASE WHEN joined OR pos = first THEN '' WHEN bare = '' OR ahead = '' OR regexp_matches(ahead, '[.!?:;"”»)]$') THEN chr(10) ELSE ' ' END || CASE WHEN joins THEN regexp_replace(bare, '-$', '') ELSE bare END AS piece FROM k WHERE pos BETWEEN first AND last)
+SELECT unit, pos::BIGINT AS line, length(piece)::BIGINT AS n_chars, sha256(piece) AS sha FROM p
+"""
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as narration text: every third one with paragraph breaks, every second with an abbreviation put in."""
     text = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\n", "\n\n")).otherwise(F.col("text"))
@@ -179,7 +197,7 @@ UNION ALL SELECT conv_id, turn, piece::BIGINT, arg_max(cur, i) FROM fold GROUP B
 
 def sanitize_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence in notation is built from each line item and sanitised; SQL builds the spoken sentence from the columns."""
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate IS NOT NULL")
+    li = spread(table(spark, sf_dir, "lineitem").where("l_shipdate IS NOT NULL"))
     day = F.date_format("l_shipdate", "dd/MM/yyyy")
     price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     text = F.concat(F.lit("Em "), day, F.lit(" o prof. leu as págs. "), "l_partkey", F.lit("-"), F.col("l_partkey") + F.col("l_linenumber"), F.lit(" às "), F.col("l_linenumber") + 8, F.lit("h30, por R$ "), price, F.lit(" & "), "l_linenumber", F.lit("% de US$ "), F.col("l_suppkey"), F.lit("."))
@@ -238,6 +256,7 @@ FROM t JOIN w USING (word)
 QUERIES = {
     "repeated_lines": (repeated_lines, "WITH " + LINES + "SELECT unit, bare, n_pages FROM rep"),
     "clean_pages": (clean_pages, CLEAN_SQL),
+    "clean_units": (clean_units, UNITS_SQL),
     "sentence_profile": (sentence_profile, "WITH " + DOCS + "SELECT doc, count(*) AS n_sentences, count(DISTINCT paragraph) AS n_paragraphs, sum(length(text))::BIGINT AS n_chars, max(length(text))::BIGINT AS longest FROM sents GROUP BY doc"),
     "sentence_chunks": (sentence_chunks, CHUNKS_SQL),
     "chunk_counts": (chunk_counts, COUNTS_SQL),
