@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import cut, let, strip
+from lectern.functions.notation import BLANK, cut, let, strip
 from lectern.operators.order import WIDTH, neighbours, with_sum_before
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
@@ -124,9 +124,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc, paragraph, sentence, text): cut within each row, so nothing is shuffled."""
-    split = docs.select("doc", F.posexplode(sentence_texts(F.col("text"))).alias("paragraph", "own"))
-    return split.select("doc", "paragraph", F.posexplode("own").alias("sentence", "text"))
+    """(doc, other columns, paragraph, sentence, text): cut within each row, so nothing is shuffled."""
+    others = [c for c in docs.columns if c not in ("text", "paragraph", "sentence")]
+    split = docs.select(*others, F.posexplode(sentence_texts(F.col("text"))).alias("paragraph", "__own"))
+    return split.select(*others, "paragraph", F.posexplode("__own").alias("sentence", "text"))
 
 
 def packed(items: Column, limit: int, block: int = 500) -> Column:
@@ -149,8 +150,15 @@ def packed(items: Column, limit: int, block: int = 500) -> Column:
 
         start = F.struct(F.lit(-1).alias("size"), F.array().cast("array<array<boolean>>").alias("all"))
         opens = F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(all_items), F.lit(block)), start, part, lambda acc: acc.all))
-        joined = F.array_join(F.transform(F.arrays_zip(all_items.alias("item"), opens.alias("opens")), lambda z: F.concat(F.when(z.opens, F.lit("\x00")).otherwise(z.item.gap), z.item.text)), "")
-        return F.when(F.size(all_items) > 0, F.filter(F.split(joined, "\x00", -1), lambda c: c != "")).when(all_items.isNotNull(), F.array().cast("array<string>"))
+        said = F.transform(F.arrays_zip(all_items.alias("item"), opens.alias("opens")), lambda z: F.when(z.opens, z.item.text).otherwise(F.concat(z.item.gap, z.item.text)))
+        starts = F.filter(F.sequence(F.lit(1), F.size(all_items)), lambda i: F.get(opens, i - 1))
+
+        def joined(texts: Column, firsts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(firsts, k + 1), F.size(texts) + 1)
+            return F.transform(firsts, lambda first, k: F.array_join(F.slice(texts, first, end(k) - first), ""))
+
+        chunks = F.filter(let(said, lambda texts: let(starts, lambda firsts: joined(texts, firsts))), lambda c: c != "")
+        return F.when(F.size(all_items) > 0, chunks).when(all_items.isNotNull(), F.array().cast("array<string>"))
 
     return let(items, put)
 
@@ -234,21 +242,60 @@ def _budget(text: str, limit: int, measure: Callable[[str], int]) -> list[str]:
     return out
 
 
+def _nearest(text: Column, marks: str) -> Column:
+    """Where, from 0, the mark nearest the middle is, the left one of two as near; null without one. The first character doesn't count."""
+    middle = F.floor(F.length(text) / 2).cast("int")
+    tail = F.substring(text, middle + 2, F.length(text))
+    left = F.nullif(F.length(F.regexp_extract(F.substring(text, F.lit(1), middle + 1), f"(?s)^(.+)[{marks}]", 1)), F.lit(0))
+    ahead = F.length(F.regexp_extract(tail, f"^[^{marks}]*", 0)) + 1
+    right = F.when(ahead <= F.length(tail), middle + ahead)
+    return F.when(right.isNull() | (middle - left <= right - middle), left).otherwise(right)
+
+
+def _cut_once(text: Column, limit: int) -> Column:
+    """array<string>: clauses packed in order where there are some; else the two sides of the punctuation nearest the middle, or of the blank nearest it."""
+    clauses = F.filter(F.transform(cut(text, rf"(?U)(?<=[,;:]){BLANK}+"), strip), lambda c: c != "")
+    items = lambda own: F.transform(own, lambda c: F.struct(c.alias("text"), F.lit(" ").alias("gap")))
+    behind = lambda marks, more: let(_nearest(text, marks), lambda at: F.when(at + more < F.length(text), at + more))
+    halves = lambda at: F.filter(F.array(strip(F.substring(text, F.lit(1), at)), strip(F.substring(text, at + 1, F.length(text)))), lambda c: c != "")
+    halved = let(F.coalesce(behind(",;:", 1), behind(r" \t", 0)), lambda at: F.when(at.isNull(), F.array(text)).otherwise(halves(at)))
+    return let(clauses, lambda own: F.when(F.size(own) > 1, packed(items(own), limit)).otherwise(halved))
+
+
+def budget_pieces(text: Column, limit: int) -> Column:
+    """array<string>: pieces of at most limit characters, or of a word that is longer; null for null.
+
+    A round cuts every piece that is too long once. The pieces of a text are a tree of cuts: a level of it is a round, and there are
+    no more rounds than words and marks; the ones after the last change cost nothing.
+    """
+    fits = lambda t: (F.length(t) <= limit) | ~t.rlike(rf"(?U){BLANK}")
+
+    def step(acc: Column, _: Column) -> Column:
+        new = F.flatten(F.transform(acc.pieces, lambda t: F.when(fits(t), F.array(t)).otherwise(_cut_once(t, limit))))
+        return F.when(acc.done, acc).otherwise(let(new, lambda n: F.struct((n == acc.pieces).alias("done"), n.alias("pieces"))))
+
+    def cut_all(t: Column) -> Column:
+        start = F.struct(F.lit(False).alias("done"), F.array(t).alias("pieces"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(cut(t, rf"(?U){BLANK}+")) + F.length(t) - F.length(F.translate(t, ",;:", "")) + 1), start, step, lambda acc: acc.pieces)
+
+    return let(strip(text), lambda t: F.when(fits(t), F.array(t)).when(t.isNotNull(), cut_all(t)))
+
+
 EXEMPT = ("a", "b")
 
 
-def split_budget(rows: DataFrame, limit: int, text_col: str = "text", measure: Callable[[str], int] = len, code: Column | None = None) -> DataFrame:
+def split_budget(rows: DataFrame, limit: int, text_col: str = "text", measure: Callable[[str], int] | None = None, code: Column | None = None) -> DataFrame:
     """rows with piece_no and piece: clauses packed while the measure of a piece is at most limit; one that is larger is halved until it fits.
 
-    The measure is any function of a text (its length by default). Rows whose language code is exempt (a, b) and texts that fit stay
-    whole. A null text has no piece; repeated rows are cut each. Cutting recurs, so it is an Arrow UDF over single texts.
+    The measure is a text's length, worked out in the row by budget_pieces, or any function of a text, for which an Arrow UDF cuts single
+    texts. Rows whose language code is exempt (a, b) and texts that fit stay whole. A null text has no piece; repeated rows are cut each.
     """
 
     def halve(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda t: None if t is None else _budget(t, limit, measure))
 
-    pieces = F.pandas_udf(halve, "array<string>")(F.col(text_col))
+    pieces = budget_pieces(F.col(text_col), limit) if measure is None else F.pandas_udf(halve, "array<string>")(F.col(text_col))
     if code is not None:
         pieces = F.when(F.coalesce(code.isin(*EXEMPT), F.lit(False)), F.array(F.col(text_col))).otherwise(pieces)
     return rows.withColumn("__pieces", pieces).select(*rows.columns, F.posexplode("__pieces").alias("piece_no", "piece"))

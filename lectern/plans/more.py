@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import rules as R
 from lectern.operators import text as T
 from lectern.plans.state import _STATUS, STATUSES
-from lectern.plans.text import _docs, table
+from lectern.plans.text import DOCS, _docs, table
 
 
 def register_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,28 @@ SELECT doc_id, sha256(CASE WHEN doc_id % 2 <> 0 THEN text WHEN trim(two) <> '' A
 
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences within 50 characters; English ones are exempt."""
-    langs = F.when(F.col("lang") == "en", "a").otherwise("e")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), langs.alias("code"), "text")
-    rows = T.sentences(rows).join(rows.select("doc", "code"), "doc")
-    return T.split_budget(rows, 50, code=F.col("code"))
+    rows = _docs(spark, sf_dir, F.when(F.col("lang") == "en", "a").otherwise("e").alias("code"))
+    return T.split_budget(T.sentences(rows).select("doc", "paragraph", "sentence", "text", "code"), 50, code=F.col("code")).withColumn("piece_no", F.col("piece_no").cast("long"))
+
+
+BUDGET_SQL = "WITH RECURSIVE " + DOCS + r""",
+s AS (SELECT doc, paragraph, sentence, s.text, CASE WHEN lang = 'en' THEN 'a' ELSE 'e' END AS code FROM sents s JOIN documents ON doc = doc_id),
+p AS (
+  SELECT *, '' AS path, text AS t, code <> 'a' AND length(text) > 50 AND contains(text, ' ') AS again FROM s
+  UNION ALL
+  SELECT doc, paragraph, sentence, text, code, path || lpad(i::VARCHAR, 4, '0'), parts[i], length(parts[i]) > 50 AND contains(parts[i], ' ') FROM (
+    SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT *, CASE WHEN len(clauses) > 1
+        THEN string_split(list_reduce(clauses, lambda a, c: a || CASE WHEN length(regexp_extract(a, '[^\x1E]*$')) + 1 + length(c) <= 50 THEN ' ' ELSE chr(30) END || c), chr(30))
+        ELSE list_filter([trim(substr(t, 1, cut_at)), trim(substr(t, cut_at + 1))], lambda c: c <> '') END AS parts
+      FROM (
+        SELECT *, CASE WHEN mark + 1 < length(t) THEN mark + 1 ELSE blank END AS cut_at FROM (
+          SELECT *, string_split(regexp_replace(t, '([,;:])\s+', '\1' || chr(30), 'g'), chr(30)) AS clauses,
+            list_min(list_transform(list_filter(range(1, length(t)), lambda k: contains(',;:', substr(t, k + 1, 1))), lambda k: abs(k - length(t) // 2) * 100000 + k)) % 100000 AS mark,
+            list_min(list_transform(list_filter(range(1, length(t)), lambda k: substr(t, k + 1, 1) = ' '), lambda k: abs(k - length(t) // 2) * 100000 + k)) % 100000 AS blank
+          FROM p WHERE again)))))
+SELECT doc, paragraph::INTEGER AS paragraph, sentence::INTEGER AS sentence, text, code, row_number() OVER (PARTITION BY doc, paragraph, sentence ORDER BY path) - 1 AS piece_no, t AS piece FROM p WHERE NOT again
+"""
 
 
 QUERIES = {
@@ -80,5 +98,5 @@ QUERIES = {
     "page_source": (page_source, PAGES_SQL),
     "status_messages": (status_messages, MESSAGES_SQL),
     "normalizer_chain": (normalizer_chain, CHAIN_SQL),
-    "budget_split": (budget_split, None),
+    "budget_split": (budget_split, BUDGET_SQL),
 }

@@ -140,7 +140,7 @@ def concat_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expressive_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.sentences(_docs(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang"), "doc")
+    rows = T.sentences(_docs(spark, sf_dir, F.col("lang")))
     asks, calls = F.contains("text", F.lit("?")), F.contains("text", F.lit("!"))
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(asks & ~calls, 1)).alias("asking"), F.count(F.when(calls & ~asks, 1)).alias("calling"))
 

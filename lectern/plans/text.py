@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
@@ -82,11 +82,11 @@ SELECT unit, pos::BIGINT AS line, length(piece)::BIGINT AS n_chars, sha256(piece
 """
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _docs(spark: SparkSession, sf_dir: str, *others: Column) -> DataFrame:
     """Documents as narration text: every third one with paragraph breaks, every second with an abbreviation put in."""
     text = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\n", "\n\n")).otherwise(F.col("text"))
     text = F.when(F.col("doc_id") % 2 == 0, F.replace(text, F.lit(". The "), F.lit(" Dr. The "))).otherwise(text)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"), *others)
 
 
 DOCS = r"""
