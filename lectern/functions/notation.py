@@ -36,6 +36,25 @@ def _put(t: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
     return F.array_join(F.when(F.contains(t, F.lit(nul)), apart).otherwise(F.transform(parts, lambda m, i: F.when(i % 2 == 1, told(m)).otherwise(m))), "")
 
 
+def folded_flags(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 500) -> Column:
+    """array<boolean>: for each item the flag of step(state, item) -> (state, flag), in order. Flags are gathered in blocks, so that work stays near linear."""
+    none = F.array().cast("array<boolean>")
+
+    def put(all_items: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            new, flag = step(acc.state, x)
+            return F.struct(new.alias("state"), F.concat(acc.flags, F.array(flag)).alias("flags"))
+
+        def part(acc: Column, first: Column) -> Column:
+            done = F.aggregate(F.slice(all_items, first, F.lit(block)), F.struct(acc.state.alias("state"), none.alias("flags")), one)
+            return let(done, lambda d: F.struct(d.state.alias("state"), F.concat(acc.all, F.array(d.flags)).alias("all")))
+
+        start = F.struct(state.alias("state"), F.array().cast("array<array<boolean>>").alias("all"))
+        return F.when(F.size(all_items) > 0, F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(all_items), F.lit(block)), start, part, lambda acc: acc.all))).otherwise(none)
+
+    return let(items, put)
+
+
 def replaced(c: Column, pattern: str, said: Callable[[Column], Column]) -> Column:
     """c with each match of the pattern put through said (null leaves it): one pass, so what is put in isn't read again."""
     return let(c, lambda t: F.when(t.rlike(pattern), _put(t, pattern, said)).otherwise(t))

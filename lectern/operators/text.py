@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import BLANK, cut, let, strip
+from lectern.functions.notation import BLANK, cut, folded_flags, let, strip
 from lectern.operators.order import WIDTH, neighbours, with_sum_before
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
@@ -130,26 +130,19 @@ def sentences(docs: DataFrame) -> DataFrame:
     return split.select(*others, "paragraph", F.posexplode("__own").alias("sentence", "text"))
 
 
-def packed(items: Column, limit: int, block: int = 500) -> Column:
+def packed(items: Column, limit: int) -> Column:
     """Greedy packing of array<struct<text, gap>>: an item joins the current chunk while length + gap + item fits; gap is its separator.
 
-    The fold runs over lengths and keeps, for each item, whether it opens a chunk, in blocks so that its work stays near
-    linear; the texts are joined once, afterwards.
+    The fold runs over lengths and tells, for each item, whether it opens a chunk; the texts are joined once, afterwards.
     """
-    none = F.array().cast("array<boolean>")
 
-    def put(all_items: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            more = acc.size + F.length(x.gap) + F.length(x.text)
-            fits = (acc.size >= 0) & (more <= limit)
-            return F.struct(F.when(fits, more).otherwise(F.length(x.text)).alias("size"), F.concat(acc.opens, F.array(~fits)).alias("opens"))
-
-        def part(acc: Column, first: Column) -> Column:
-            done = F.aggregate(F.slice(all_items, first, F.lit(block)), F.struct(acc.size.alias("size"), none.alias("opens")), step)
-            return let(done, lambda d: F.struct(d.size.alias("size"), F.concat(acc.all, F.array(d.opens)).alias("all")))
+    def step(size: Column, x: Column) -> tuple[Column, Column]:
+        more = size + F.length(x.gap) + F.length(x.text)
+        fits = (size >= 0) & (more <= limit)
+        return F.when(fits, more).otherwise(F.length(x.text)), ~fits
 
-        start = F.struct(F.lit(-1).alias("size"), F.array().cast("array<array<boolean>>").alias("all"))
-        opens = F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(all_items), F.lit(block)), start, part, lambda acc: acc.all))
+    def put(all_items: Column) -> Column:
+        opens = folded_flags(all_items, F.lit(-1), step)
         said = F.transform(F.arrays_zip(all_items.alias("item"), opens.alias("opens")), lambda z: F.when(z.opens, z.item.text).otherwise(F.concat(z.item.gap, z.item.text)))
         starts = F.filter(F.sequence(F.lit(1), F.size(all_items)), lambda i: F.get(opens, i - 1))
 

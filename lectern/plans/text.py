@@ -9,6 +9,7 @@ from lectern.functions import dictionaries as D
 from lectern.functions import notation as N
 from lectern.operators import text as T
 from lectern.operators.order import spread
+from lectern.operators.terms import substituted, tokens
 from lectern.sources import dictionary
 
 
@@ -241,9 +242,8 @@ def _term_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments of a text with the terms of a dictionary, read as lines, put in by one pass."""
-    terms = dictionary.as_map(dictionary.terms_of(_term_lines(spark, sf_dir)))
     names = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(", ("), F.upper("p_name"), F.lit(")")).alias("text"))
-    return names.select("p_partkey", N.substitute_terms(F.col("text"), terms).alias("text"))
+    return substituted(names, dictionary.terms_of(_term_lines(spark, sf_dir)))
 
 
 TERMS_SQL = """
@@ -253,6 +253,20 @@ SELECT p_partkey, CASE WHEN n % 5 <> 0 AND n % 7 <> 0 THEN upper(word) || ' $1'
 FROM t JOIN w USING (word)
 """
 
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a spelling put in for half of all their words: a dictionary that grows with the corpus, far beyond a pattern."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(tokens(F.lower("text"))).alias("term")).where(r"length(term) >= 4 AND length(term) % 2 = 0").distinct()
+    rows = substituted(docs, words.select("term", F.concat(F.lit("<"), "term", F.lit("$1>")).alias("spoken")), pattern_terms=100)
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+DICTIONARY_SQL = r"""
+WITH t AS (SELECT doc_id, i, l[i] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]') AS l FROM documents))),
+s AS (SELECT doc_id, string_agg(CASE WHEN length(w) >= 4 AND length(w) % 2 = 0 THEN '<' || lower(w) || '$1>' ELSE w END, '' ORDER BY i) AS text FROM t GROUP BY doc_id)
+SELECT doc_id, length(coalesce(s.text, ''))::BIGINT AS n_chars, sha256(coalesce(s.text, '')) AS sha FROM documents LEFT JOIN s USING (doc_id)
+"""
+
 QUERIES = {
     "repeated_lines": (repeated_lines, "WITH " + LINES + "SELECT unit, bare, n_pages FROM rep"),
     "clean_pages": (clean_pages, CLEAN_SQL),
@@ -266,4 +280,5 @@ QUERIES = {
     "sanitize_markup": (sanitize_markup, MARKUP_SQL),
     "sanitize_documents": (sanitize_documents, DOCUMENTS_SQL),
     "term_substitution": (term_substitution, TERMS_SQL),
+    "term_dictionary": (term_dictionary, DICTIONARY_SQL),
 }

@@ -21,9 +21,7 @@ def terms_of(lines: DataFrame) -> DataFrame:
     return parts.where("term <> '' AND spoken <> ''").groupBy("term").agg(F.max("spoken").alias("spoken"))
 
 
-def as_map(terms: DataFrame, most: int = 1000) -> dict[str, str]:
-    """The terms on the driver; a dictionary of more than most entries is refused."""
+def as_map(terms: DataFrame, most: int = 1000) -> dict[str, str] | None:
+    """The terms on the driver; None for a dictionary of more than most entries, which stays a table (operators.terms)."""
     rows = terms.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} terms")
-    return {r["term"]: r["spoken"] for r in rows}
+    return {r["term"]: r["spoken"] for r in rows} if len(rows) <= most else None
