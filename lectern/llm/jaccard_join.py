@@ -10,9 +10,10 @@ Set relations save the work that a plain prefix-filter join repeats for sets tha
   holds two groups. The lists are cut into blocks by set size (powers of 4/3) and by the shingle's position in the set's
   order; a set probes the blocks that can hold a partner and skips the others. Shingles are ordered by rising frequency,
   so that the prefix avoids those that many texts share. In a list a cluster is one entry, not one for each member.
-* A member's answers are derived from those of its cluster's centre. If A' differs from centre A by add(A') shingles that A lacks and
-  rem(A') that it has lost, |A' & B'| lies between |A & B| - rem(A') - rem(B') and |A & B| + add(A') + add(B'). So the overlap of two
-  centres, computed once, mostly settles all pairs of their members; only pairs that the bounds leave open are compared.
+* A member's answers are derived from those of its cluster's centre. If A' has add(A') shingles that its centre A lacks, |A' & B'| is at
+  most |A & B| + add(A') + add(B'). So the overlap of two centres, computed once, mostly settles all pairs of their members. Where it
+  doesn't, each member is compared with the other centre; one that is like it settles the pair of clusters, and else only the pairs of
+  members that these overlaps leave open are compared.
 
 Two sets with n1 >= n2 shingles and 7 * overlap >= 3 * (n1 + n2) share one of the first n1 - ceil(3 * n1 / 4) + 1 shingles of the
 larger set that lies at a position of at most (4 * n2 - 3 * n1) / 7 in the smaller one, so the join loses no link.
@@ -134,14 +135,16 @@ class _Sets:
         found = texts.mapInArrow(_listed(self.width, chosen, name), f"__id long, s1 long, n long, {name} array<long>")
         return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"])
 
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb, shared) for distinct pairs of sids, by exact intersection; only sets of some pair are shuffled."""
+    def both(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, of_a, of_b) for distinct pairs of sids: their sizes and sets; only sets of some pair are shuffled."""
         pairs = written(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
         wanted = written(self.kinds.join(ids, "sid").select("sid", "rep", "s1", "n"), "wanted")
-        sets = self.lists(wanted, lambda s: s, "shingles").dropDuplicates(["sid"]).select("sid", "n", "shingles")
-        both = _with_sets(pairs, sets)
-        return both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared"))
+        return _with_sets(pairs, self.lists(wanted, lambda s: s, "shingles").dropDuplicates(["sid"]).select("sid", "n", "shingles"))
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, shared) for distinct pairs of sids, by exact intersection."""
+        return self.both(pairs).select("a", "b", "na", "nb", _common("of_a", "of_b").alias("shared"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
@@ -172,6 +175,10 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
     return joined(tagged.where(calm).select("a", "b"), {"a": sets, "b": sets}, False).unionAll(joined(many, copied, True))
 
 
+def _common(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(a, b)).cast("long")
+
+
 def _similar(shared: Column, na: Column, nb: Column) -> Column:
     return 7 * shared >= 3 * (na + nb)
 
@@ -235,16 +242,48 @@ def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataF
     lowest = lambda side: F.coalesce(f"lo_{side}", f"n{side}")
     most = F.col("shared") + F.coalesce("add_a", F.lit(0)) + F.coalesce("add_b", F.lit(0))
     undecided = ranges.join(checked, ["a", "b"]).where(~_similar(F.col("shared"), F.col("na"), F.col("nb")) & _similar(most, lowest("a"), lowest("b")))
-    undecided = written(undecided.select("a", "b", "shared"), "undecided")
-    ids = written(undecided.select(F.col("a").alias("cluster")).unionAll(undecided.select("b")).distinct(), "wanted")
-    inside = members.join(broadcast_if_small(ids), "cluster", "left_semi")
-    side = lambda x: inside.select(F.col("cluster").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "add", "rem")])
+    undecided = written(undecided.select("a", "b", "na", "nb", "shared"), "undecided")
+    return linked.unionAll(_between_members(sets, undecided, members, prefixes)) if not undecided.isEmpty() else linked
+
+
+def _between_members(sets: _Sets, undecided: DataFrame, members: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) between the members of pairs of clusters (a, b) whose centres have shared shingles in common: one at least of each pair that has one.
+
+    Each member is compared with the other centre, not with the other members. With u = |A' & B| for a member A' of A and, of what B'
+    has and its centre lacks, w shingles in A and c in what some A' has and A lacks, |A' & B'| is u(A') + w(B') + min(c(A'), c(B')) at
+    most, and the same with A' and B' changed. Where no member is like the other centre, only pairs that this leaves open are looked at.
+    """
+    sides = undecided.select(F.col("a").alias("cluster"), F.col("b").alias("other")).unionAll(undecided.select("b", "a"))
+    clusters = broadcast_if_small(written(sides.select("cluster").distinct(), "wanted"))
+    inside = written(members.where("sid <> cluster").join(clusters, "cluster", "left_semi").select("cluster", "sid", "n"), "inside")
+    own = written(sets.both(inside.select(F.col("sid").alias("a"), F.col("cluster").alias("b"))).select(F.col("a").alias("sid"), F.array_except("of_a", "of_b").alias("more")), "additions")
+    met = written(sides.join(inside, "cluster"), "met")
+    against = sets.both(met.select(F.col("sid").alias("a"), F.col("other").alias("b"))).join(own, F.col("a") == F.col("sid"))
+    against = against.select("sid", F.col("b").alias("other"), "nb", _common("of_a", "of_b").alias("u"), _common("more", "of_b").alias("w"))
+    against = written(met.join(against, ["sid", "other"]), "against")
+    linked = against.where(_similar(F.col("u"), F.col("n"), F.col("nb"))).select(F.greatest("sid", "other").alias("a"), F.least("sid", "other").alias("b"), F.greatest("cluster", "other").alias("ca"), F.least("cluster", "other").alias("cb"))
+    linked = written(linked, "links")
+    rest = undecided.join(broadcast_if_small(written(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "decided")), ["a", "b"], "left_anti")
+    rest = written(rest, "undecided")
+    linked = linked.select("a", "b")
+    if rest.isEmpty():
+        return linked
+
+    added = met.join(own, "sid").select("cluster", "other", "sid", F.explode("more").alias("shingle"))
+    theirs = added.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"), "shingle").distinct()
+    common = added.join(theirs, ["cluster", "other", "shingle"], "left_semi").groupBy("sid", "other").agg(F.count("*").alias("c"))
+    figures = against.join(common, ["sid", "other"], "left").select("cluster", "other", "sid", "n", "u", "w", F.coalesce("c", F.lit(0)).alias("c"))
+    centres = lambda x, y: rest.select(F.col(x).alias("cluster"), F.col(y).alias("other"), F.col(x).alias("sid"), F.col(f"n{x}").alias("n"), F.col("shared").alias("u"), F.lit(0).alias("w"), F.lit(0).alias("c"))
+    figures = written(figures.unionAll(centres("a", "b")).unionAll(centres("b", "a")), "figures")
+    best = figures.groupBy(F.col("cluster").alias("other"), F.col("other").alias("cluster")).agg(F.max("w").alias("most_w"), F.min("n").alias("least_n"))
+    hopeful = figures.join(best, ["cluster", "other"]).where(_similar(F.col("u") + F.col("most_w") + F.col("c"), F.col("n"), F.col("least_n")))
+    side = lambda x, y: hopeful.select(F.col("cluster").alias(x), F.col("other").alias(y), *[F.col(k).alias(f"{k}_{x}") for k in ("sid", "n", "u", "w", "c")])
     alike = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    pairs = undecided.join(side("a"), "a").join(side("b"), "b").where(alike & _similar(F.col("shared") + F.col("add_a") + F.col("add_b"), F.col("n_a"), F.col("n_b")))
-    sure = _similar(F.col("shared") - F.col("rem_a") - F.col("rem_b"), F.col("n_a"), F.col("n_b"))
-    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), sure.alias("sure")), "member-pairs")
-    rest = sets.overlaps(_hopeful(pairs.where("NOT sure").select("a", "b"), prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
-    return linked.unionAll(pairs.where("sure").select("a", "b")).unionAll(rest.select("a", "b"))
+    bound = F.least(F.col("u_a") + F.col("w_b"), F.col("u_b") + F.col("w_a")) + F.least("c_a", "c_b")
+    pairs = rest.select("a", "b").join(side("a", "b"), ["a", "b"]).join(side("b", "a"), ["a", "b"]).where(alike & _similar(bound, F.col("n_a"), F.col("n_b")))
+    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")), "member-pairs")
+    found = sets.overlaps(_hopeful(pairs, prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    return linked.unionAll(found.select("a", "b"))
 
 
 def _size_class(n: Column) -> Column:
@@ -286,7 +325,8 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     banded = kinds.select("sid", "n", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("key"), F.col("head.sid").alias("a"), F.col("head.n").alias("na"))
     near = banded.join(written(heads, "heads"), F.col("band") == F.col("key")).where("sid <> a AND 4 * least(n, na) >= 3 * greatest(n, na)")
-    stars = sets.overlaps(near.select("a", F.col("sid").alias("b"))).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    near = near.groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("bands")).where(F.col("bands") > 1)  # one band alone is mostly chance; what it would have found is found below
+    stars = sets.overlaps(near.select("a", "b")).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
     stars = written(stars, "stars")
     groups = written(components(stars.select("a", "b")), "groups")
     members = _clusters(kinds, stars).join(groups, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "add", "rem", "size", F.coalesce("component", "sid").alias("group"))
