@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,15 +142,67 @@ def status_message(status: Column, done: Column, total: Column, estimate: Column
     )
 
 
+def guarded(transform: Callable, batch: bool = False) -> Callable[[Column], Column]:
+    """A transform for normalized() that never raises: struct<text, error>, an exception being the error of its row alone.
+
+    transform makes a str of a str, or, with batch, a pandas Series of a Series; if that raises, its rows are tried one by one, so that
+    only those that fail are left as they are. What isn't a text is an error too; a null text isn't passed to it.
+    """
+
+    def one(t: str | None, call: Callable) -> tuple[str | None, str | None]:
+        if t is None:
+            return None, None
+        try:
+            out = call(t)
+            if out is not None and not isinstance(out, str):
+                raise TypeError(f"{type(out).__name__} instead of str")
+            return out, None
+        except Exception as e:  # whatever a transform raises is its row's answer
+            return None, f"{type(e).__name__}: {e}"[:500]
+
+    def rows(part: pd.Series) -> list[tuple[str | None, str | None]]:
+        if not batch:
+            return [one(t, transform) for t in part]
+        full = part[part.notna()]
+        try:
+            got = iter([one(t, lambda x: x) for t in transform(full)] if len(full) else [])
+            return [(None, None) if t is None else next(got) for t in part]
+        except Exception:
+            return [one(t, lambda x: transform(pd.Series([x])).iloc[0]) for t in part]
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame(rows(part), columns=["text", "error"], dtype=object)
+
+    udf = F.pandas_udf(run, "text string, error string").asNondeterministic()  # a failure may pass, so calls aren't merged or repeated
+    call = lambda c: udf(c)
+    call.guarded = True
+    return call
+
+
+def _chained(rows: DataFrame, transforms: list, verdict) -> DataFrame:
+    """rows (__text) with normalized and normalize_error, the first failure of a transform; a failure leaves the text as it was."""
+    out = rows.withColumn("normalized", F.col("__text")).withColumn("normalize_error", F.lit(None).cast("string"))
+    for transform in transforms:
+        out = out.withColumn("__new", transform(F.col("normalized")))
+        if getattr(transform, "guarded", False):
+            out = out.withColumn("normalize_error", F.coalesce("normalize_error", "__new.error")).withColumn("__new", F.col("__new.text"))
+        out = out.withColumn("normalized", rewritten(F.col("normalized"), F.col("__new"), verdict(F.col("normalized"), F.col("__new")))).drop("__new")
+    return out
+
+
 def normalized(rows: DataFrame, text_col: str, transforms: list, opt_in: Column, verdict=word_verdict) -> DataFrame:
-    """rows with normalized: the transforms in order, each accepted or undone by the verdict, where the row opts in.
+    """rows with normalized and normalize_error: the transforms in order, each accepted or undone by the verdict, where the row opts in.
 
-    Each distinct text is transformed once. A transform is a Column function or a pandas UDF; null is a refusal.
+    Each distinct text is transformed once. A transform is a Column function, or a Python function made safe by guarded(): a text on which
+    it raises stays as it was, with the failure in normalize_error, and the later transforms go on from there. Failures aren't shared: rows
+    of a text that failed are tried once more, each by itself. A null result is a refusal; null and repeated texts are no failure.
     """
     chosen = rows.where(opt_in)
-    distinct = chosen.select(F.col(text_col).alias("__text")).distinct().withColumn("normalized", F.col("__text"))
-    for transform in transforms:
-        distinct = distinct.withColumn("__new", transform(F.col("normalized")))
-        distinct = distinct.withColumn("normalized", rewritten(F.col("normalized"), F.col("__new"), verdict(F.col("normalized"), F.col("__new")))).drop("__new")
+    distinct = _chained(chosen.select(F.col(text_col).alias("__text")).distinct(), transforms, verdict)
     done = chosen.join(distinct, F.col(text_col) == F.col("__text"), "left").drop("__text")
-    return done.unionByName(rows.where(~F.coalesce(opt_in, F.lit(False))).withColumn("normalized", F.col(text_col)))
+    if any(getattr(t, "guarded", False) for t in transforms):
+        again = done.where("normalize_error IS NOT NULL").drop("normalized", "normalize_error").withColumn("__text", F.col(text_col))
+        done = done.where("normalize_error IS NULL").unionByName(_chained(again, transforms, verdict).drop("__text"))
+    others = rows.where(~F.coalesce(opt_in, F.lit(False))).withColumn("normalized", F.col(text_col)).withColumn("normalize_error", F.lit(None).cast("string"))
+    return done.unionByName(others)

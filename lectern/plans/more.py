@@ -54,16 +54,23 @@ SELECT doc_id, CASE status
 
 
 def normalizer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents opt in by id; the first transform keeps the words and is accepted, the second drops one and is undone."""
-    steps = [lambda t: F.translate(t, ",", ";"), lambda t: F.regexp_replace(t, r"^\S+\s", "")]
+    """Documents opt in by id; the first transform keeps the words and is accepted, the second drops one and is undone, the third raises on every text of an odd length."""
+
+    def fragile(text: str) -> str:
+        if len(text) % 2:
+            raise ValueError("odd")
+        return text.replace(";", "!")
+
+    steps = [lambda t: F.translate(t, ",", ";"), lambda t: F.regexp_replace(t, r"^\S+\s", ""), R.guarded(fragile)]
     rows = R.normalized(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", steps, F.col("doc_id") % 2 == 0)
-    return rows.select("doc_id", F.sha2("normalized", 256).alias("sha"))
+    return rows.select("doc_id", F.sha2("normalized", 256).alias("sha"), F.col("normalize_error").isNotNull().alias("failed"))
 
 
 CHAIN_SQL = r"""
 WITH s AS (SELECT doc_id, text, trim(translate(text, ',', ';'), chr(32)||chr(9)||chr(10)||chr(13)) AS one FROM documents),
 t AS (SELECT *, regexp_replace(one, '^\S+\s', '') AS two, regexp_extract_all(lower(one), '[\p{L}\p{M}\p{N}_]+') AS w FROM s)
-SELECT doc_id, sha256(CASE WHEN doc_id % 2 <> 0 THEN text WHEN trim(two) <> '' AND regexp_extract_all(lower(two), '[\p{L}\p{M}\p{N}_]+') = w THEN two ELSE one END) AS sha FROM t
+SELECT doc_id, sha256(CASE WHEN doc_id % 2 <> 0 THEN text WHEN length(done) % 2 = 0 THEN replace(done, ';', '!') ELSE done END) AS sha, doc_id % 2 = 0 AND length(done) % 2 = 1 AS failed
+FROM (SELECT *, CASE WHEN trim(two) <> '' AND regexp_extract_all(lower(two), '[\p{L}\p{M}\p{N}_]+') = w THEN two ELSE one END AS done FROM t)
 """
 
 
