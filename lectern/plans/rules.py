@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions import notation as N
+from lectern.operators import language as V
 from lectern.operators import rules as R
 from lectern.operators import text as T
 from lectern.plans.text import CHUNKS_SQL, DOCS, _docs, sanitize_sql, table
@@ -92,17 +93,9 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     Profiles (trigram, language, weight) hold the trigrams that make up a thousandth of a language's text, so a thousand each at most.
     """
     d = table(spark, sf_dir, "documents")
-    grams = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1))  # noqa: E731  one pass, where substrings would start over each time
-    counts = d.select("lang", F.explode(grams(F.lower("text"))).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    profile = counts.join(F.broadcast(total), "lang").where("n * 1000 >= total").select("lang", "g", F.floor(F.col("n") * 100000 / F.col("total")).alias("w"))
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    long = lines.where("length(trim(text)) >= 40").select("doc_id", "line", F.explode(grams(F.lower("text"))).alias("g"))
-    scored = long.join(F.broadcast(profile), "g", "left").groupBy("doc_id", "line", "lang").agg(F.sum("w").alias("score"))
-    best = scored.groupBy("doc_id", "line").agg(F.max_by("lang", F.struct("score", "lang")).alias("lang"))
+    found = V.line_languages(d, V.profiles(d))
     code = F.when(F.col("lang").isNotNull(), F.coalesce(R.language_code(F.col("lang")), F.lit("a")))
-    short = lines.where("length(trim(text)) < 40").select("doc_id", F.lit(None).cast("string").alias("code"))
-    return best.select("doc_id", code.alias("code")).unionAll(short).groupBy("doc_id", "code").agg(F.count("*").alias("n_lines"))
+    return found.groupBy("doc_id", code.alias("code")).agg(F.count("*").alias("n_lines"))
 
 
 DETECT_SQL = """
