@@ -24,7 +24,7 @@ def counted(items: Column) -> Column:
     def runs(own: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
         size = lambda s, k: F.transform(s, lambda at, i: F.struct(F.get(own, at).alias("item"), (F.coalesce(F.get(s, i + 1), F.size(own)) - at).cast("long").alias("n")))
-        return F.when(F.size(own) > 0, let(starts, lambda s: size(s, own))).otherwise(F.array().cast("array<struct<item:string,n:bigint>>"))
+        return F.when(F.size(own) > 0, let(starts, lambda s: size(s, own))).when(own.isNotNull(), F.array().cast("array<struct<item:string,n:bigint>>"))
 
     return let(F.array_sort(items), runs)
 

@@ -64,8 +64,8 @@ def confirmed(books: DataFrame, jobs: DataFrame, chosen: DataFrame) -> tuple[Dat
 
 def appended(stored: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows to append, rows refused): a sink keeps the first row of each key, whether stored before or earlier in new (by its order column)."""
-    order = Window.partitionBy(*keys).orderBy("order")
-    ranked = new.withColumn("__at", F.row_number().over(order)).join(stored.select(*keys).distinct().withColumn("__had", F.lit(True)), keys, "left")
+    window = Window.partitionBy(*keys).orderBy("order")
+    ranked = new.withColumn("__at", F.row_number().over(window)).join(stored.select(*keys).distinct().withColumn("__had", F.lit(True)), keys, "left")
     fresh = F.col("__had").isNull() & (F.col("__at") == 1)
     return ranked.where(fresh).drop("__at", "__had"), ranked.where(~fresh).drop("__at", "__had")
 

@@ -33,7 +33,15 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.kept_updates(live.running_counts(_events(spark, sf_dir), "book"), ["book"])
 
 
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress events that come in many batches, late and repeated, upserted into a keyed table by event time."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("book"), (F.col("event_id") % 50).alias("sequence"), F.col("value").alias("position"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    kept = live.upserted(live.replayed(events, 4, "arrival").drop("arrival"), ["book"], ["ts", "event_id"])
+    return kept.read().select("book", "sequence", "position", F.unix_micros("ts").alias("at"))
+
+
 QUERIES = {
+    "stream_upserts": (stream_upserts, "SELECT user_id AS book, event_id % 50 AS sequence, value AS position, epoch_us(ts) AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "stream_progress": (stream_progress, "SELECT user_id AS book, event_id % 50 AS sequence, value AS position, epoch_us(ts) AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "stream_liveness": (stream_liveness, "SELECT user_id AS worker, (epoch_us(ts) // 120000000) * 120000000 AS start, max(epoch_us(ts)) AS last_beat, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_dedupe": (stream_dedupe, "SELECT DISTINCT user_id AS book, event_id % 50 AS sequence FROM events"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import state as S
 from lectern.plans.text import table
+from lectern.sources.stored import Added, InsertOnly, read_generations, replace_partitions
 from lectern.streaming.live import scratch
 
 
@@ -161,13 +162,32 @@ def chunk_sink_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals written to a sink that holds each (book, sequence) once: what the sink then has."""
-    stored = _stored(spark, sf_dir).select("book", F.col("sequence").cast("long").alias("sequence"))
+    before = _stored(spark, sf_dir).select("book", F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("double").alias("position"), F.lit(0).cast("long").alias("order"))
     new = _progress(spark, sf_dir).select("book", "sequence", "position", F.col("event_id").alias("order"))
-    fresh, _ = S.appended(stored, new, ["book", "sequence"])
+    sink = InsertOnly(spark, scratch(spark), before.drop("order").schema, ["book", "sequence"])
+    for rows, token in ((before, "first"), (new, "second"), (new, "second"), (new, "third")):  # a repeated token, and the same rows under another one
+        sink.append(rows, token)
+    return sink.read().groupBy("book").agg(F.count("*").alias("n_chunks"), F.round(F.sum("position"), 2).alias("total"))
+
+
+def chapter_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters in a folder for each book's part; those of some parts are written again, shorter, twice over."""
+    chapters = _chunks(spark, sf_dir).groupBy("book", "chapter").agg(F.count("*").alias("n")).withColumn("part", F.col("book") % 16)
     folder = scratch(spark)
-    stored.withColumn("position", F.lit(None).cast("double")).write.parquet(folder)
-    fresh.select("book", "sequence", "position").write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).groupBy("book").agg(F.count("*").alias("n_chunks"), F.round(F.sum("position"), 2).alias("total"))
+    replace_partitions(chapters, folder, "part")
+    for _ in range(2):
+        replace_partitions(chapters.where("part % 3 = 0 AND chapter < 2").withColumn("n", -F.col("n")), folder, "part")
+    return spark.read.parquet(folder).select("book", "chapter", "n", F.col("part").cast("long").alias("part"))
+
+
+def two_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored before and after columns were added, read together."""
+    events, folder = table(spark, sf_dir, "events").select("event_id", "event_type", "value"), scratch(spark)
+    events.where("event_id % 3 = 0").write.parquet(f"{folder}/generation=1")
+    newer = events.where("event_id % 3 <> 0").withColumn("priority", (F.col("event_id") % 5).cast("int")).withColumn("note", F.when(F.col("event_id") % 2 == 0, F.col("event_type")))
+    newer.write.parquet(f"{folder}/generation=2")
+    rows = read_generations(spark, folder, [Added("priority", "int", 2, 0, True), Added("note", "string", 2, "old"), Added("later", "double", 3, 1.5)])
+    return rows.groupBy("event_type", "priority", "note", "later").agg(F.count("*").alias("n"))
 
 
 def confirm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +262,8 @@ QUERIES = {
     "book_listing": (book_listing, "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS status, o_orderdate AS created_at FROM orders"),
     "chapter_listing": (chapter_listing, _chunks_sql("SELECT book, 'c' || chapter AS id, 'Capítulo ' || (chapter + 1) AS title, chapter AS chapter_order, min(sequence) AS start_page, max(sequence) AS end_page FROM chunks GROUP BY book, chapter")),
     "chunk_sink": (chunk_sink, _chunks_sql(", s AS (SELECT book, sequence FROM chunks WHERE length(text) % 3 = 0), f AS (SELECT user_id AS book, event_id % 50 AS sequence, arg_min(value, event_id) AS position FROM events GROUP BY 1, 2), r AS (SELECT book, sequence, NULL::DOUBLE AS position FROM s UNION ALL SELECT * FROM f ANTI JOIN s USING (book, sequence)) SELECT book, count(*) AS n_chunks, round(sum(position), 2) AS total FROM r GROUP BY book")),
+    "chapter_store": (chapter_store, _chunks_sql(", c AS (SELECT book, chapter, count(*) AS n, book % 16 AS part FROM chunks GROUP BY book, chapter) SELECT book, chapter, CASE WHEN part % 3 = 0 THEN -n ELSE n END AS n, part FROM c WHERE part % 3 <> 0 OR chapter < 2")),
+    "two_generations": (two_generations, "SELECT event_type, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 5 END::INTEGER AS priority, CASE WHEN event_id % 3 = 0 THEN 'old' WHEN event_id % 2 = 0 THEN event_type END AS note, 1.5::DOUBLE AS later, count(*) AS n FROM events GROUP BY 1, 2, 3, 4"),
     "confirm_cost": (confirm_cost, f"WITH b AS (SELECT doc_id AS book, {_STATUS} AS status, doc_id % 5 = 0 AS k FROM documents), c AS (SELECT *, status = 'pending_confirmation' AND book % 2 = 0 AS now FROM b) SELECT CASE WHEN now THEN 'uploaded' ELSE status END AS status, k OR now AS cost_confirmed, CASE WHEN now THEN 'queued' END AS job_status, CASE WHEN now THEN 'process' END AS stage, count(*) AS n, sum(book)::BIGINT AS books, max(CASE WHEN now THEN (SELECT max(o_orderkey) + 1 FROM orders) END) AS seq FROM c GROUP BY 1, 2, 3, 4"),
     "engine_mix": (engine_mix, "SELECT l_suppkey AS book, l_linestatus AS engine, count(*) AS n_chunks, round(sum(l_quantity), 2) AS seconds FROM lineitem GROUP BY 1, 2"),
 }

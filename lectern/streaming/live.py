@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lectern.operators.state import latest
+from lectern.sources.stored import KeyedTable
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,10 +41,36 @@ def kept_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> Da
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
+    keep(stream.sparkSession.createDataFrame([], stream.schema), -1)  # so that there is something to read where there was no batch
     rows = stream.sparkSession.read.schema(StructType([*stream.schema, *StructType().add("batch", "long")])).parquet(f"{folder}/out")
     return latest(rows, keys, [F.col("batch")]).drop("batch") if keys else rows.drop("batch")
 
 
+def replayed(rows: DataFrame, slices: int, late: str) -> DataFrame:
+    """A stream of rows that arrive in so many files, one a batch: in order of ts, but every seventh row (by event_id) comes a slice late, and every eleventh twice.
+
+    late names the column that gets the slice of a row's arrival.
+    """
+    spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/replay"
+    ends = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
+    width = max(1, ((ends[1] or 0) - (ends[0] or 0)) // slices + 1)
+    own = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - (ends[0] or 0)) / width).cast("int")
+    own = own + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    arrived = rows.withColumn(late, F.explode(F.when(F.col("event_id") % 11 == 0, F.array(own, own + 1)).otherwise(F.array(own))))
+    for k in range(slices + 2):  # files are taken in order of their times
+        arrived.where(F.col(late) == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def upserted(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None, buckets: int = 16) -> KeyedTable:
+    """Runs a stream over what is there now, upserting each batch into a keyed table by its id; with a folder given it goes on where it ended."""
+    spark, folder = stream.sparkSession, folder or scratch(stream.sparkSession)
+    kept = KeyedTable(spark, f"{folder}/table", stream.schema, keys, order, buckets)
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(kept.upsert).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return kept
+
+
 def latest_progress(events: DataFrame) -> DataFrame:
     """book, sequence, position, ts: the last event of each book, by event time and then id."""
     top = events.groupBy("book").agg(F.max_by(F.struct("sequence", "position", "ts"), F.struct("ts", "event_id")).alias("top"))
