@@ -81,6 +81,10 @@ def narratable_pages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc", "page").agg(F.array_join(F.filter(F.transform(whole, lambda s: s.text), lambda t: t != ""), "\n\n").alias("text"))
 
 
+#: Pages of a cell of the grid by which pages and chapters are joined.
+GRID = 64
+
+
 def descriptive(title: Column) -> Column:
     return ~strip(title).rlike(r"(?iU)^[\dIVXLCDM]+[.)]?$") & (strip(title) != "")
 
@@ -131,6 +135,11 @@ def chapter_texts(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def pages_of_chapters(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Pages with the chapter whose interval holds them: an equi-join on the document with the interval as its condition."""
-    c = found.select(F.col("doc").alias("c_doc"), "chapter", "title", "start_page", "end_page")
-    return pages.join(c, (F.col("doc") == F.col("c_doc")) & F.col("page_number").between(F.col("start_page"), F.col("end_page"))).drop("c_doc")
+    """Pages with the chapters whose interval holds them: an equi-join on the document and a grid of GRID pages, the interval being its condition.
+
+    A chapter has a row for each cell that it covers, so a page meets the chapters of its cell and not all of its document.
+    """
+    cell = lambda page: F.floor(F.col(page) / GRID)
+    c = found.where("start_page <= end_page").select(F.col("doc").alias("c_doc"), "chapter", "title", "start_page", "end_page", F.explode(F.sequence(cell("start_page"), cell("end_page"))).alias("c_cell"))
+    on = (F.col("doc") == F.col("c_doc")) & (cell("page_number") == F.col("c_cell")) & F.col("page_number").between(F.col("start_page"), F.col("end_page"))
+    return pages.join(c, on).drop("c_doc", "c_cell")

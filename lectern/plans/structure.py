@@ -30,7 +30,8 @@ def _pages(spark: SparkSession, sf_dir: str, name: str, blank: bool) -> DataFram
     docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("source").isin("src1", "src2", "src3"), "  \n").otherwise(F.col("text")) if blank else F.col("text")
     rows = docs.select(F.col("source").alias("doc"), "doc_id", text.alias("text"), F.lit(name).alias("origin"))
-    return with_sum_before(rows, "doc", "doc_id", F.lit(1), "page_number").withColumn("page_number", (F.col("page_number") + 1).cast("int"))
+    numbers = with_sum_before(rows.select("doc", "doc_id"), "doc", "doc_id", F.lit(1), "page_number")  # ids are numbered, and texts joined once
+    return rows.join(numbers, ["doc", "doc_id"]).withColumn("page_number", (F.col("page_number") + 1).cast("int"))
 
 
 def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

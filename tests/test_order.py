@@ -79,3 +79,24 @@ def test_one_scan_is_the_steps_in_order(spark):
     rows = d.select("t", N.in_order(F.col("t")).alias("steps"), N.sanitize(F.col("t")).alias("scan"), tangled.alias("tangled")).collect()
     assert [r.t for r in rows if r.steps != r.scan] == []
     assert 500 < sum(not r.tangled and r.t != r.scan for r in rows)
+
+
+def test_pages_meet_the_chapters_of_their_cell(spark):
+    from lectern.operators import structure as L
+
+    rng = random.Random(9)
+    chapters = [(d, k, f"c{k}", s := rng.randint(-3, 400), s + rng.choice([-1, 0, 1, 63, 64, 300])) for d in ("a", "b") for k in range(25)]
+    pages = [(d, p) for d in ("a", "b", None) for p in range(0, 500)]
+    found = spark.createDataFrame(chapters, "doc string, chapter int, title string, start_page int, end_page int")
+    got = [(r.doc, r.page_number, r.chapter) for r in L.pages_of_chapters(spark.createDataFrame(pages, "doc string, page_number int"), found).collect()]
+    assert sorted(got) == sorted((d, p, c) for d, p in pages for x, c, _, s, e in chapters if d == x and s <= p <= e)
+
+
+def test_a_page_meets_few_chapters(spark):
+    """A book of 20,000 pages and 5,000 chapters: the join looks at a cell's chapters only."""
+    from lectern.operators import structure as L
+
+    pages = spark.range(1, 20_001).selectExpr("'x' AS doc", "cast(id AS int) AS page_number")
+    found = spark.range(5000).selectExpr("'x' AS doc", "cast(id AS int) AS chapter", "'t' AS title", "cast(id * 4 + 1 AS int) AS start_page", "cast(id * 4 + 4 AS int) AS end_page")
+    rows = L.pages_of_chapters(pages, found)
+    assert rows.count() == 20_000 and rows.where("(page_number - 1) div 4 <> chapter").count() == 0
