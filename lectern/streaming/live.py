@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from lectern.operators.state import latest
@@ -82,6 +85,51 @@ def heartbeat_windows(events: DataFrame, length: str = "120 seconds", delay: str
     return events.withWatermark("ts", delay).groupBy("worker", F.window("ts", length)).agg(F.max("ts").alias("last_beat"), F.count("*").alias("n")).select("worker", F.col("window.start").alias("start"), "last_beat", "n")
 
 
+def _transitions(seconds: int):
+    """Of each worker the beats that the watermark hasn't passed yet, its last one that it has, and whether that counts as alive."""
+    length = seconds * 1_000_000
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, last, alive = state.get if state.exists else ("", None, False)
+        beats = [int(x) for x in waiting.split(",") if x]
+        for part in parts:
+            beats += part["micros"].tolist()
+        now, out = state.getCurrentWatermarkMs() * 1000, []
+        beats.sort()
+        for at in [b for b in beats if b <= now]:
+            if alive and at - last > length:
+                out.append((last + length, False))
+                alive = False
+            if not alive:
+                out.append((at, True))
+                alive = True
+            last = at if last is None else max(last, at)
+        beats = [b for b in beats if b > now]
+        if alive and last + length < now:
+            out.append((last + length, False))
+            alive = False
+        if beats or alive:
+            state.update((",".join(map(str, beats)), last, alive))
+            ends = [*beats[:1], *([last + length] if alive else [])]
+            state.setTimeoutTimestamp(max(min(ends), now) // 1000 + 1)
+        elif state.exists:
+            state.remove()  # a worker that is dead and has nothing waiting is as one never seen
+        yield pd.DataFrame({"worker": [key[0]] * len(out), "micros": [t for t, _ in out], "alive": [a for _, a in out]})
+
+    return run
+
+
+def liveness_changes(events: DataFrame, seconds: int = 120, delay: str = "1 hour") -> DataFrame:
+    """worker, micros (when, since the epoch), alive: a worker comes alive with a beat and dies seconds after its last one, as the watermark passes.
+
+    Beats may come late by the delay, in any order and twice: they wait in the worker's state until the watermark has passed them. A timer
+    tells of a death that no later event of the worker would show. State is the beats of one delay, and nothing of the dead.
+    """
+    rows = events.withWatermark("ts", delay).select("worker", "ts", F.unix_micros("ts").alias("micros"))
+    kind = rows.schema["worker"].dataType.simpleString()
+    return rows.groupBy("worker").applyInPandasWithState(_transitions(seconds), f"worker {kind}, micros long, alive boolean", "waiting string, last long, alive boolean", "append", "EventTimeTimeout")
+
+
 def first_arrivals(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key; keys are remembered until the watermark passes them."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)

@@ -84,3 +84,22 @@ def test_generations(spark, tmp_path):
         read_generations(spark, path, [Added("n", "int", 2, None, True)])
     with pytest.raises(Exception, match="note is required"):
         read_generations(spark, path, [Added("note", "string", 2, "old", True)]).collect()
+
+
+def test_late_beats_are_dropped(spark):
+    """Of the replay some beats come too late for their window, and only these are missing."""
+    events = spark.range(2000).selectExpr("id AS event_id", "cast(id % 5 AS int) AS worker", "timestamp_seconds(1700000000 + id * 900) AS ts")
+    stream = live.replayed(events, 6, "arrival")
+    rows = live.kept_updates(live.heartbeat_windows(stream, "1 hour", "1 hour"), ["worker", "start"])
+    arrived = 2000 + len(range(0, 2000, 11))
+    counted = rows.agg(F.sum("n")).first()[0]
+    assert 0.7 * arrived < counted < arrived
+
+
+def test_changes_of_liveness(spark):
+    """A worker that stops is seen dead by a timer; a beat that comes late, but within the delay, keeps it alive."""
+    beats = [("a", m) for m in range(0, 600, 10)] + [("b", 0), ("b", 30), ("b", 300)]
+    rows = spark.createDataFrame([(w, m, k) for k, (w, m) in enumerate(beats)], "worker string, m int, event_id long").selectExpr("worker", "timestamp_seconds(1700000000 + m * 60) AS ts", "event_id")
+    changes = live.liveness_changes(live.replayed(rows, 5, "arrival"), 2400, "240 minutes")
+    got = sorted((r.worker, (r.micros // 1_000_000 - 1700000000) // 60, r.alive) for r in live.kept_updates(changes, [], "append").collect())
+    assert got == [("a", 0, True), ("b", 0, True), ("b", 70, False), ("b", 300, True), ("b", 340, False)]
