@@ -107,6 +107,12 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 BOUNDARY = rf"(?iuU)(?<=[.!?])(?<!(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTERS}]|{'|'.join(D.NO_SENTENCE_END)})\.)\s+"
 
 
+def false_boundary(before: Column) -> Column:
+    """Whether a text that ends in a dot ends no sentence: the dot is that of an abbreviation or of an initial. False for other ends and for null."""
+    word = rf"(?iuU)(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTERS}]|{'|'.join(D.NO_SENTENCE_END)})\.\z"
+    return F.coalesce(before.rlike(word), F.lit(False))
+
+
 def paragraph_texts(text: Column) -> Column:
     """array<string>: text between blank lines, with white space inside collapsed; blank ones are skipped."""
     flat = lambda p: F.regexp_replace(strip(p), r"(?U)[\s\x1c-\x1f]+", " ")

@@ -110,6 +110,12 @@ def sentence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", F.size(lengths).cast("long").alias("n_sentences"), F.size("own").cast("long").alias("n_paragraphs"), total.alias("n_chars"), F.array_max(lengths).alias("longest"))
 
 
+def false_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ends at which a document could be cut (after . ! or ? and a blank) are none of a sentence."""
+    parts = _docs(spark, sf_dir).select("doc", F.explode(F.flatten(F.transform(T.paragraph_texts(F.col("text")), lambda p: N.cut(p, r"(?U)(?<=[.!?])\s+")))).alias("part"))
+    return parts.where("part <> ''").groupBy("doc").agg(F.count("*").alias("n_parts"), F.count(F.when(T.false_boundary(F.col("part")), 1)).alias("n_false"))
+
+
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.chunks(_docs(spark, sf_dir))
     return rows.select("doc", F.col("sequence").cast("long").alias("sequence"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
@@ -273,6 +279,7 @@ QUERIES = {
     "clean_units": (clean_units, UNITS_SQL),
     "sentence_profile": (sentence_profile, "WITH " + DOCS + "SELECT doc, count(*) AS n_sentences, count(DISTINCT paragraph) AS n_paragraphs, sum(length(text))::BIGINT AS n_chars, max(length(text))::BIGINT AS longest FROM sents GROUP BY doc"),
     "sentence_chunks": (sentence_chunks, CHUNKS_SQL),
+    "false_boundaries": (false_boundaries, "WITH " + DOCS + ", e AS (SELECT doc, regexp_extract(text, '([A-Za-zÀ-ÿ0-9º°]+)\\.$', 1) AS word FROM parts) SELECT doc, count(*) AS n_parts, count(*) FILTER (WHERE word <> '' AND (length(word) = 1 OR lower(word) IN (ABBR))) AS n_false FROM e GROUP BY doc".replace("ABBR", ", ".join(f"'{a}'" for a in D.NO_SENTENCE_END))),
     "chunk_counts": (chunk_counts, COUNTS_SQL),
     "pause_segments": (pause_segments, PAUSES_SQL),
     "request_split": (request_split, SPLIT_SQL),

@@ -26,3 +26,9 @@ def test_texts_with_nul(spark):
     assert got[1] == ["a\x00b c. Next one."] and got[2] == ["\x00"] and " ".join(got[3]) == ("xyz. " * 900 + "\x00.") and max(map(len, got[3])) <= 1000
     words = spark.createDataFrame([("a\x00 b c\x00c d",)], "t string")
     assert words.select(T.split_words(F.col("t"), 4).alias("p")).first().p == ["a\x00 b", "c\x00c", "d"]
+
+
+def test_false_boundaries(spark):
+    cases = {"O Dr.": True, "Robert C.": True, "pag.": True, "PAG.": True, "fim.": False, "fim!": False, "": False, None: False, "xpag.": False, "a. ": False, "Dr.\n": False, "1.": True, "É.": True}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.f for r in rows.select("t", T.false_boundary(F.col("t")).alias("f")).collect()} == cases
