@@ -131,14 +131,19 @@ def money(usd: Column) -> Column:
 
 
 def status_message(status: Column, done: Column, total: Column, estimate: Column, degraded: Column) -> Column:
-    some = done > 0
-    progress = F.when(total.isNull(), F.concat(F.lit("Status: "), F.coalesce(_map(D.STATUS_LABELS)[status], status))).otherwise(F.concat(F.lit("Sintetizando: "), done, F.lit(" de "), total, F.lit(" chunks")))
+    some, m = done > 0, D.STATUS_MESSAGES
+
+    def said(name: str, *values: Column) -> Column:
+        parts = m[name].split("{}")
+        return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))])
+
+    progress = F.when(total.isNull(), F.concat(F.lit(m["other"]), F.coalesce(_map(D.STATUS_LABELS)[status], status))).otherwise(said("progress", done, total))
     return (
-        F.when(status == "pending_confirmation", F.concat(F.lit("Aguardando confirmação de custo — este livro deve custar "), F.when(estimate > 0, money(estimate)).otherwise("?"), F.lit(".")))
-        .when(status == "paused", F.when(some, "Pausado — tocando o que já foi sintetizado.").otherwise("Pausado."))
-        .when(status == "error", F.when(some, F.concat(F.lit("Erro no processamento — tocando os "), done, F.lit(" trecho(s) já sintetizados."))).otherwise("Erro: processamento falhou."))
-        .when(status == "ready", F.when(~some, "Nenhum áudio disponível.").when(degraded, "Pronto — processado com voz local (custo acima do teto).").otherwise("Pronto."))
-        .otherwise(F.when(some, F.concat(progress, F.lit(" — tocando o que já está pronto"))).otherwise(progress))
+        F.when(status == "pending_confirmation", said("confirm", F.when(estimate > 0, money(estimate)).otherwise(m["unknown"])))
+        .when(status == "paused", F.when(some, m["paused some"]).otherwise(m["paused"]))
+        .when(status == "error", F.when(some, said("error some", done)).otherwise(m["error"]))
+        .when(status == "ready", F.when(~some, m["nothing"]).when(degraded, m["degraded"]).otherwise(m["ready"]))
+        .otherwise(F.when(some, F.concat(progress, F.lit(m["playing"]))).otherwise(progress))
     )
 
 
