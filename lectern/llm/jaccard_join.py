@@ -12,8 +12,8 @@ Set relations save the work that a plain prefix-filter join repeats for sets tha
   so that the prefix avoids those that many texts share. In a list a cluster is one entry, not one for each member.
 * A member's answers are derived from those of its cluster's centre. If A' has add(A') shingles that its centre A lacks, |A' & B'| is at
   most |A & B| + add(A') + add(B'). So the overlap of two centres, computed once, mostly settles all pairs of their members. Where it
-  doesn't, each member is compared with the other centre; one that is like it settles the pair of clusters, and else only the pairs of
-  members that these overlaps leave open are compared.
+  doesn't, the members of the smaller cluster are compared with the centre of the larger one, and beyond that a pair of members can only have
+  shingles in common that its centre lacks: pairs are made by these, and only those that can be linked with them are compared.
 
 Two sets with n1 >= n2 shingles and 7 * overlap >= 3 * (n1 + n2) share one of the first n1 - ceil(3 * n1 / 4) + 1 shingles of the
 larger set that lies at a position of at most (4 * n2 - 3 * n1) / 7 in the smaller one, so the join loses no link.
@@ -247,41 +247,33 @@ def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataF
 
 
 def _between_members(sets: _Sets, undecided: DataFrame, members: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) between the members of pairs of clusters (a, b) whose centres have shared shingles in common: one at least of each pair that has one.
+    """Linked pairs between members of pairs of clusters (a, b) whose centres aren't linked: one at least of each pair of clusters that has one.
 
-    Each member is compared with the other centre, not with the other members. With u = |A' & B| for a member A' of A and, of what B'
-    has and its centre lacks, w shingles in A and c in what some A' has and A lacks, |A' & B'| is u(A') + w(B') + min(c(A'), c(B')) at
-    most, and the same with A' and B' changed. Where no member is like the other centre, only pairs that this leaves open are looked at.
+    Of two clusters the larger one is its centre A and what each member has and A lacks; of the other one every member b is compared with A.
+    A member A' has at most |A & b| shingles in common with b, and those of b - A that A' has and A lacks. So members are paired by these
+    shingles, and what each member has and A lacks is listed once, for all clusters that it meets; without such a shingle only
+    a member so much smaller than A that |A & b| is enough can be linked.
     """
-    sides = undecided.select(F.col("a").alias("cluster"), F.col("b").alias("other")).unionAll(undecided.select("b", "a"))
-    clusters = broadcast_if_small(written(sides.select("cluster").distinct(), "wanted"))
-    inside = written(members.where("sid <> cluster").join(clusters, "cluster", "left_semi").select("cluster", "sid", "n"), "inside")
-    own = written(sets.both(inside.select(F.col("sid").alias("a"), F.col("cluster").alias("b"))).select(F.col("a").alias("sid"), F.array_except("of_a", "of_b").alias("more")), "additions")
-    met = written(sides.join(inside, "cluster"), "met")
-    against = sets.both(met.select(F.col("sid").alias("a"), F.col("other").alias("b"))).join(own, F.col("a") == F.col("sid"))
-    against = against.select("sid", F.col("b").alias("other"), "nb", _common("of_a", "of_b").alias("u"), _common("more", "of_b").alias("w"))
-    against = written(met.join(against, ["sid", "other"]), "against")
-    linked = against.where(_similar(F.col("u"), F.col("n"), F.col("nb"))).select(F.greatest("sid", "other").alias("a"), F.least("sid", "other").alias("b"), F.greatest("cluster", "other").alias("ca"), F.least("cluster", "other").alias("cb"))
-    linked = written(linked, "links")
-    rest = undecided.join(broadcast_if_small(written(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "decided")), ["a", "b"], "left_anti")
-    rest = written(rest, "undecided")
-    linked = linked.select("a", "b")
-    if rest.isEmpty():
-        return linked
-
-    added = met.join(own, "sid").select("cluster", "other", "sid", F.explode("more").alias("shingle"))
-    theirs = added.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"), "shingle").distinct()
-    common = added.join(theirs, ["cluster", "other", "shingle"], "left_semi").groupBy("sid", "other").agg(F.count("*").alias("c"))
-    figures = against.join(common, ["sid", "other"], "left").select("cluster", "other", "sid", "n", "u", "w", F.coalesce("c", F.lit(0)).alias("c"))
-    centres = lambda x, y: rest.select(F.col(x).alias("cluster"), F.col(y).alias("other"), F.col(x).alias("sid"), F.col(f"n{x}").alias("n"), F.col("shared").alias("u"), F.lit(0).alias("w"), F.lit(0).alias("c"))
-    figures = written(figures.unionAll(centres("a", "b")).unionAll(centres("b", "a")), "figures")
-    best = figures.groupBy(F.col("cluster").alias("other"), F.col("other").alias("cluster")).agg(F.max("w").alias("most_w"), F.min("n").alias("least_n"))
-    hopeful = figures.join(best, ["cluster", "other"]).where(_similar(F.col("u") + F.col("most_w") + F.col("c"), F.col("n"), F.col("least_n")))
-    side = lambda x, y: hopeful.select(F.col("cluster").alias(x), F.col("other").alias(y), *[F.col(k).alias(f"{k}_{x}") for k in ("sid", "n", "u", "w", "c")])
-    alike = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    bound = F.least(F.col("u_a") + F.col("w_b"), F.col("u_b") + F.col("w_a")) + F.least("c_a", "c_b")
-    pairs = rest.select("a", "b").join(side("a", "b"), ["a", "b"]).join(side("b", "a"), ["a", "b"]).where(alike & _similar(bound, F.col("n_a"), F.col("n_b")))
-    pairs = written(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")), "member-pairs")
+    sizes = members.where("sid = cluster").select(F.col("sid").alias("of"), "size")
+    met = undecided.join(sizes.select(F.col("of").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("of").alias("b"), F.col("size").alias("size_b")), "b")
+    larger = F.col("size_a") >= F.col("size_b")
+    met = written(met.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("other")), "met")
+    inside = members.select("cluster", "sid", "n")
+    ones = met.join(inside, F.col("other") == F.col("cluster")).select(F.col("sid").alias("a"), F.col("centre").alias("b"))
+    with_centre = sets.both(ones).select(F.col("b").alias("centre"), F.col("a").alias("one"), F.col("na").alias("n_one"), F.col("nb").alias("n_centre"), _common("of_a", "of_b").alias("shared"), F.array_except("of_a", "of_b").alias("rest"))
+    with_centre = written(with_centre, "with-centre")
+    linked = with_centre.where(_similar(F.col("shared"), F.col("n_one"), F.col("n_centre"))).select(F.col("one").alias("a"), F.col("centre").alias("b"))
+
+    centres = broadcast_if_small(written(met.select("centre").distinct(), "centres"))
+    own = inside.where("sid <> cluster").join(centres, F.col("cluster") == F.col("centre"), "left_semi")
+    more = sets.both(own.select(F.col("sid").alias("a"), F.col("cluster").alias("b"))).select(F.col("b").alias("centre"), F.col("a").alias("sid"), F.col("na").alias("n"), F.array_except("of_a", "of_b").alias("more"))
+    listed = more.select("centre", "sid", "n", F.explode("more").alias("shingle"))
+    probes = with_centre.select("centre", "one", "n_one", "shared", F.explode("rest").alias("shingle"))
+    hits = listed.join(probes, ["centre", "shingle"]).groupBy("sid", "one", "n", "n_one", "shared").agg(F.count("*").alias("hits"))
+    alike = F.expr("4 * least(n, n_one) >= 3 * greatest(n, n_one)")
+    hits = hits.where(alike & _similar(F.col("shared") + F.col("hits"), F.col("n"), F.col("n_one"))).select(F.col("sid").alias("a"), F.col("one").alias("b"))
+    smaller = with_centre.join(own.select(F.col("cluster").alias("centre"), "sid", "n"), "centre").where(alike & (F.col("n") < F.col("n_centre")) & _similar(F.col("shared"), F.col("n"), F.col("n_one")))
+    pairs = written(hits.unionAll(smaller.select(F.col("sid").alias("a"), F.col("one").alias("b"))), "member-pairs")
     found = sets.overlaps(_hopeful(pairs, prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
     return linked.unionAll(found.select("a", "b"))
 
