@@ -162,7 +162,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
     per = [pairs.groupBy(F.col(side).alias("sid")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).withColumn("side", F.lit(side)) for side in ("a", "b")]
     hot = written(per[0].unionAll(per[1]).where("copies > 1"), "hot")
     if hot.isEmpty():
-        return joined(pairs, {"a": sets, "b": sets}, False)
+        return joined(broadcast_if_small(pairs), {"a": sets, "b": sets}, False)  # so that one side's sets aren't shuffled
     of = {side: hot.where(F.col("side") == side).select(F.col("sid").alias("__hot"), F.col("copies").alias(f"copies_{side}")) for side in ("a", "b")}
     tagged = pairs
     for side in ("a", "b"):
