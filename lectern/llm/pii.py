@@ -35,11 +35,13 @@ LOOSE = {
 }
 MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": r"\+[0-9]"}
 LOOSE_MAYBE = {"email": r"[(\[](?:at|AT)[)\]]", "phone": r"[0-9][\x20.-][0-9]{3,4}(?![0-9])", "secret": "[A-Za-z0-9]{20}"}
-# Gazetteers of top-level domains, card issuer digits and calling codes, and words that stand before such data.
-DOMAINS = "com org net edu gov io de fr es it uk eu info biz"
-ISSUERS = "34 37 4 51 52 53 54 55 6011 65"
-CODES = "1 33 34 39 44 49"
-KEY_STARTS = "sk- pk- ghp_ gho_ xoxb- xoxp- AKIA ASIA AIza"
+# Generic top-level domains (any two letters are a country's), first digits of card numbers by issuer, and starts of keys.
+DOMAINS = "aero app art asia biz blog cat cloud com coop dev edu email eu gov info int io jobs mil mobi museum name net news online org page post pro shop site store tech tel travel xyz"
+ISSUERS = "2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|30[0-5]|34|35(?:2[89]|[3-8])|3[6-9]|4|5[0-8]|6011|62|6304|64[4-9]|65|67"
+KEY_STARTS = "sk- pk- rk- sk_ pk_ ghp_ gho_ ghu_ ghs_ ghr_ xoxb- xoxp- xoxa- AKIA ASIA AIza"
+# E.164 calling codes by zone; no code is the start of another.
+CODES = "1|7|2(?:0|7|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[05789][0-9])|9(?:[0-58]|[679][0-9])"
+# Words that stand before such data.
 CONTEXT = {
     "email": "mail email e-mail contact contacto kontakt courriel correo write",
     "ip": "ip host server address adresse serveur servidor",
@@ -106,14 +108,15 @@ def _in(words: str, c: Column) -> Column:
 def _gazetteer(kind: str, m: Column) -> Column:
     """1, 0 or null (abstains)."""
     if kind == "email":
-        return F.when(_in(DOMAINS, F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))), 1)
+        last = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
+        return F.when(_in(DOMAINS, last) | last.rlike("^[a-z]{2}$"), 1)
     if kind == "ip":
         return F.when(F.regexp_extract(m, r"^([0-9]+)\.", 1).isin("0", "255"), 0)
     if kind == "card":
-        return F.when(_digits(m).rlike(f"^(?:{'|'.join(ISSUERS.split())})"), 1).otherwise(0)
+        return F.when(_digits(m).rlike(f"^(?:{ISSUERS})"), 1).otherwise(0)
     if kind == "secret":
         return F.when(m.rlike(f"^(?:{'|'.join(KEY_STARTS.split())})"), 1).when(~m.rlike("[0-9]") | ~m.rlike("[A-Za-z]"), 0)
-    return F.when(m.rlike(rf"^\+(?:{'|'.join(CODES.split())})[^0-9]"), 1).when(F.length(_digits(m)) < 9, 0)
+    return F.when(m.rlike(rf"^\+(?:{CODES})[^0-9]"), 1).when(F.length(_digits(m)) < 9, 0)
 
 
 def _candidates(text: Column, kind: str, base: Column, loose: Column) -> Column:

@@ -380,6 +380,18 @@ def brute_choice(counts, threshold=0.9):
     return out
 
 
+def test_pii_gazetteers(spark):
+    """Calling codes are a prefix code, issuers' digits are whole ranges, and any two letters are a country's domain."""
+    codes = [c for n in (1, 2, 3) for c in map(str, range(10 ** (n - 1), 10**n)) if re.fullmatch(pii.CODES, c)]
+    assert not [(a, b) for a in codes for b in codes if a != b and b.startswith(a)] and {"1", "49", "351", "971", "886"} <= {*codes}
+    ranges = [(2221, 2720), (3000, 3059), (3400, 3499), (3528, 3589), (3600, 5899), (6011, 6011), (6200, 6299), (6304, 6304), (6440, 6599), (6700, 6799)]
+    said = [n for n in range(1000, 10000) if re.match(pii.ISSUERS, str(n))]
+    assert said == [n for n in range(1000, 10000) if any(lo <= n <= hi for lo, hi in ranges)]
+    rows = spark.createDataFrame([("email", "a@b.pt", 1), ("email", "a@b.online", 1), ("email", "a@b.notadomain", None), ("phone", "+351 21 555 1234", 1), ("phone", "555 1234", 0), ("card", "6011 0000", 1), ("card", "9011 0000", 0), ("ip", "0.1.2.3", 0), ("secret", "ghp_" + "a" * 20, 1), ("secret", "a" * 20, 0)], "kind string, found string, vote int")
+    for kind in (*pii.KINDS, *pii.ADDED):
+        assert [r.got for r in rows.where(F.col("kind") == kind).select(pii._gazetteer(kind, F.col("found")).alias("got")).collect()] == [r.vote for r in rows.where(F.col("kind") == kind).collect()], kind
+
+
 def test_pii_many_shapes(spark):
     signs = [a + b + c + d for a in "._%+-" for b in "._%+-" for c in "._%+-" for d in "._%+-" if a != b != c != d]
     emails = [f"{s[0]}{'7' * n}{'a' * m}{s[1]}x{s[2]}x{s[3]}x@b.com" for s in signs for n in range(21) for m in (0, 4, 8, 12)]
