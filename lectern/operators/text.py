@@ -105,6 +105,8 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 #: White space after . ! or ? that ends a sentence: not after an abbreviation's dot or an initial's.
 BOUNDARY = rf"(?iuU)(?<=[.!?])(?<!(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTERS}]|{'|'.join(D.NO_SENTENCE_END)})\.)\s+"
+#: The same where white space is one space, which is looked for first.
+BOUNDARY_SPACE = rf"(?iuU) (?<=[.!?] )(?<!(?<![{D.WORD_CHARACTERS}])(?:[{D.WORD_CHARACTERS}]|{'|'.join(D.NO_SENTENCE_END)})\. )"
 
 
 def false_boundary(before: Column) -> Column:
@@ -113,15 +115,31 @@ def false_boundary(before: Column) -> Column:
     return F.coalesce(before.rlike(word), F.lit(False))
 
 
+#: Marks set by sentence_marks: white space becomes a space each run, so neither can be in the text itself.
+SENTENCE, PARAGRAPH = "\x1e", "\x1d"
+
+
+def paragraph_marks(text: Column) -> Column:
+    """The text with PARAGRAPH between its paragraphs (cut at blank lines; blank ones are skipped) and white space inside collapsed."""
+    apart = F.replace(F.replace(text, F.lit(SENTENCE), F.lit("\x1c")), F.lit(PARAGRAPH), F.lit("\x1c"))  # blanks, but none that make a line blank
+    apart = F.regexp_replace(F.regexp_replace(apart, r"(?U)\n\s*\n", PARAGRAPH), r"(?U)[\s\x1c\x1f]+", " ")
+    return F.btrim(F.regexp_replace(apart, f" *{PARAGRAPH}[ {PARAGRAPH}]*", PARAGRAPH), F.lit(f" {PARAGRAPH}"))
+
+
+def sentence_marks(text: Column) -> Column:
+    """paragraph_marks with SENTENCE in place of the space between two sentences: sentences and chunks are cut there in scans of the whole text."""
+    return F.regexp_replace(paragraph_marks(text), BOUNDARY_SPACE, SENTENCE)
+
+
 def paragraph_texts(text: Column) -> Column:
     """array<string>: text between blank lines, with white space inside collapsed; blank ones are skipped."""
-    flat = lambda p: F.regexp_replace(strip(p), r"(?U)[\s\x1c-\x1f]+", " ")
-    return F.filter(F.transform(cut(text, r"(?U)\n\s*\n"), flat), lambda p: p != "")
+    return F.filter(F.split(paragraph_marks(text), PARAGRAPH, -1), lambda p: p != "")
 
 
 def sentence_texts(text: Column) -> Column:
     """array<array<string>>: the sentences of each paragraph."""
-    return F.transform(paragraph_texts(text), lambda p: cut(p, BOUNDARY))
+    own = F.filter(F.split(sentence_marks(text), PARAGRAPH, -1), lambda p: p != "")
+    return F.transform(own, lambda p: F.split(p, SENTENCE, -1))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -162,13 +180,28 @@ def packed(items: Column, limit: int) -> Column:
     return let(items, put)
 
 
+def packed_text(marked: Column, limit: int, mark: str) -> Column:
+    """array<string>: the greedy packing of items that are set apart by the mark, which stands for a space, or by an empty line; no item is empty.
+
+    A chunk is the longest run of at most limit characters that ends where an item does, or an item that is longer: one scan of a pattern.
+    """
+    lines = "\\n" if mark == SENTENCE else ""
+    ends = rf"{mark}|\n\n|\z" if lines else rf"{mark}|\z"
+    own = F.regexp_extract_all(marked, F.lit(rf"(?s)[^{mark}{lines}].{{0,{max(limit, 1) - 1}}}(?={ends})|[^{mark}{lines}]+"), F.lit(0))
+    return own if mark == " " else F.transform(own, lambda c: F.replace(c, F.lit(mark), F.lit(" ")))
+
+
+def packed_sentences(marked: Column, limit: int) -> Column:
+    """chunk_texts of a text that has sentence_marks."""
+    return packed_text(F.replace(marked, F.lit(PARAGRAPH), F.lit("\n\n")), limit, SENTENCE)
+
+
 def chunk_texts(text: Column, limit: int = 1000) -> Column:
     """array<string>: sentences packed into chunks of at most limit characters; a longer sentence is a chunk of its own.
 
     Sentences of one paragraph are joined by a space, paragraphs by an empty line.
     """
-    item = lambda s, j: F.struct(s.alias("text"), F.when(j == 0, "\n\n").otherwise(" ").alias("gap"))
-    return packed(F.flatten(F.transform(sentence_texts(text), lambda own: F.transform(own, item))), limit)
+    return packed_sentences(sentence_marks(text), limit)
 
 
 def chunks(docs: DataFrame, limit: int = 1000) -> DataFrame:
@@ -178,16 +211,15 @@ def chunks(docs: DataFrame, limit: int = 1000) -> DataFrame:
 
 def split_words(text: Column, limit: int) -> Column:
     """array<string>: the text if it fits or has one word, else its words packed to at most limit characters."""
-    words = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+", -1), lambda w: w != "")
-    items = F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(" ").alias("gap")))
-    return F.when((F.length(text) <= limit) | (F.size(words) <= 1), F.array(text)).otherwise(packed(items, limit))
+    words = F.btrim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "), F.lit(" "))
+    return let(words, lambda w: F.when((F.length(text) <= limit) | ~F.contains(w, F.lit(" ")), F.array(text)).otherwise(packed_text(w, limit, " ")))
 
 
 def split_clauses(text: Column, limit: int) -> Column:
     """array<string>: clauses (after , ; :) packed to at most limit characters where the text is longer."""
-    clauses = F.split(text, r"(?U)(?<=[,;:])\s+", -1)
-    items = F.transform(clauses, lambda w: F.struct(w.alias("text"), F.lit(" ").alias("gap")))
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed(items, limit))
+    pattern, nul = r"(?U)(?<=[,;:])\s+", "\x00"
+    items = F.transform(F.split(text, pattern, -1), lambda w: F.struct(w.alias("text"), F.lit(" ").alias("gap")))
+    return F.when(F.length(text) <= limit, F.array(text)).when(F.contains(text, F.lit(nul)), packed(items, limit)).otherwise(packed_text(F.regexp_replace(text, pattern, nul), limit, nul))
 
 
 def pause_segments(text: Column) -> Column:

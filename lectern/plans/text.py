@@ -186,7 +186,7 @@ SELECT doc, count(*) AS n_segments, sum(pause_ms)::BIGINT AS pause_ms, sum(pause
 
 
 def request_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.split_words(F.col("text"), 80)).alias("piece", "text"))
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(T.split_words(F.col("text"), 80)).alias("piece", "text"))
     return rows.select("conv_id", "turn", F.col("piece").cast("long").alias("piece"), "text")
 
 

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from lectern.functions import notation as N
@@ -196,3 +198,22 @@ def test_sources(spark):
     assert {(r.page, r.n_words, r.confidence, r.text) for r in L.confidence(words).collect()} == {(1, 1, 0.9, "ok"), (2, 0, 0.0, "")}
     merged = S.merged_arrivals(spark.createDataFrame([("b", 1)], "book string, sequence int"), spark.createDataFrame([("b", 1), ("b", 2), ("b", 2)], "book string, sequence int"))
     assert sorted(r.sequence for r in merged.collect()) == [1, 2]
+
+
+def test_packing_is_near_linear(spark):
+    """A text of many items is packed in a scan: what took minutes in a fold over arrays of items takes seconds."""
+    words, long = "palavra e " * 40_000, "Uma frase. Outra! " * 20_000
+    begun = time.monotonic()
+    rows = spark.createDataFrame([(words, long)], "w string, s string").select(T.split_words(F.col("w"), 80).alias("w"), T.chunk_texts(F.col("s"), 1000).alias("s"), R.routing_cost(F.col("s"), 100).alias("c")).collect()
+    assert time.monotonic() - begun < 20
+    assert " ".join(rows[0].w) == words.strip() and max(map(len, rows[0].w)) <= 80 and " ".join(rows[0].s) == long.strip() and max(map(len, rows[0].s)) <= 1000
+    assert rows[0].c.by_sentence == 6 * 20_000
+
+
+def test_marks_in_the_text(spark):
+    """Separators that the scans use are blanks, or kept, where a text has them itself."""
+    text = "Um\x1edois.\x1d Três!\n\x1c\nQuatro.\n \nCinco\x00seis; sete"
+    row = spark.createDataFrame([(text,)], "t string").select(T.sentence_texts(F.col("t")), T.chunk_texts(F.col("t"), 15), T.split_clauses(F.col("t"), 9)).collect()[0]
+    assert row[0] == [["Um dois.", "Três!", "Quatro."], ["Cinco\x00seis; sete"]]
+    assert row[1] == ["Um dois. Três!", "Quatro.", "Cinco\x00seis; sete"]
+    assert row[2] == [text.split("; ")[0] + ";", "sete"]
