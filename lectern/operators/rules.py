@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
-from lectern.functions.notation import sanitize, strip
+from lectern.functions.notation import let, sanitize, strip
 from lectern.operators import order as order_by
 from lectern.operators import text as T
 
@@ -60,9 +60,12 @@ def timing_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
 def routing_cost(text: Column, limit: int = 1000) -> Column:
     """struct<n_chars, by_chunk, by_sentence>: characters that go to the paid tier if a chunk with an expressive sentence goes whole, or such sentences alone."""
     size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, t: s + F.length(t))
-    paid = lambda a: size(F.filter(a, lambda t: t.rlike("[?!]")))
-    spoken = F.flatten(T.sentence_texts(text))
-    return F.struct(size(spoken).alias("n_chars"), paid(T.chunk_texts(text, limit)).alias("by_chunk"), paid(spoken).alias("by_sentence"))
+    expressive = lambda pattern, t: size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    marks = T.SENTENCE + T.PARAGRAPH
+    n_chars = lambda m: F.length(F.replace(F.replace(m, F.lit(T.SENTENCE), F.lit("")), F.lit(T.PARAGRAPH), F.lit("")))
+    whole = lambda m: size(F.filter(T.packed_sentences(m, limit), lambda t: t.rlike("[?!]")))
+    alone = lambda m: expressive(f"(?<![^{marks}])[^{marks}?!]*+[?!][^{marks}]*+", m)
+    return let(T.sentence_marks(text), lambda m: F.struct(n_chars(m).cast("long").alias("n_chars"), whole(m).alias("by_chunk"), alone(m).alias("by_sentence")))
 
 
 def cost_gate(estimate: Column, cap: Column, confirmed: Column) -> Column:
