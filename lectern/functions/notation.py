@@ -210,7 +210,7 @@ TOKEN = (
 #: Where what one token becomes could make, or unmake, another: signs behind a letter, digit or dash, dashes behind money, words that
 #: grow together with a symbol's or an abbreviation's, ranges and hours that run into hours and dates.
 TANGLED = (
-    rf"(?U)h\d{{2}}[h/]|(?![a-z])(?:(?=[RU$€£])(?:(?<=[\w/–-]){_SIGN}\s*\d|{_SIGN}\s*{_NUMBER}\s*–)|–\s+{_SIGN}\s*\d"
+    rf"(?U)h\d{{2}}[h/]|(?![a-z])(?:(?=[RU$€£])(?:(?<=[\w/–-])(?<!R(?=\$))(?<!US(?=\$)){_SIGN}\s*\d|{_SIGN}\s*{_NUMBER}\s*–)|–\s+{_SIGN}\s*\d"
     rf"|-\d+[h/]|\.(?:\d{{1,2}}[h/]|\w+\s+\d+-\d)|[%&]\w|(?![\x00-\x7f])[{_SYMBOL}]\w|§\s+\d+-\d)"
 )
 

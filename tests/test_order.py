@@ -100,3 +100,11 @@ def test_a_page_meets_few_chapters(spark):
     found = spark.range(5000).selectExpr("'x' AS doc", "cast(id AS int) AS chapter", "'t' AS title", "cast(id * 4 + 1 AS int) AS start_page", "cast(id * 4 + 4 AS int) AS end_page")
     rows = L.pages_of_chapters(pages, found)
     assert rows.count() == 20_000 and rows.where("(page_number - 1) div 4 <> chapter").count() == 0
+
+
+def test_signs_are_not_tangled_with_themselves(spark):
+    """The $ of R$ and US$ stands behind no other token's letter; that of a word does."""
+    texts = ["por R$ 5 e US$ 7, $ 3", "xR$ 5", "US$5-$ 3", "S$ 5", "BUS$ 5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(N.TANGLED).alias("x"), N.in_order(F.col("t")).alias("steps"), N.sanitize(F.col("t")).alias("scan")).collect()
+    assert {r.t: r.x for r in rows} == dict(zip(texts, [False, True, True, True, True], strict=True))
+    assert all(r.steps == r.scan for r in rows)
