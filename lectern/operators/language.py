@@ -1,7 +1,11 @@
-"""Languages by trigram profiles: sparse count vectors and dot products within the row, so no row stands for a character."""
+"""Languages by trigram profiles: counts and dot products over the code points of a batch of texts, so no row stands for a character."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +13,10 @@ from lectern.functions.notation import let
 
 #: A profile holds the trigrams that make up this share of its language's text, or more: so many at most.
 SHARE = 1000
-#: Trigrams of all profiles up to which they go to every task as one row (some 50 bytes each and 8 for each language).
+#: Trigrams of all profiles up to which they go to every task (some 8 bytes each and 8 for each language).
 ROW_TRIGRAMS = 200_000
+#: Code points looked at together, and what stands behind each text: no code point.
+TOGETHER, END = 1 << 20, (1 << 21) - 1
 
 
 def trigrams(text: Column) -> Column:
@@ -29,52 +35,90 @@ def counted(items: Column) -> Column:
     return let(F.array_sort(items), runs)
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in groups of some TOGETHER code points; a longer text is a group of its own."""
+    group, n = [], 0
+    for t in texts:
+        if group and n + len(t) > TOGETHER:
+            yield group
+            group, n = [], 0
+        group.append(t)
+        n += len(t) + 1
+    if group:
+        yield group
+
+
+def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram at each code point of the texts as one number, -1 at a text's last two and at its end; and where each text starts."""
+    end = np.array([END], "<u4")
+    own = np.concatenate([*[x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), "<u4"), end)], end, end]).astype("int64")
+    out = own[:-2] << 42 | own[1:-1] << 21 | own[2:]
+    ends = own == END
+    out[ends[:-2] | ends[1:-1] | ends[2:]] = -1
+    return out, np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+
+
+def _trigram_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for lang, texts in part.groupby("lang")["text"]:
+            for group in _groups(list(texts)):
+                found, n = np.unique(_packed(group)[0], return_counts=True)
+                found, n = found[found >= 0], n[found >= 0]
+                own = np.stack([found >> 42, found >> 21 & END, found & END], 1).astype("<u4").tobytes().decode("utf-32-le")
+                yield pd.DataFrame({"lang": lang, "g": [own[k : k + 3] for k in range(0, len(own), 3)], "n": n})
+
+
 def profiles(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(lang, g, w) of (lang, text): the trigrams of each language of a share of its text or more, and their hundred-thousandths of it.
 
-    Each text is counted in its row; only its distinct trigrams are shuffled, combined before. Null languages and texts have no part.
+    Texts are counted in batches; only distinct trigrams are shuffled, combined before. Null languages and texts have no part.
     """
-    counts = docs.where("lang IS NOT NULL").select("lang", F.explode(counted(trigrams(F.col("text")))).alias("own")).groupBy("lang", F.col("own.item").alias("g")).agg(F.sum("own.n").alias("n"))
+    texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.lower("text").alias("text"))
+    counts = texts.mapInPandas(_trigram_counts, "lang string, g string, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(total, "lang").where(F.col("n") * share >= F.col("total")).select("lang", "g", F.floor(F.col("n") * 100000 / F.col("total")).alias("w"))
 
 
-def as_row(profile: DataFrame) -> DataFrame:
-    """One row of profiles (lang, g, w): langs in order, and a hash table, buckets of (g, weights in the order of langs)."""
-    spark = profile.sparkSession
-    langs = profile.groupBy().agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    of = lambda entries, lang: F.coalesce(F.get(F.filter(entries, lambda e: e.lang == lang), F.lit(0)).w, F.lit(0).cast("long"))
-    each = profile.groupBy("g").agg(F.collect_list(F.struct("lang", "w")).alias("own")).crossJoin(F.broadcast(langs))
-    n = max(1, each.count())
-    entries = each.select(F.pmod(F.xxhash64("g"), F.lit(n)).alias("bucket"), F.struct("g", F.transform("langs", lambda lang: of(F.col("own"), lang)).alias("weights")).alias("entry"))
-    filled = spark.range(n).join(entries.groupBy("bucket").agg(F.collect_list("entry").alias("entries")), F.col("id") == F.col("bucket"), "left")
-    none = F.array().cast("array<struct<g:string,weights:array<bigint>>>")
-    table = filled.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("entries", none).alias("entries")))), lambda b: b.entries).alias("buckets"))
-    return table.crossJoin(langs)
+def best_language(profile: list[tuple[str, str, int]]):
+    """A function of a text in lower case: the language of most summed weight of its trigrams (of equal ones the last); null where it shares none with a profile."""
+    langs = sorted({lang for lang, _, _ in profile})
+    keys, at = np.unique(_packed([g for _, g, _ in profile])[0][::4] if profile else np.zeros(0, "int64"), return_inverse=True)
+    weights = np.zeros((len(langs), len(keys) + 1), "int64")  # the last is of no trigram
+    for (lang, _, w), k in zip(profile, at, strict=True):
+        weights[langs.index(lang), k] = w
+
+    def of(texts: list[str]) -> list[str | None]:
+        own, starts = _packed(texts)
+        near = np.searchsorted(keys, own)
+        hit = np.append(keys, -2)[near] == own
+        near[~hit] = len(keys)
+        scores = np.stack([np.add.reduceat(w[near], starts) for w in weights])
+        top = len(langs) - 1 - scores[::-1].argmax(0)
+        return [langs[k] if score > 0 else None for k, score in zip(top, scores.max(0), strict=True)]
 
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = pd.Series(None, part.index, dtype=object)
+            full = part[part.notna()]
+            if langs and len(full):
+                out[full.index] = [x for group in _groups(list(full)) for x in of(group)]
+            yield out
 
-def best_language(text: Column, langs: Column, buckets: Column) -> Column:
-    """The language of most summed weight of the text's trigrams (of equal ones the last); null where it shares none with a profile."""
-    entry = lambda g: F.get(F.filter(F.get(buckets, F.pmod(F.xxhash64(g), F.size(buckets)).cast("int")), lambda e: e.g == g), F.lit(0)).weights
-    zeros = F.transform(langs, lambda _: F.lit(0).cast("long"))
-    scores = F.aggregate(F.filter(F.transform(trigrams(text), entry), lambda w: w.isNotNull()), zeros, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
-    top = F.array_max(F.zip_with(scores, langs, lambda score, lang: F.struct(score.alias("score"), lang.alias("lang"))))
-    return let(top, lambda t: F.when(t.score > 0, t.lang))
+    return F.pandas_udf(run, "string")
 
 
 def line_languages(docs: DataFrame, profile: DataFrame, least: int = 40, row_trigrams: int = ROW_TRIGRAMS) -> DataFrame:
     """(doc_id, line, lang) of (doc_id, text): the best language of each line of least characters or more; null for shorter ones and those unlike any profile.
 
-    Up to row_trigrams entries the profiles are one row that is broadcast, and each line is a dot product in its row. Beyond, a line's
-    distinct trigrams are joined with the profiles.
+    Up to row_trigrams entries the profiles go to every task, and lines are dot products in batches. Beyond, a line's distinct trigrams are
+    joined with the profiles.
     """
     few = profile.limit(row_trigrams + 1).collect()  # counted once; a bounded table
     long = lambda line: F.length(F.trim(line)) >= least
-    if len(few) <= row_trigrams:
-        row = F.broadcast(as_row(docs.sparkSession.createDataFrame(few, profile.schema)))
-        found = F.transform(F.split("text", "\n", -1), lambda line: F.when(long(line), best_language(line, F.col("langs"), F.col("buckets"))))
-        return docs.select("doc_id", "text").crossJoin(row).select("doc_id", F.posexplode(found).alias("line", "lang"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    if len(few) <= row_trigrams:
+        low = F.when(long(F.col("text")), F.lower("text"))
+        return lines.select("doc_id", "line", best_language([(r.lang, r.g, r.w) for r in few])(low).alias("lang"))
     met = lines.where(long(F.col("text"))).select("doc_id", "line", F.explode(counted(trigrams(F.col("text")))).alias("own")).join(profile, F.col("own.item") == F.col("g"))
     scores = met.groupBy("doc_id", "line", "lang").agg(F.sum(F.col("own.n") * F.col("w")).alias("score"))
     best = scores.groupBy("doc_id", "line").agg(F.max_by("lang", F.struct("score", "lang")).alias("lang"))

@@ -34,3 +34,13 @@ def test_line_languages(spark):
     for bound in (200_000, 0):
         assert {tuple(r) for r in V.line_languages(d, profile, row_trigrams=bound).collect()} == want
     assert V.line_languages(d.limit(0), profile).count() == 0 and {r.lang for r in V.line_languages(d, V.profiles(d.limit(0))).collect()} == {None}
+
+
+def test_long_lines_are_batches(spark):
+    """Lines of a megabyte and characters beyond the first plane: what took a hash lookup in an expression for each character takes seconds."""
+    rows = [(1, "ab😀É" * 250_000, "x"), (2, "cdÉ😀" * 250_000 + "\n" + "zzz" * 20, "y")]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    profile = V.profiles(d)
+    assert {(r.g, r.w) for r in profile.where("lang = 'x'").collect()} == {(g, 25_000 - (g not in ("ab😀", "b😀é"))) for g in ("ab😀", "b😀é", "😀éa", "éab")}
+    assert sorted(map(tuple, V.line_languages(d, profile).collect())) == [(1, 0, "x"), (2, 0, "y"), (2, 1, None)]
+    assert "regexp_extract_all" not in V.line_languages(d, profile)._jdf.queryExecution().optimizedPlan().toString()
