@@ -164,8 +164,8 @@ def sanitize_sql(text: str) -> str:
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks the sanitised text of each document makes, and their characters."""
-    rows = _docs(spark, sf_dir).select("doc", T.chunk_texts(N.sanitize(F.col("text"))).alias("chunks"))
-    return rows.select("doc", F.size("chunks").cast("long").alias("n_chunks"), F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.length(c)).alias("n_chars"))
+    sizes = lambda c: F.struct(F.size(c).cast("long").alias("n_chunks"), F.aggregate(c, F.lit(0).cast("long"), lambda s, t: s + F.length(t)).alias("n_chars"))
+    return _docs(spark, sf_dir).select("doc", F.inline(F.array(N.let(T.chunk_texts(N.sanitize(F.col("text"))), sizes))))  # a generator: a text is sanitised once
 
 
 SANE_DOCS = DOCS.replace("SELECT doc_id AS doc, CASE", "SELECT doc, " + sanitize_sql("raw") + " AS text FROM (SELECT doc_id AS doc, CASE", 1).replace("ELSE t END AS text\n", "ELSE t END AS raw\n", 1).replace("FROM documents)),", "FROM documents))),", 1)
