@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions import notation as N
+from lectern.llm.store import written
 from lectern.operators import text as T
 from lectern.operators.order import spread
-from lectern.operators.terms import substituted, tokens
+from lectern.operators.terms import substituted
 from lectern.sources import dictionary
 
 
@@ -262,8 +263,9 @@ FROM t JOIN w USING (word)
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a spelling put in for half of all their words: a dictionary that grows with the corpus, far beyond a pattern."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(F.explode(tokens(F.lower("text"))).alias("term")).where(r"length(term) >= 4 AND length(term) % 2 = 0").distinct()
-    rows = substituted(docs, words.select("term", F.concat(F.lit("<"), "term", F.lit("$1>")).alias("spoken")), pattern_terms=100)
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{4,}"), F.lit(0))).alias("term")).where("length(term) % 2 = 0").distinct()
+    terms = written(words.select("term", F.concat(F.lit("<"), "term", F.lit("$1>")).alias("spoken")), "dictionary")
+    rows = substituted(docs, terms, pattern_terms=100)
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
