@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions.notation import BLANK, cut, folded_flags, let, strip
+from lectern.llm.store import broadcast_if_small, written
 from lectern.operators.order import WIDTH, neighbours, with_sum_before
 
 NO_JOIN_AFTER = r"""[.!?:;"”»)]$"""
@@ -33,27 +34,52 @@ def drop_repeated(lines: DataFrame) -> DataFrame:
     return lines.join(gone, F.col("unit").eqNullSafe(F.col("gone_unit")) & (strip(F.col("line")) == F.col("bare")), "left_anti")
 
 
+def _dropped(pages: DataFrame) -> DataFrame:
+    """(u, p, gone) of (unit, page, marks): the numbers of a page's lines whose mark is on another page of the unit too; blank lines have none."""
+    lines = pages.select("unit", "page", F.posexplode("marks").alias("no", "mark")).where("mark IS NOT NULL")
+    twice = lines.groupBy("unit", "mark").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high").select(F.col("unit").alias("u"), F.col("mark").alias("again"))
+    twice = broadcast_if_small(written(twice, "repeated-lines"), 500_000)
+    found = lines.join(twice, F.col("unit").eqNullSafe(F.col("u")) & (F.col("mark") == F.col("again")), "left_semi")
+    return found.groupBy(F.col("unit").alias("u"), F.col("page").alias("p")).agg(F.collect_list("no").alias("gone"))
+
+
 def clean_lines(pages: DataFrame, width: int = WIDTH) -> DataFrame:
     """(unit, line, piece) of (unit, page, text): the pieces of a unit, in order of line, put together are its cleaned text.
 
-    For units of any length: what a line needs from others is what the kept line ahead ends with and what the one behind begins with, which
-    are carried over ranges of width lines. No unit is gathered in one row or window; a joined line of any length stays several
+    For units of any length: what a line needs from others is what the kept line ahead ends with and what the one behind begins with. Within
+    a page these are at hand; between pages a row for each page is carried over ranges of width pages, so texts are shuffled only to meet
+    what their page loses and what is next to it. No unit is gathered in one row or window; a joined line of any length stays several
     pieces. page is a whole number, once in a unit; a null text is a blank line.
     """
-    split = pages.select("unit", "page", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("own"))
-    starts = with_sum_before(split.select("unit", "page", F.size("own").alias("n")), "unit", "page", F.col("n"), "start", width).select(F.col("unit").alias("u"), F.col("page").alias("p"), "start")
-    lines = split.join(starts, F.col("unit").eqNullSafe(F.col("u")) & (F.col("page") == F.col("p"))).select("unit", "page", "start", F.posexplode("own").alias("no", "line"))
-    lines = drop_repeated(lines.select("unit", "page", (F.col("start") + F.col("no")).alias("at"), "line"))
-    tail = F.regexp_replace("line", r"(?U)[\s\x1c-\x1f]+\z", "")
-    kept = lines.withColumn("bare", strip(F.col("line"))).withColumn("hyphen", tail.endswith("-"))
-    ends = F.struct(F.col("hyphen").alias("hyphen"), ((F.col("bare") == "") | F.col("bare").rlike(NO_JOIN_AFTER)).alias("closed"))
-    near = neighbours(kept, "unit", "at", ends, F.struct(F.col("bare").rlike(r"^\p{javaLowerCase}").alias("lower")), ("ahead", "behind"), width)
-    joined = F.coalesce(F.col("ahead.hyphen"), F.lit(False)) & F.col("bare").rlike(r"^\p{javaLowerCase}")
-    joins = F.col("hyphen") & F.coalesce(F.col("behind.lower"), F.lit(False))
-    full = kept.where("bare <> ''").groupBy("unit").agg(F.min("at").alias("first"), F.max("at").alias("last")).withColumnRenamed("unit", "u")
-    near = near.join(full, F.col("unit").eqNullSafe(F.col("u"))).where("at BETWEEN first AND last")
+    here = F.col("unit").eqNullSafe(F.col("u")) & (F.col("page") == F.col("p"))
+
+    def about(line: Column, i: Column) -> Column:
+        said = lambda bare: F.struct(i.alias("no"), bare.alias("bare"), hyphen.alias("hyphen"), ((bare == "") | bare.rlike(NO_JOIN_AFTER)).alias("closed"), bare.rlike(r"^\p{javaLowerCase}").alias("lower"))
+        hyphen = F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+\z", "").endswith("-")
+        return let(strip(line), said)
+
+    lines = pages.select("unit", "page", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), about).alias("own"))
+    marks = F.transform("own", lambda x: F.when(x.bare != "", F.substring(F.unhex(F.sha2(x.bare, 256)), 1, 16)))  # 128 bits
+    lines = written(lines.select("*", marks.alias("marks")), "lines")
+    stays = lambda x: ~F.coalesce(F.array_contains("gone", x.no), F.lit(False))
+    own = written(lines.drop("marks").join(_dropped(lines), here, "left").select("unit", "page", F.size("own").alias("n"), F.filter("own", stays).alias("kept")), "kept-lines")
+    full, first, last = F.filter("kept", lambda x: x.bare != ""), F.get("kept", F.lit(0)), F.try_element_at("kept", F.lit(-1))
+    ends = own.select("unit", "page", "n", F.size("kept").alias("m"), F.get(full, F.lit(0)).no.alias("low"), F.try_element_at(full, F.lit(-1)).no.alias("high"), first.lower.alias("lower"), last.hyphen.alias("hyphen"), last.closed.alias("closed"))
+    ends = written(with_sum_before(ends, "unit", "page", F.col("n"), "start", width), "page-ends")
+    near = neighbours(ends.where("m > 0"), "unit", "page", F.struct("hyphen", "closed"), F.struct("lower"), ("ahead", "behind"), width)
+    bounds = ends.groupBy("unit").agg(F.min(F.col("start") + F.col("low")).alias("first"), F.max(F.col("start") + F.col("high")).alias("last")).withColumnRenamed("unit", "v")
+    near = near.join(bounds, F.col("unit").eqNullSafe(F.col("v"))).select(F.col("unit").alias("u"), F.col("page").alias("p"), "start", "ahead", "behind", "first", "last")
+
+    def beside(x: Column, i: Column) -> Column:
+        before, after = F.get("kept", i - 1), F.get("kept", i + 1)
+        ahead = F.when(i == 0, F.col("ahead")).otherwise(F.struct(before.hyphen.alias("hyphen"), before.closed.alias("closed")))
+        return F.struct(x.no.alias("no"), x.bare.alias("bare"), x.hyphen.alias("hyphen"), x.lower.alias("lower"), ahead.alias("ahead"), F.when(i == F.size("kept") - 1, F.col("behind.lower")).otherwise(after.lower).alias("below"))
+
+    rows = own.join(near, here).select("unit", "start", "first", "last", F.explode(F.transform("kept", beside)).alias("x")).select("unit", (F.col("start") + F.col("x.no")).alias("at"), "first", "last", "x.*").where("at BETWEEN first AND last")
+    joined = F.coalesce(F.col("ahead.hyphen"), F.lit(False)) & F.col("lower")
+    joins = F.col("hyphen") & F.coalesce("below", F.lit(False))
     gap = F.when(joined | (F.col("at") == F.col("first")), "").when((F.col("bare") == "") | F.col("ahead.closed"), "\n").otherwise(" ")
-    return near.select("unit", F.col("at").alias("line"), F.concat(gap, F.when(joins, F.regexp_replace("bare", "-$", "")).otherwise(F.col("bare"))).alias("piece"))
+    return rows.select("unit", F.col("at").alias("line"), F.concat(gap, F.when(joins, F.regexp_replace("bare", "-$", "")).otherwise(F.col("bare"))).alias("piece"))
 
 
 def dehyphenated(lines: Column) -> Column:
