@@ -32,10 +32,24 @@ def _counts(joined: bytes, at: np.ndarray) -> np.ndarray:
     return np.hstack([shapes, terms])
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The terms that there are, then their counts: a few KB of a text instead of a number for each term."""
+    term = np.flatnonzero(counts)
+    return term.astype("<u2").tobytes() + counts[term].astype("<u4").tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)  # what weights are made of; counts that it can't hold are rounded there too
+    for own, raw in zip(out, rows, strict=True):
+        n = len(raw) // 6
+        own[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
+    return out
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, _, _, counts in X.counted(batch.column("text"), _counts):
-            raw = [c.tobytes() for c in counts.astype(np.int64)]
+            raw = [_packed(c) for c in counts]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).cast(pa.string()), batch.column("label").slice(i, j - i), pa.array(raw, pa.binary())], names=["id", "label", "counts"])
 
 
@@ -98,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if not got:
         return None
     got.sort(key=lambda r: (r["id"], bytes(r["counts"])))
-    counts = np.stack([np.frombuffer(r["counts"], np.int64) for r in got])
+    counts = _unpacked([bytes(r["counts"]) for r in got])
     return Model(counts, np.array([r["label"] for r in got]), X.inverse_frequencies(rows, frequency), weight, rank, neighbours, power)
 
 
