@@ -79,3 +79,31 @@ def test_quality_by_plain_cosines(spark):
         assert abs(got[i] - want) < (0.35 if tied else 2e-3), (i, got[i], want)
     tie = np.array([[0.5, 0.9, 0.5, 0.5, 0.1]], np.float32)
     assert quality_classifier._nearest(tie, 3).tolist() == [[0, 1, 2]] and quality_classifier._nearest(tie, 5).tolist() == [[0, 1, 2, 3, 4]]
+
+
+def test_sampled_counts_are_sent_without_zeros():
+    """pipeline: the driver gets the terms that a sampled text has, not a number for each of 3072."""
+    import numpy as np
+
+    from lectern.llm import quality_classifier as Q
+
+    counts = np.zeros((3, Q.DIMS), np.int64)
+    counts[0, [0, 7, Q.DIMS - 1]] = 1, 70_000, 1 << 31
+    counts[2] = 5
+    raw = [Q._packed(c) for c in counts]
+    assert [len(r) for r in raw] == [18, 0, 6 * Q.DIMS] and (Q._unpacked(raw) == counts).all()
+
+
+def test_pieces_are_decoded_in_the_worker_that_encodes(spark):
+    """op5_pieces: one Python worker a task, for two took more than an executor's memory; the decoded ids are those that are told."""
+    import pytest
+
+    pytest.importorskip("sentencepiece")
+    from lectern.llm import pieces as P
+
+    vocabulary = P.Pieces([(b" ab", -1.0), (b" a", -2.0), (b"b", -2.5), *[None] * 256], list(range(3, 259)))
+    rows = P.round_trips(spark.createDataFrame([(1, "ab b"), (2, None), (3, "é ab")], "doc_id long, text string"), vocabulary)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: r for r in rows.collect()}
+    assert {k: r.decoded for k, r in got.items()} == {1: "ab b", 2: "", 3: "é ab"}
+    assert list(got[2].best_ids) == [] and got[2].n_segmentations == 1 and got[1].best_ids[0] == 0 and got[1].last_ids != got[1].best_ids
