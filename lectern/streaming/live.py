@@ -50,9 +50,10 @@ def kept_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> Da
 
 
 def replayed(rows: DataFrame, slices: int, late: str) -> DataFrame:
-    """A stream of rows that arrive in so many files, one a batch: in order of ts, but every seventh row (by event_id) comes a slice late, and every eleventh twice.
+    """A stream of rows that arrive in so many slices, one a batch: in order of ts, but every seventh row (by event_id) comes a slice late, and every eleventh twice.
 
-    late names the column that gets the slice of a row's arrival.
+    late names the column that gets the slice of a row's arrival. What streams is the slices' numbers, a file each; a batch takes its rows
+    from the table by a broadcast of that number, so they are read on all cores and not copied. A slice without rows is no batch.
     """
     spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/replay"
     ends = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
@@ -60,9 +61,11 @@ def replayed(rows: DataFrame, slices: int, late: str) -> DataFrame:
     own = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - (ends[0] or 0)) / width).cast("int")
     own = own + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
     arrived = rows.withColumn(late, F.explode(F.when(F.col("event_id") % 11 == 0, F.array(own, own + 1)).otherwise(F.array(own))))
-    for k in range(slices + 2):  # files are taken in order of their times
-        arrived.where(F.col(late) == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    held = sorted(r[late] for r in arrived.select(late).distinct().collect() if r[late] is not None)
+    for k in held or [0]:  # files are taken in order of their times
+        spark.createDataFrame([(k,)], "__slice int").coalesce(1).write.mode("append").parquet(folder)
+    batches = spark.readStream.schema("__slice int").option("maxFilesPerTrigger", 1).parquet(folder)
+    return F.broadcast(batches).join(arrived, F.col("__slice") == F.col(late)).select(*arrived.columns)
 
 
 def upserted(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None, buckets: int = 16) -> KeyedTable:
