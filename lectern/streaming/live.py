@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,49 +90,56 @@ def heartbeat_windows(events: DataFrame, length: str = "120 seconds", delay: str
     return events.withWatermark("ts", delay).groupBy("worker", F.window("ts", length)).agg(F.max("ts").alias("last_beat"), F.count("*").alias("n")).select("worker", F.col("window.start").alias("start"), "last_beat", "n")
 
 
+def _turns(code: np.ndarray, at: np.ndarray, living: np.ndarray, length: int, now: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of beats up to now, and the last ones of living workers: the changes (code, when, alive), and the last beats (code, at) of those that live on."""
+    by = np.lexsort((at, ~living, code))
+    code, at, living = code[by], at[by], living[by]
+    first = np.append(True, code[1:] != code[:-1])[: len(code)]
+    at = np.maximum(at, at[first][np.cumsum(first) - 1])  # none is before what its worker was last told of
+    before = np.append(at[:1], at[:-1])
+    gap = ~first & (at - before > length)
+    born = gap | first & ~living
+    last = np.append(first[1:], True)[: len(code)]
+    dead = last & (at + length < now)
+    changes = np.concatenate([code[born], code[gap], code[dead]]), np.concatenate([at[born], before[gap] + length, at[dead] + length]), np.arange(born.sum() + gap.sum() + dead.sum()) < born.sum()
+    return changes, (code[last & ~dead], at[last & ~dead])
+
+
 def _transitions(seconds: int):
-    """Of each worker the beats that the watermark hasn't passed yet, its last one that it has, and whether that counts as alive."""
+    """Of a bucket of workers the beats that the watermark hasn't passed yet, and the last ones that it has of workers that count as alive."""
     length = seconds * 1_000_000
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, last, alive = state.get if state.exists else ("", None, False)
-        beats = [int(x) for x in waiting.split(",") if x]
-        for part in parts:
-            beats += part["micros"].tolist()
-        now, out = state.getCurrentWatermarkMs() * 1000, []
-        beats.sort()
-        for at in [b for b in beats if b <= now]:
-            if alive and at - last > length:
-                out.append((last + length, False))
-                alive = False
-            if not alive:
-                out.append((at, True))
-                alive = True
-            last = at if last is None else max(last, at)
-        beats = [b for b in beats if b > now]
-        if alive and last + length < now:
-            out.append((last + length, False))
-            alive = False
-        if beats or alive:
-            state.update((",".join(map(str, beats)), last, alive))
-            ends = [*beats[:1], *([last + length] if alive else [])]
-            state.setTimeoutTimestamp(max(min(ends), now) // 1000 + 1)
+        new = [(p["worker"].to_numpy(object), p["micros"].to_numpy(np.int64), np.zeros(len(p), np.bool_)) for p in parts]
+        held = [pickle.loads(state.get[0])] if state.exists else []
+        names, at, living = (np.concatenate(x) for x in zip(*held, *new, strict=True))
+        code, names = pd.factorize(names, use_na_sentinel=False)
+        now = state.getCurrentWatermarkMs() * 1000
+        due = living | (at <= now)
+        (who, when, alive), (still, last) = _turns(code[due], at[due], living[due], length, now)
+        code, at = np.append(still, code[~due]), np.append(last, at[~due])
+        living = np.arange(len(code)) < len(still)
+        if len(code):
+            state.update((pickle.dumps((names[code], at, living)),))
+            state.setTimeoutTimestamp(int(max((at + np.where(living, length, 0)).min(), now)) // 1000 + 1)
         elif state.exists:
             state.remove()  # a worker that is dead and has nothing waiting is as one never seen
-        yield pd.DataFrame({"worker": [key[0]] * len(out), "micros": [t for t, _ in out], "alive": [a for _, a in out]})
+        yield pd.DataFrame({"worker": names[who], "micros": when, "alive": alive})
 
     return run
 
 
-def liveness_changes(events: DataFrame, seconds: int = 120, delay: str = "1 hour") -> DataFrame:
+def liveness_changes(events: DataFrame, seconds: int = 120, delay: str = "1 hour", buckets: int = 2048) -> DataFrame:
     """worker, micros (when, since the epoch), alive: a worker comes alive with a beat and dies seconds after its last one, as the watermark passes.
 
-    Beats may come late by the delay, in any order and twice: they wait in the worker's state until the watermark has passed them. A timer
-    tells of a death that no later event of the worker would show. State is the beats of one delay, and nothing of the dead.
+    Beats may come late by the delay, in any order and twice: they wait in the state until the watermark has passed them. A timer tells of a
+    death that no later event of the worker would show. State is the beats of one delay, and nothing of the dead. Workers are dealt over
+    buckets, each a call of Python a batch, for a call costs more than a worker's beats. Workers are carried as strings; beats without a time don't count.
     """
-    rows = events.withWatermark("ts", delay).select("worker", "ts", F.unix_micros("ts").alias("micros"))
-    kind = rows.schema["worker"].dataType.simpleString()
-    return rows.groupBy("worker").applyInPandasWithState(_transitions(seconds), f"worker {kind}, micros long, alive boolean", "waiting string, last long, alive boolean", "append", "EventTimeTimeout")
+    kind = events.schema["worker"].dataType.simpleString()
+    rows = events.where("ts IS NOT NULL").withWatermark("ts", delay).select(F.pmod(F.xxhash64("worker"), F.lit(buckets)).alias("bucket"), F.col("worker").cast("string").alias("worker"), "ts", F.unix_micros("ts").alias("micros"))
+    changes = rows.groupBy("bucket").applyInPandasWithState(_transitions(seconds), "worker string, micros long, alive boolean", "kept binary", "append", "EventTimeTimeout")
+    return changes.select(F.col("worker").cast(kind).alias("worker"), "micros", "alive")
 
 
 def first_arrivals(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
