@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.notation import strip
+from lectern.functions.notation import BLANK, strip
+from lectern.llm.store import broadcast_if_small, written
 from lectern.operators.text import clean_pages
 
 
@@ -37,6 +38,22 @@ def confidence(words: DataFrame) -> DataFrame:
     )
 
 
+def confidence_of_pages(pages: DataFrame) -> DataFrame:
+    """confidence() of (doc, page, words): a row has all or some words of a page, array<struct<word_no, text, conf>> in order.
+
+    A page of one row is done within it, so that no word is shuffled; the words of pages that have several rows are put together by
+    confidence(). Only keys are counted over all rows. Rows without words don't count, as they have none in confidence() either.
+    """
+    several = pages.groupBy("doc", "page").count().where("count > 1").select(F.col("doc").alias("d"), F.col("page").alias("p"))
+    several = broadcast_if_small(written(several, "pages-of-several-rows"))
+    here = F.col("doc").eqNullSafe(F.col("d")) & F.col("page").eqNullSafe(F.col("p"))
+    counts = F.filter("words", lambda w: w.text.rlike(rf"(?U)(?!{BLANK})(?s:.)") & (w.conf >= 0))
+    whole = pages.where(F.size("words") > 0).join(several, here, "left_anti").select("doc", "page", counts.alias("own"))
+    n, total = F.size("own").cast("long"), F.aggregate("own", F.lit(0.0), lambda s, w: s + w.conf)
+    whole = whole.select("doc", "page", n.alias("n_words"), F.coalesce(total / F.nullif(n, F.lit(0)) / 100, F.lit(0.0)).alias("confidence"), F.array_join(F.transform("own", lambda w: w.text), " ").alias("text"))
+    return whole.unionByName(confidence(pages.join(several, here, "left_semi").select("doc", "page", F.inline("words"))))
+
+
 def cascade(offers: DataFrame, least: float = 0.85) -> DataFrame:
     """Of (doc, page, tier, n_words, confidence) the first tier that has words and confidence enough, else the last tier."""
     good = (F.col("n_words") > 0) & (F.col("confidence") >= least)

@@ -217,3 +217,12 @@ def test_marks_in_the_text(spark):
     assert row[0] == [["Um dois.", "Três!", "Quatro."], ["Cinco\x00seis; sete"]]
     assert row[1] == ["Um dois. Três!", "Quatro.", "Cinco\x00seis; sete"]
     assert row[2] == [text.split("; ")[0] + ";", "sete"]
+
+
+def test_words_of_a_page_are_not_shuffled(spark):
+    """confidence() of the words, row by row: of a page in several rows, blank, unsaid, null and no words, null keys."""
+    w = lambda *own: [(i, t, c) for i, t, c in own]
+    rows = [("a", 1, w((0, "x", 9), (1, " ", 50), (2, "y", -1), (3, "\n z", 30))), ("a", 2, w((0, "", 1))), ("a", 3, []), ("a", 4, None), (None, 5, w((0, "p", 7))), ("b", 6, w((0, "m", 1), (2, "o", 100))), ("b", 6, w((1, "n", 50), (3, None, 5))), (None, None, w((0, "q", 0))), (None, None, w((1, "r", 8))), ("a", 7, w((0, None, 5), (1, "s", None)))]
+    pages = spark.createDataFrame(rows, "doc string, page int, words array<struct<word_no: int, text: string, conf: int>>")
+    want = sorted(map(str, L.confidence(pages.select("doc", "page", F.inline("words"))).collect()))
+    assert sorted(map(str, L.confidence_of_pages(pages).collect())) == want and len(want) == 6
