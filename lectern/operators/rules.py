@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dictionaries as D
 from lectern.functions.notation import let, sanitize, strip
+from lectern.llm.store import broadcast_if_small, written
 from lectern.operators import order as order_by
 from lectern.operators import text as T
 
@@ -205,12 +206,20 @@ def normalized(rows: DataFrame, text_col: str, transforms: list, opt_in: Column,
     Each distinct text is transformed once. A transform is a Column function, or a Python function made safe by guarded(): a text on which
     it raises stays as it was, with the failure in normalize_error, and the later transforms go on from there. Failures aren't shared: rows
     of a text that failed are tried once more, each by itself. A null result is a refusal; null and repeated texts are no failure.
+
+    Hashes tell which texts may stand in several rows; only these are shuffled and joined. All others, and what is tried again, are done
+    within their row.
     """
-    chosen = rows.where(opt_in)
-    distinct = _chained(chosen.select(F.col(text_col).alias("__text")).distinct(), transforms, verdict)
-    done = chosen.join(distinct, F.col(text_col) == F.col("__text"), "left").drop("__text")
+    chosen, text, own = rows.where(opt_in), F.col(text_col), F.xxhash64(text_col)
+    again = chosen.where(text.isNotNull()).groupBy(own.alias("__again")).count().where("count > 1").select("__again")
+    again = broadcast_if_small(written(again, "repeated-texts"))
+    alone = _chained(chosen.join(again, own == F.col("__again"), "left_anti").withColumn("__text", text), transforms, verdict).drop("__text")
+    shared = chosen.join(again, own == F.col("__again"), "left_semi")
+    distinct = _chained(shared.select(text.alias("__text")).distinct(), transforms, verdict)
+    done = alone.unionByName(shared.join(distinct, text == F.col("__text"), "left").drop("__text"))
     if any(getattr(t, "guarded", False) for t in transforms):
-        again = done.where("normalize_error IS NOT NULL").drop("normalized", "normalize_error").withColumn("__text", F.col(text_col))
-        done = done.where("normalize_error IS NULL").unionByName(_chained(again, transforms, verdict).drop("__text"))
+        first = done.withColumnsRenamed({"normalized": "__first", "normalize_error": "__failed"})
+        second = _chained(first.withColumn("__text", F.when(F.col("__failed").isNotNull(), text)), transforms, verdict)
+        done = second.withColumn("normalized", F.when(F.col("__failed").isNull(), F.col("__first")).otherwise(F.col("normalized"))).drop("__text", "__first", "__failed")
     others = rows.where(~F.coalesce(opt_in, F.lit(False))).withColumn("normalized", F.col(text_col)).withColumn("normalize_error", F.lit(None).cast("string"))
     return done.unionByName(others)

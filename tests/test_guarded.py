@@ -42,3 +42,21 @@ def test_failures_are_not_shared(spark, tmp_path):
 
     rows = spark.createDataFrame([(i, "same") for i in range(4)], "i int, t string").coalesce(1)
     assert {(r.normalized, r.normalize_error) for r in R.normalized(rows, "t", [R.guarded(flaky)], F.lit(True)).collect()} == {("same!", None)}
+
+
+def test_a_text_is_transformed_once(spark, tmp_path):
+    """Calls of the transform: one for each distinct text, and one more for each row of a text that failed."""
+    log = str(tmp_path / "calls")
+
+    def counted(text):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if "bad" in text:
+            raise ValueError(text)
+        return text + "!"
+
+    texts = ["one", "two", "twice", "twice", "bad", "bad twice", "bad twice", None, None, "out"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r.i: (r.normalized, r.normalize_error) for r in R.normalized(rows, "t", [R.guarded(counted)], F.col("i") < 9).collect()}
+    assert got == {i: (t, None) if t is None or i == 9 else (t, f"ValueError: {t}") if "bad" in t else (t + "!", None) for i, t in enumerate(texts)}
+    assert sorted(open(log).read().splitlines()) == ["bad"] * 2 + ["bad twice"] * 3 + ["one", "twice", "two"]
