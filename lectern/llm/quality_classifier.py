@@ -116,13 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return Model(counts, np.array([r["label"] for r in got]), X.inverse_frequencies(rows, frequency), weight, rank, neighbours, power)
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, _, _, counts in X.counted(batch.column("__text"), _counts):
-                names = [n for n in batch.schema.names if n != "__text"]
-                kept = [batch.column(n).slice(i, j - i) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(counts) if model else np.full(j - i, 0.5))], names=[*names, "score"])
+            for i, j, _, _, counts in X.counted(batch.column(text), _counts):
+                kept = [batch.column(n).slice(i, j - i) for n in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(counts) if model else np.full(j - i, 0.5))], names=[*keep, "score"])
 
     return run
 
@@ -131,13 +130,14 @@ def score_quality(docs: DataFrame, model: Model | None, keep: list[str] | None =
     """The columns in keep (all by default), and score, for each row; a column named score is replaced.
 
     Null and empty texts have no terms and get the prior share of label 1; without a model every score is 0.5. Repeated rows
-    are scored each; texts of any length are read whole; an empty table gives no rows. The text is read again under another name only for
-    the score.
+    are scored each; texts of any length are read whole; an empty table gives no rows. A text that is kept travels once, as itself; another
+    only to be scored.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    cut = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "__text")
-    return cut.mapInArrow(_score(model), f"{kinds}, score double")
+    text = text_col if text_col in keep else "__text"
+    cut = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias(text)]))
+    kinds = ", ".join(f"`{n}` {cut.schema[n].dataType.simpleString()}" for n in keep)
+    return cut.mapInArrow(_score(model, keep, text), f"{kinds}, score double")
 
 
 def _learn(labels: DataFrame) -> DataFrame:

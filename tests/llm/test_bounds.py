@@ -107,3 +107,11 @@ def test_pieces_are_decoded_in_the_worker_that_encodes(spark):
     got = {r.doc_id: r for r in rows.collect()}
     assert {k: r.decoded for k, r in got.items()} == {1: "ab b", 2: "", 3: "é ab"}
     assert list(got[2].best_ids) == [] and got[2].n_segmentations == 1 and got[1].best_ids[0] == 0 and got[1].last_ids != got[1].best_ids
+
+
+def test_a_kept_text_travels_once(spark):
+    """A text that stays among the columns goes to the worker once; one that doesn't is scored all the same."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    whole, ids = quality_classifier.score_quality(docs, None), quality_classifier.score_quality(docs, None, ["doc_id"])
+    assert "__text" not in whole._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, whole.collect())) == [(1, "a b", 0.5), (2, None, 0.5)] and sorted(map(tuple, ids.collect())) == [(1, 0.5), (2, 0.5)]
