@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import words as W
-from lectern.llm.store import broadcast_if_small, table, written
+from lectern.llm.store import table, written, written_small
 
 WIDTH = 5
 
@@ -152,7 +152,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: Fraction =
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose id holds a benchmark item; rows with a null id stay."""
     leaks = contained_items(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
-    leaks = broadcast_if_small(written(leaks, "leaks"))
+    leaks = written_small(leaks, "leaks")
     return docs.join(leaks, F.col(id_col) == F.col("__leak"), "left_anti")
 
 

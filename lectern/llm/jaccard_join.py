@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import words as W
 from lectern.llm.components import components
-from lectern.llm.store import BROADCAST_ROWS, broadcast_if_small, table, written
+from lectern.llm.store import BROADCAST_ROWS, broadcast_if_small, table, written, written_and_seen, written_small
 
 WIDTH, BANDS, PER_BAND = 5, 6, 2
 #: Counters of shingle frequency: a power of two for so many shingles each, between these bounds; shingles that share one share its count.
@@ -123,32 +123,32 @@ class _Sets:
     def __init__(self, kinds: DataFrame, texts: DataFrame, width: int):
         self.kinds, self.texts, self.width = kinds, texts, width
 
-    def lists(self, wanted: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-        """wanted (sid, rep, s1, n and more) with a list of shingles of each set, once for each row of its rep.
+    def lists(self, wanted: DataFrame, rows: int, chosen: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+        """wanted (sid, rep, s1, n and more; so many rows) with a list of shingles of each set, once for each row of its rep.
 
         Only the texts wanted are hashed where their ids can be broadcast; beyond that all are, so that lists are shuffled and not texts.
         """
-        keys = broadcast_if_small(wanted, 500_000)
+        keys = F.broadcast(wanted) if rows <= 500_000 else wanted
         texts = self.texts
-        if wanted.count() <= BROADCAST_ROWS:
+        if rows <= BROADCAST_ROWS:
             texts = texts.join(F.broadcast(wanted.select(F.col("rep").alias("__id"))), "__id", "left_semi")
         found = texts.mapInArrow(_listed(self.width, chosen, name), f"__id long, s1 long, n long, {name} array<long>")
         return found.withColumnRenamed("__id", "rep").join(keys, ["rep", "s1", "n"])
 
     def both(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, of_a, of_b) for distinct pairs of sids: their sizes and sets; only sets of some pair are shuffled."""
-        pairs = written(pairs.distinct(), "pairs")
+        pairs, seen = written_and_seen(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
-        wanted = written(self.kinds.join(ids, "sid").select("sid", "rep", "s1", "n"), "wanted")
-        return _with_sets(pairs, self.lists(wanted, lambda s: s, "shingles").dropDuplicates(["sid"]).select("sid", "n", "shingles"))
+        wanted, of_wanted = written_and_seen(self.kinds.join(ids, "sid").select("sid", "rep", "s1", "n"), "wanted")
+        return _with_sets(pairs, seen["n"], self.lists(wanted, of_wanted["n"], lambda s: s, "shingles").dropDuplicates(["sid"]).select("sid", "n", "shingles"))
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, shared) for distinct pairs of sids, by exact intersection."""
         return self.both(pairs).select("a", "b", "na", "nb", _common("of_a", "of_b").alias("shared"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
-    """Written pairs (a, b) with both sets (of_a, of_b) and their sizes (na, nb).
+def _with_sets(pairs: DataFrame, rows: int, sets: DataFrame, most: int = 200) -> DataFrame:
+    """Written pairs (a, b), so many rows, with both sets (of_a, of_b) and their sizes (na, nb).
 
     Pairs of a set that has very many are joined with copies of it, so that no task has more than so many of its pairs.
     """
@@ -160,9 +160,9 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
         return some.select("a", "b", "na", "nb", "of_a", "of_b")
 
     per = [pairs.groupBy(F.col(side).alias("sid")).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).withColumn("side", F.lit(side)) for side in ("a", "b")]
-    hot = written(per[0].unionAll(per[1]).where("copies > 1"), "hot")
-    if hot.isEmpty():
-        return joined(broadcast_if_small(pairs), {"a": sets, "b": sets}, False)  # so that one side's sets aren't shuffled
+    hot, seen = written_and_seen(per[0].unionAll(per[1]).where("copies > 1"), "hot")
+    if not seen["n"]:
+        return joined(F.broadcast(pairs) if rows <= BROADCAST_ROWS else pairs, {"a": sets, "b": sets}, False)  # so that one side's sets aren't shuffled
     of = {side: hot.where(F.col("side") == side).select(F.col("sid").alias("__hot"), F.col("copies").alias(f"copies_{side}")) for side in ("a", "b")}
     tagged = pairs
     for side in ("a", "b"):
@@ -170,7 +170,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, most: int = 200) -> DataFrame:
     calm = F.col("copies_a").isNull() & F.col("copies_b").isNull()
     salt = lambda other, copies: F.pmod(F.xxhash64(other), F.coalesce(copies, F.lit(1))).cast("int")
     many = written(tagged.where(~calm).select("a", "b", salt("b", "copies_a").alias("salt_a"), salt("a", "copies_b").alias("salt_b")), "hot-pairs")
-    ids = broadcast_if_small(written(many.select(F.col("a").alias("sid")).unionAll(many.select("b")).distinct(), "hot-ids"))
+    ids = written_small(many.select(F.col("a").alias("sid")).unionAll(many.select("b")).distinct(), "hot-ids")
     copied = {side: sets.join(ids, "sid", "left_semi").join(broadcast_if_small(of[side]), F.col("sid") == F.col("__hot"), "left").withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"copies_{side}", F.lit(1)) - 1))) for side in ("a", "b")}
     return joined(tagged.where(calm).select("a", "b"), {"a": sets, "b": sets}, False).unionAll(joined(many, copied, True))
 
@@ -183,15 +183,15 @@ def _similar(shared: Column, na: Column, nb: Column) -> Column:
     return 7 * shared >= 3 * (na + nb)
 
 
-def _hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs that their prefixes leave room for; what is dropped can't be similar.
+def _hopeful(pairs: DataFrame, rows: int, prefixes: DataFrame) -> DataFrame:
+    """The pairs, so many rows, that their prefixes leave room for; what is dropped can't be similar.
 
     Common shingles up to the last common one of the prefixes are all in both prefixes. Those after it follow it in both
     sets, and are behind the prefix of at least one of them.
     """
-    wanted = written(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct(), "wanted")
-    own = prefixes.join(broadcast_if_small(wanted), "sid", "left_semi").select("sid", "n", F.col("prefix").alias("shingles"))
-    both = _with_sets(pairs, own).withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
+    wanted = written_small(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct(), "wanted")
+    own = prefixes.join(wanted, "sid", "left_semi").select("sid", "n", F.col("prefix").alias("shingles"))
+    both = _with_sets(pairs, rows, own).withColumn("common", F.array_intersect("of_a", "of_b")).where(F.size("common") > 0)
     last = F.element_at("common", -1)
     behind = lambda side: F.col(f"n{side}") - F.array_position(f"of_{side}", last)
     suffix = F.greatest(F.col("na") - F.size("of_a"), F.col("nb") - F.size("of_b"))
@@ -210,7 +210,7 @@ def _clusters(kinds: DataFrame, stars: DataFrame) -> DataFrame:
     goes = F.col("is_centre").isNull() & F.col("centre").isNotNull()
     found = written(found.select("sid", F.when(goes, F.col("centre")).otherwise(F.col("sid")).alias("cluster"), *[F.when(goes, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("add", "rem")]), "members")
     sizes = found.where("sid <> cluster").groupBy("cluster").agg((F.count("*") + 1).alias("size"))
-    return found.join(broadcast_if_small(written(sizes, "sizes")), "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    return found.join(written_small(sizes, "sizes"), "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
 
 
 def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataFrame) -> DataFrame:
@@ -229,21 +229,21 @@ def _across(sets: _Sets, entries: DataFrame, prefixes: DataFrame, members: DataF
     met = met.where("group_a <> group_b AND (hi_a > lo_b OR hi_a = lo_b AND a > b) AND 4 * hi_b >= 3 * lo_a AND 7 * least(room_a, room_b) >= 3 * (lo_a + lo_b)")
     met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     many = members.where("size > 1").groupBy("cluster").agg(F.min("n").alias("lo"), F.max("add").alias("add"))
-    many = broadcast_if_small(written(many, "clusters"))
+    many = written_small(many, "clusters")
     of = lambda side: many.select(F.col("cluster").alias(f"many_{side}"), F.col("lo").alias(f"lo_{side}"), F.col("add").alias(f"add_{side}"))
-    met = written(met.join(of("a"), F.col("a") == F.col("many_a"), "left").join(of("b"), F.col("b") == F.col("many_b"), "left"), "candidates")
-
     alone = F.col("many_a").isNull() & F.col("many_b").isNull()
+    met, seen = written_and_seen(met.join(of("a"), F.col("a") == F.col("many_a"), "left").join(of("b"), F.col("b") == F.col("many_b"), "left"), "candidates", F.count_if(alone).alias("alone"))
+
     ranges = met.where(~alone)
-    checked = written(sets.overlaps(_hopeful(met.where(alone).select("a", "b"), prefixes).unionAll(ranges.select("a", "b"))), "overlaps")
+    checked = written(sets.overlaps(_hopeful(met.where(alone).select("a", "b"), seen["alone"], prefixes).unionAll(ranges.select("a", "b"))), "overlaps")
     linked = checked.where(_similar(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
 
     # Pairs of clusters whose centres aren't linked, but some members might be.
     lowest = lambda side: F.coalesce(f"lo_{side}", f"n{side}")
     most = F.col("shared") + F.coalesce("add_a", F.lit(0)) + F.coalesce("add_b", F.lit(0))
     undecided = ranges.join(checked, ["a", "b"]).where(~_similar(F.col("shared"), F.col("na"), F.col("nb")) & _similar(most, lowest("a"), lowest("b")))
-    undecided = written(undecided.select("a", "b", "na", "nb", "shared"), "undecided")
-    return linked.unionAll(_between_members(sets, undecided, members, prefixes)) if not undecided.isEmpty() else linked
+    undecided, seen = written_and_seen(undecided.select("a", "b", "na", "nb", "shared"), "undecided")
+    return linked.unionAll(_between_members(sets, undecided, members, prefixes)) if seen["n"] else linked
 
 
 def _between_members(sets: _Sets, undecided: DataFrame, members: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _between_members(sets: _Sets, undecided: DataFrame, members: DataFrame, pref
     with_centre = written(with_centre, "with-centre")
     linked = with_centre.where(_similar(F.col("shared"), F.col("n_one"), F.col("n_centre"))).select(F.col("one").alias("a"), F.col("centre").alias("b"))
 
-    centres = broadcast_if_small(written(met.select("centre").distinct(), "centres"))
+    centres = written_small(met.select("centre").distinct(), "centres")
     own = inside.where("sid <> cluster").join(centres, F.col("cluster") == F.col("centre"), "left_semi")
     more = sets.both(own.select(F.col("sid").alias("a"), F.col("cluster").alias("b"))).select(F.col("b").alias("centre"), F.col("a").alias("sid"), F.col("na").alias("n"), F.array_except("of_a", "of_b").alias("more"))
     listed = more.select("centre", "sid", "n", F.explode("more").alias("shingle"))
@@ -273,8 +273,8 @@ def _between_members(sets: _Sets, undecided: DataFrame, members: DataFrame, pref
     alike = F.expr("4 * least(n, n_one) >= 3 * greatest(n, n_one)")
     hits = hits.where(alike & _similar(F.col("shared") + F.col("hits"), F.col("n"), F.col("n_one"))).select(F.col("sid").alias("a"), F.col("one").alias("b"))
     smaller = with_centre.join(own.select(F.col("cluster").alias("centre"), "sid", "n"), "centre").where(alike & (F.col("n") < F.col("n_centre")) & _similar(F.col("shared"), F.col("n"), F.col("n_one")))
-    pairs = written(hits.unionAll(smaller.select(F.col("sid").alias("a"), F.col("one").alias("b"))), "member-pairs")
-    found = sets.overlaps(_hopeful(pairs, prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
+    pairs, seen = written_and_seen(hits.unionAll(smaller.select(F.col("sid").alias("a"), F.col("one").alias("b"))), "member-pairs")
+    found = sets.overlaps(_hopeful(pairs, seen["n"], prefixes)).where(_similar(F.col("shared"), F.col("na"), F.col("nb")))
     return linked.unionAll(found.select("a", "b"))
 
 
@@ -308,7 +308,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     # Equal sets: one stands for all. Sets have numbers of their own in order of their least ids (copies tend to be closer to an earlier
     # text than to each other, so earlier ones make better heads), given once and kept in the written table.
     kinds = sketches.where("n > 0 AND __id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
-    kinds = written(kinds.orderBy("rep", "s1").select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "n", "rep", "bands", "copies"), "kinds")
+    kinds, seen = written_and_seen(kinds.orderBy("rep", "s1").select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "n", "rep", "bands", "copies"), "kinds", F.sum("n").alias("shingles"))
     sets = _Sets(kinds.drop("bands", "copies"), texts.where(F.col("__id").isNotNull()), width)
     numbered = sketches.select("__id", "n", "s1", "s2").join(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("kn"), F.col("sid")), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("kn")) & F.col("__id").isNotNull(), "left")
     rows = written(numbered.select("__id", "n", "sid"), "rows")
@@ -322,26 +322,26 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     stars = written(stars, "stars")
     groups = written(components(stars.select("a", "b")), "groups")
     members = _clusters(kinds, stars).join(groups, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "add", "rem", "size", F.coalesce("component", "sid").alias("group"))
-    members = written(members.join(kinds.select("sid", "rep", "s1", "n", "copies"), "sid"), "members")
+    members, of_members = written_and_seen(members.join(kinds.select("sid", "rep", "s1", "n", "copies"), "sid"), "members")
 
     # Links between groups.
-    total = kinds.agg(F.sum("n")).first()[0] or 0
+    total = seen["shingles"] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (total // SHINGLES_A_COUNTER).bit_length()))
     counted = sets.texts.mapInArrow(_frequencies(width, bits), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << bits)
     counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
     level = np.minimum(65535, np.log2(counts + 1) * 32).astype(np.uint16)
-    listed = sets.lists(members.select("sid", "rep", "s1", "n", "group", "cluster", "size", "copies"), _prefix(level, bits), "prefix")
+    listed = sets.lists(members.select("sid", "rep", "s1", "n", "group", "cluster", "size", "copies"), of_members["n"], _prefix(level, bits), "prefix")
     listed = written(listed.select("sid", "n", "group", "cluster", "size", "prefix", "copies"), "prefixes")
     prefixes = listed.where("copies = 1").unionAll(listed.where("copies > 1").dropDuplicates(["sid"])).drop("copies")  # a set of one row is there once
     bridges = prefixes.select("group", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("shingle")
-    entries = prefixes.select("sid", "n", "group", "cluster", "size", F.posexplode("prefix").alias("pos", "shingle")).join(broadcast_if_small(written(bridges, "bridges")), "shingle")
+    entries = prefixes.select("sid", "n", "group", "cluster", "size", F.posexplode("prefix").alias("pos", "shingle")).join(written_small(bridges, "bridges"), "shingle")
     linked = written(_across(sets, written(entries, "entries"), prefixes, members), "links")
 
     # Rows of one id with several sets join these.
     several = rows.where("__id IS NOT NULL").groupBy(F.col("__id").alias("several")).agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.count("*").alias("all"), F.count("sid").alias("full"))
-    several = written(several.where("first < last OR full > 0 AND full < all").select("several", "first"), "several")
-    same = rows.where("sid IS NOT NULL").join(broadcast_if_small(several), F.col("__id") == F.col("several")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    several = written_small(several.where("first < last OR full > 0 AND full < all").select("several", "first"), "several")
+    same = rows.where("sid IS NOT NULL").join(several, F.col("__id") == F.col("several")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
     of = members.select(F.col("sid").alias("__sid"), F.col("group").alias("__group"))
     joined = linked.unionAll(same).join(of, F.col("a") == F.col("__sid")).select("b", F.col("__group").alias("ga")).join(of, F.col("b") == F.col("__sid")).select(F.col("ga").alias("a"), F.col("__group").alias("b"))
     merged = components(joined)
@@ -350,7 +350,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     least = classes.groupBy("class").agg(F.min("rep").alias("least"))
     answers = written(classes.join(least, "class").select(F.col("sid").alias("__sid"), "least"), "answers")
     empty_rows = several.join(answers, F.col("first") == F.col("__sid")).select(F.col("several").alias("__several"), F.col("least").alias("of_others"))
-    out = rows.join(answers, F.col("sid") == F.col("__sid"), "left").join(broadcast_if_small(written(empty_rows, "several")), F.col("__id") == F.col("__several"), "left")
+    out = rows.join(answers, F.col("sid") == F.col("__sid"), "left").join(written_small(empty_rows, "several"), F.col("__id") == F.col("__several"), "left")
     return out.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "of_others", "__id").alias("component_id"))
 
 

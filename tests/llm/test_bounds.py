@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lectern.llm import features as X
-from lectern.llm import language_id, quality_classifier, toxicity, warc
+from lectern.llm import components, jaccard_join, language_id, quality_classifier, store, toxicity, warc
 
 
 @pytest.mark.parametrize("class_bytes", [40_000, 100_000])
@@ -115,3 +116,50 @@ def test_a_kept_text_travels_once(spark):
     whole, ids = quality_classifier.score_quality(docs, None), quality_classifier.score_quality(docs, None, ["doc_id"])
     assert "__text" not in whole._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, whole.collect())) == [(1, "a b", 0.5), (2, None, 0.5)] and sorted(map(tuple, ids.collect())) == [(1, 0.5), (2, 0.5)]
+
+
+def stages(spark, name, run):
+    """What run returns, and how many stages its jobs had: each is a plan, a thread and counters that the driver keeps."""
+    spark.sparkContext.setJobGroup(name, name)
+    out, tracker = run(), spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(name))
+
+
+def test_tables_are_counted_while_they_are_written(spark):
+    table, seen = store.written_and_seen(spark.range(70_000).repartition(3), "numbers", F.sum("id").alias("all"))
+    assert table.count() == seen["n"] == 70_000 and seen["all"] == sum(range(70_000))
+    nothing = spark.range(5).where("id > 7")
+    assert store.written_and_seen(nothing, "nothing", F.sum("id").alias("all"))[1] == {"n": 0, "all": None}
+    small, n = stages(spark, "small", lambda: store.written_small(spark.range(9), "nine"))
+    assert n == 1 and small.count() == 9
+
+
+def test_rounds_on_few_edges_are_a_stage_each(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(k, k + 1) for k in range(2000, 2300)] + [(1, 1), (3000, 5000), (5000, 3000)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges * 2:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+
+    def least(x):
+        return x if root[x] == x else least(root[x])
+
+    want = {(x, least(x)) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    run = lambda small: {tuple(r) for r in components.components(df, small=small).collect()}
+    (one, few), (dealt, many) = stages(spark, "one", lambda: run(50_000)), stages(spark, "dealt", lambda: run(0))
+    assert one == dealt == want and few < many / 3
+
+
+def test_similar_components_take_few_stages(spark):
+    """What a join asks of the driver doesn't grow with counts of tables that it has just written."""
+    texts = [" ".join(f"w{(k // 3) * 7 + i if i != k % 3 else 9999 + k}" for i in range(40)) for k in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows, n = stages(spark, "similar", lambda: jaccard_join.similar_components(docs).collect())
+    assert {(r.doc_id, r.component_id) for r in rows} == {(k, k - k % 3) for k in range(60)}
+    assert n < 320, n
